@@ -11,6 +11,8 @@ from .text import ascii_lower, sha256_hex
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Prefix rows up to which the benchmark side is sent to every executor; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: The same words before lower-casing, for counting.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -34,19 +36,22 @@ def hits(scratch: Scratch, docs: DataFrame, items: DataFrame, width: int = 13) -
     comparison of the window's words decide. Common words are prefix tokens only of windows that have no rarer one.
     """
     wins = scratch.put(item_windows(items, width))
-    vocabulary = wins.select(F.explode("win").alias("word")).distinct()
+    # Words meet as 64-bit hashes, as a join on a long is far cheaper; the exact comparison below makes up for it. The
+    # outer explodes keep the optimizer from filtering on the words first, for which it would split each text twice.
+    hashed = F.xxhash64("word").alias("wh")
+    vocabulary = wins.select(F.explode("win").alias("word")).select(hashed).distinct()
     vocabulary = _small(vocabulary, wins.count() * width)
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    freq = tokens.join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n"))
+    tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("word")).select(hashed)
+    freq = tokens.join(vocabulary, "wh").groupBy("wh").agg(F.count("*").alias("n"))
     distinct = wins.groupBy("win").agg(F.collect_set("item_id").alias("items"))
-    place = distinct.select("win", F.posexplode("win").alias("at", "word")).join(freq, "word", "left")
-    prefix = place.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("at"))).alias("p"))
+    place = distinct.select("win", F.posexplode("win").alias("at", "word")).withColumn("wh", hashed).join(freq, "wh", "left")
+    prefix = place.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("wh"), F.col("at"))).alias("p"))
     # A window with a word that no document has cannot occur.
-    prefix = scratch.put(prefix.where("p.n > 0").select("win", F.col("p.word").alias("word"), F.col("p.at").alias("at")))
+    prefix = scratch.put(prefix.where("p.n > 0").select("win", F.col("p.wh").alias("wh"), F.col("p.at").alias("at")))
     at = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    at = at.select("doc_id", "text_hash", "w", F.posexplode("w").alias("i", "word"))
+    at = at.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("i", "word")).withColumn("wh", hashed)
     pos = F.col("i") - F.col("at")
-    found = at.join(_small(prefix, prefix.count()), "word").where((pos >= 0) & (pos + F.size("win") <= F.size("w")))
+    found = at.join(_small(prefix, prefix.count()), "wh").where((pos >= 0) & (pos + F.size("win") <= F.size("w")))
     found = found.where(F.slice("w", pos + 1, F.size("win")) == F.col("win"))
     found = found.select("doc_id", "text_hash", "win", pos.alias("pos"))
     return found.join(_small(distinct, prefix.count()), "win").select("doc_id", "text_hash", F.explode("items").alias("item_id"), "pos", F.size("win").alias("n"))
@@ -72,7 +77,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     covered = covered.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_hit"))
     named = found.where("item_id is not null").select("doc_id", "text_hash", F.col("item_id").cast("string").alias("item")).distinct()
     named = named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     by = [F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), F.col("d.text_hash") == F.col("c.text_hash")]
     both = covered.join(named, (covered["doc_id"].eqNullSafe(named["doc_id"])) & (covered["text_hash"] == named["text_hash"]), "left").select(covered["doc_id"], covered["text_hash"], "n_hit", "n_items", "items")
     out = base.alias("d").join(both.alias("c"), by[0] & by[1], "left")

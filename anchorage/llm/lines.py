@@ -19,7 +19,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, max_docs: int = 1) -> Da
     are counted before any join, with partial sums, so that a line which every document holds costs a row for each task.
     """
     key = ascii_lower(F.btrim(F.col("line"), F.lit(BLANKS)))
-    at = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    at = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
     at = at.withColumn("key", key).where(F.length("key") >= min_chars)
     at = at.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     if max_docs == 1:

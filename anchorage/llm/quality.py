@@ -143,13 +143,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows:
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
         m = shared.value
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "held_out": b["held_out"], "score": [m.score(t) for t in b["text"]]})
+        return pd.Series([m.score(t) for t in texts], dtype=float)
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", _held_out(F.col("doc_id")).alias("held_out"))
-    out = rows.mapInPandas(run, "doc_id long, text_hash long, held_out boolean, score double")
+    out = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _held_out(F.col("doc_id")).alias("held_out"), of("text").alias("score"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 

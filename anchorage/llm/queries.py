@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, mixing, pii, quality, simhash
+from . import decontam, html, lines, mixing, paragraphs, pii, quality, simhash, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_hash")
 
@@ -32,15 +36,27 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.dedup_paragraphs(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_line_dedup, op4_quality, op5_mixing, op8_decontamination, op10_pii)
-}
-ORACLE = {"op2_line_dedup": lines.ORACLE, "op8_decontamination": decontam.ORACLE}
+OPERATORS = (op1_simhash, op2_line_dedup, op3_suffix_array, op4_quality, op5_mixing, op6_html_extraction, op7_paragraph_dedup, op8_decontamination, op9_top_k, op10_pii)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+#: Where SQL can state the whole operator; the others are tested against brute force.
+ORACLE = {"op2_line_dedup": lines.ORACLE, "op8_decontamination": decontam.ORACLE, "op9_top_k": topk.ORACLE}
