@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .store import Scratch
 from .text import ascii_lower, sha256_hex
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ said by what it holds, the commonest first: Java tries such a class ten times faster.
+WORD = r"[a-z\x80-\x{10FFFF}0-9]+"
 #: Prefix rows up to which the benchmark side is sent to every executor; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: The same words before lower-casing, for counting.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_CASE = r"[a-z\x80-\x{10FFFF}0-9A-Z]+"
 
 
 def words(text: Column) -> Column:
