@@ -99,7 +99,7 @@ def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[Dat
                     rows.append((doc_id, th, start, end, hashlib.md5(" ".join(words).lower().encode("utf-8", "replace")).digest()))
             yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "par"])
 
-    at = scratch.put(_identified(docs).mapInPandas(read, "doc_id long, th long, start int, end int, par binary"))
+    at = scratch.put(_identified(docs).mapInPandas(read, "doc_id long, th int, start int, end int, par binary"))
     # Which text a distinct paragraph is read from again.
     first = at.groupBy("par").agg(F.min(F.struct("doc_id", "th", "start", "end")).alias("f"))
     source = first.groupBy("f.doc_id", "f.th").agg(F.collect_list(F.struct("f.start", "f.end", "par")).alias("pars"))

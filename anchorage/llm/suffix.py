@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from .store import Scratch
 
 #: Bytes of the leading digit, and one in how many digits is sampled (by the digit's own hash, so alike wherever it stands).
 DIGIT, SAMPLE = 32, 28
+#: Starts in a run of the third pass.
+STRIDE = 8
 #: Bytes hashed at a time.
 CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -57,7 +59,7 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def _h128(raw: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
+def _h128(raw: bytes, spans: Iterable[tuple[int, int]]) -> np.ndarray:
     digest = xxhash.xxh3_128_digest
     return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in spans]), dtype="<i8").reshape(-1, 2)
 
@@ -67,7 +69,7 @@ NO_ID = -(1 << 63)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("th"), "text")
 
 
 def _same(a: str, b: str):
@@ -87,106 +89,143 @@ def _digits(docs: DataFrame) -> DataFrame:
             n = [len(p) for p, _ in found]
             yield pd.DataFrame({"doc_id": b["doc_id"].repeat(n), "th": b["th"].repeat(n), "pos": np.concatenate([p for p, _ in found]), "h": np.concatenate([h for _, h in found])})
 
-    return _identified(docs).mapInPandas(run, "doc_id long, th long, pos int, h long")
+    return _identified(docs).mapInPandas(run, "doc_id long, th int, pos int, h long")
 
 
-def _segments(raw: bytes, marks: np.ndarray, window: int) -> list[tuple[int, int, int | None]]:
-    """(lo, hi, g): runs of starts whose windows may be repeated and have the same first sampled digit, hashed to g.
+def _segments(raw: bytes, marks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, hi, p, g): runs of starts whose windows may be repeated and have the same first sampled digit, at p, hashed to g.
 
-    A window over a sampled digit that is found nowhere else cannot be repeated; such starts are left out.
+    A window over a sampled digit that is found nowhere else cannot be repeated; such starts are left out. p is -1 for
+    runs of windows without a sampled digit.
     """
-    n = len(raw)
-    if n < window:
-        return []
+    starts = len(raw) - window + 1
+    if starts <= 0:
+        return (np.zeros(0, dtype=np.int64),) * 4
+    reach = window - DIGIT
     pos, h = sampled_digits(raw)
-    known = np.isin(pos, marks)
-    lone = pos[~known]
-    # Starts that a lone digit at u rules out: u - (window - DIGIT) to u.
-    lows = np.concatenate([[0], lone + 1])
-    highs = np.minimum(np.concatenate([lone - (window - DIGIT), [n - window + 1]]), n - window + 1)
-    out = []
-    for lo, hi in zip(lows.tolist(), highs.tolist(), strict=True):
-        if hi <= lo:
-            continue
-        a, b = np.searchsorted(pos, [lo, hi - 1 + window - DIGIT + 1])
-        for k in range(a, b):
-            p = int(pos[k])
-            # Windows that start up to p and reach over the digit at p.
-            start, end = max(lo, p - (window - DIGIT)), min(p + 1, hi)
-            if lo < start:
-                out.append((lo, min(start, hi), None))
-            if start < end:
-                out.append((start, end, int(h[k])))
-            lo = max(lo, end, start if start < hi else hi)
-            if lo >= hi:
-                break
-        if lo < hi:
-            out.append((lo, hi, None))
-    return out
+    end = len(raw) + window
+    p, g = np.append(pos, end), np.append(h, 0)
+    lone = np.append(pos[~np.isin(pos, marks)], end)
+    # A lone digit at u rules out the starts from u - reach to u, so of those before p only the ones to its left remain.
+    free = np.minimum(lone[np.searchsorted(lone, p)] - reach, starts)
+    before = np.append(-1, pos) + 1
+    lo, hi = np.maximum(before, p - reach), np.minimum(free, p + 1)
+    bare_hi = np.minimum(free, p - reach)
+    over, none = np.flatnonzero((lo < hi) & (p < end)), np.flatnonzero(before < bare_hi)
+    return (
+        np.concatenate([lo[over], before[none]]), np.concatenate([hi[over], bare_hi[none]]),
+        np.concatenate([p[over], np.full(len(none), -1)]), np.concatenate([g[over], np.zeros(len(none), dtype=np.int64)]),
+    )
+
+
+def _classes(runs: DataFrame) -> DataFrame:
+    """runs with `n`, how many equal ones there are, and `rep`, whether it is the first of several."""
+    first = F.struct("doc_id", "th", "lo")
+    known = runs.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1")
+    out = runs.join(known, ["c1", "c2"], "left")
+    several = F.col("n").isNotNull()
+    return out.withColumns({"done": several, "rep": F.coalesce(several & (F.col("first") == first), F.lit(False))}).drop("c1", "c2", "n", "first")
+
+
+def _lists(df: DataFrame, *cols: str) -> DataFrame:
+    return df.groupBy("doc_id", "th").agg(F.collect_set(F.struct(*cols)).alias("runs"))
+
+
+def _frame(doc_id: int, th: int, c: np.ndarray, **cols) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": doc_id, "th": th, **cols, "c1": c[:, 0], "c2": c[:, 1]})
+
+
+def _each(batches: Iterator[pd.DataFrame], column: str, work) -> Iterator[pd.DataFrame]:
+    """work(doc_id, th, raw, list) for each row, gathered into frames of bounded length."""
+    parts: list[pd.DataFrame] = []
+    rows = 0
+    for b in batches:
+        for doc_id, th, text, found in zip(b["doc_id"], b["th"], b["text"], b[column], strict=True):
+            out = work(doc_id, th, _raw(text), [] if found is None else found)
+            if out is not None and len(out):
+                parts.append(out)
+                rows += len(out)
+            if rows > 100_000:
+                yield pd.concat(parts, ignore_index=True)
+                parts, rows = [], 0
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
 
 
 def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> DataFrame:
     """(doc_id, th, spans): for each text that holds any, the [start, end) byte ranges covered by repeated windows.
 
-    Pass 1 orders starts by one leading digit of 32 bytes, at a sample of starts that the digit itself decides, and keeps
-    the digits that stand in two places. Pass 2 takes runs of neighbouring starts that survive (all their sampled digits
-    are repeated, and the first is the same) and orders the runs by all bytes that their windows cover, as 128-bit hashes:
-    equal runs are repeated windows throughout, one row for some 28 suffixes. Pass 3 orders the suffixes of the remaining
-    runs one by one through all `window` bytes; of each class of equal runs one stands in where a remaining run has the
-    same first digit, as an equal window has to have it too. So each window meets all its equals, whatever their number.
+    The suffixes that start at each byte are ordered through `window` bytes, in passes that each leave out what is settled:
+    1. One leading digit of 32 bytes, at a sample of starts that the digit itself decides. A digit that stands only once
+       rules out all starts whose window covers it.
+    2. Runs of neighbouring starts that survive and whose windows share their first sampled digit: some 28 suffixes go
+       through all bytes their windows cover as one row. Equal runs are repeated windows throughout. (Runs of windows
+       without a sampled digit, mostly in texts that repeat a few bytes over and over, go straight to pass 4.)
+    3. The remaining runs, cut into runs of 8 starts by distance from that digit, in the same way.
+    4. The remaining starts one by one through all `window` bytes; equal groups are the repeated windows.
+    Of each class of equal runs one goes on to the next pass where an open run has the same first digit (and distance),
+    as an equal window has to have: so each window meets an equal one if there is any. Runs are compared as 128-bit hashes.
     """
     digits = _digits(docs)
     twice = digits.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    marks = digits.join(twice, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("marks"))
-    marks = scratch.put(marks)
+    marks = scratch.put(digits.join(twice, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("marks")))
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = []
-            for doc_id, th, text, m in zip(b["doc_id"], b["th"], b["text"], b["marks"], strict=True):
-                raw = _raw(text)
-                segs = _segments(raw, np.asarray([] if m is None else m, dtype=np.int64), window)
-                if segs:
-                    c = _h128(raw, [(lo, hi - 1 + window) for lo, hi, _ in segs])
-                    g = pd.array([x[2] for x in segs], dtype="Int64")
-                    parts.append(pd.DataFrame({"doc_id": doc_id, "th": th, "lo": [x[0] for x in segs], "hi": [x[1] for x in segs], "g": g, "c1": c[:, 0], "c2": c[:, 1]}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+    def by_digit(doc_id, th, raw, found):
+        lo, hi, p, g = _segments(raw, np.asarray(found, dtype=np.int64), window)
+        return _frame(doc_id, th, _h128(raw, zip(lo.tolist(), (hi - 1 + window).tolist(), strict=True)), lo=lo, hi=hi, p=p, g=g)
 
-    segs = _with_text(docs, marks, "left").mapInPandas(runs, "doc_id long, th long, lo int, hi int, g long, c1 long, c2 long")
+    def by_distance(doc_id, th, raw, found):
+        rows = []
+        for x in found:
+            s = x["lo"]
+            while s < x["hi"]:
+                e = min(x["hi"], x["p"] - ((x["p"] - s) // STRIDE) * STRIDE + 1)
+                rows.append((s, e, x["g"], (x["p"] - s) // STRIDE, x["rep"]))
+                s = e
+        c = _h128(raw, [(r[0], r[1] - 1 + window) for r in rows])
+        lo, hi, g, j, stood = zip(*rows, strict=True)
+        return _frame(doc_id, th, c, lo=lo, hi=hi, g=g, j=j, stood=stood)
+
+    def by_start(doc_id, th, raw, found):
+        mine = {s for x in found if x["mine"] for s in range(x["lo"], x["hi"])}
+        starts = np.array(sorted(mine.union(*[range(x["lo"], x["hi"]) for x in found])))
+        c = _h128(raw, [(s, s + window) for s in starts.tolist()])
+        order = np.lexsort((starts, c[:, 1], c[:, 0]))
+        same = (c[order][1:] == c[order][:-1]).all(axis=1)
+        first, several = np.ones(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
+        first[order[1:][same]] = False
+        several[order[1:][same]] = several[order[:-1][same]] = True
+        # Windows that repeat within the text are settled, and one of them stands for all; so a text that repeats one
+        # word over and over sends a row for each letter of the word and not for each of its own.
+        out = _frame(doc_id, th, c[first], lo=starts[first], hi=starts[first] + 1, mine=np.isin(starts[first], list(mine)) & ~several[first], settled=False)
+        runs = np.split(starts[several], np.flatnonzero(np.diff(starts[several]) > 1) + 1) if several.any() else []
+        spans = _frame(doc_id, th, np.zeros((len(runs), 2), dtype=np.int64), lo=[r[0] for r in runs], hi=[r[-1] + 1 for r in runs], mine=False, settled=True)
+        return pd.concat([out, spans], ignore_index=True) if runs else out
+
+    key = "doc_id long, th int, lo int"
+    segs = _with_text(docs, marks, "left").mapInPandas(lambda it: _each(it, "marks", by_digit), f"{key}, hi int, p int, g long, c1 long, c2 long")
     segs = scratch.put(segs)
     scratch.drop(marks)
-    first = F.struct("doc_id", "th", "lo")
-    classes = segs.where("g is not null").groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(first).alias("rep")).where("n > 1")
-    at = segs.join(classes, ["c1", "c2"], "left").select("doc_id", "th", "lo", "hi", "g", F.col("n").isNotNull().alias("done"), F.coalesce(F.col("rep").eqNullSafe(first) & F.col("n").isNotNull(), F.lit(False)).alias("stands"))
-    at = scratch.put(at)
+    at = scratch.put(_classes(segs.where("p >= 0")))
+    bare = scratch.put(segs.where("p < 0").select("doc_id", "th", "lo", "hi", F.lit(None).cast("long").alias("g"), F.lit(None).cast("int").alias("j"), F.lit(True).alias("mine")))
     scratch.drop(segs)
-    open_g = at.where("not done and g is not null").select("g").distinct()
-    left = at.where("not done").union(at.where("stands").join(open_g, "g", "left_semi").select(*at.columns))
-    todo = left.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("todo"))
-
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = []
-            for doc_id, th, text, spans in zip(b["doc_id"], b["th"], b["text"], b["todo"], strict=True):
-                raw = _raw(text)
-                starts = sorted({s for x in spans for s in range(x["lo"], x["hi"])})
-                w = _h128(raw, [(s, s + window) for s in starts])
-                parts.append(pd.DataFrame({"doc_id": doc_id, "th": th, "pos": starts, "w1": w[:, 0], "w2": w[:, 1]}))
-                if sum(map(len, parts)) > 200_000:
-                    yield pd.concat(parts, ignore_index=True)
-                    parts = []
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    single = scratch.put(_with_text(docs, todo, "inner").mapInPandas(suffixes, "doc_id long, th long, pos int, w1 long, w2 long"))
-    again = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    more = single.join(again, ["w1", "w2"], "left_semi").select("doc_id", "th", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))
-    whole = at.where("done").select("doc_id", "th", F.col("lo").alias("start"), (F.col("hi") - 1 + window).alias("end"))
-    spans = more.union(whole).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    out = scratch.put(spans)
-    scratch.drop(single)
-    scratch.drop(at)
+    runs = at.where("not done")
+    runs = runs.union(at.where("rep").join(runs.select("g").distinct(), "g", "left_semi").select(*at.columns))
+    parts = _with_text(docs, _lists(runs, "lo", "hi", "p", "g", "rep"), "inner").mapInPandas(lambda it: _each(it, "runs", by_distance), f"{key}, hi int, g long, j int, stood boolean, c1 long, c2 long")
+    parts = scratch.put(parts)
+    sub = scratch.put(_classes(parts))
+    scratch.drop(parts)
+    alone = sub.where("not done and not stood").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(True).alias("mine"))
+    met = sub.where("rep or (stood and not done)").join(alone.select("g", "j").distinct(), ["g", "j"], "left_semi").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(False).alias("mine"))
+    todo = _lists(alone.union(met).union(bare), "lo", "hi", "mine")
+    single = scratch.put(_with_text(docs, todo, "inner").mapInPandas(lambda it: _each(it, "runs", by_start), f"{key}, hi int, mine boolean, settled boolean, c1 long, c2 long"))
+    again = single.where("not settled").groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
+    span = lambda df, end: df.select("doc_id", "th", F.col("lo").alias("start"), (end - 1 + window).alias("end"))
+    found = span(single.where("mine").join(again, ["c1", "c2"], "left_semi"), F.col("hi"))
+    found = found.union(span(single.where("settled"), F.col("hi"))).union(span(at.where("done"), F.col("hi"))).union(span(sub.where("done"), F.col("hi")))
+    out = scratch.put(found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    for used in (single, at, sub, bare):
+        scratch.drop(used)
     return out
 
 

@@ -17,8 +17,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words [^\\x20\\x09-\\x0D]+; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of words [^\\x20\\x09-\\x0D]+, which is Java's \\S+; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def sha256_hex(text: Column) -> Column:

@@ -40,7 +40,7 @@ def pieces(seed):
     for i in range(8):
         k = rng.randrange(len(near))
         rows.append((100 + i, near[:k] + "!" + near[k + 1 :], "s"))
-    return [*rows, rows[3], (3, rows[4][1], "s"), (None, rows[5][1], "t"), (None, "zz" + rows[5][1][10:], "t"), (60, "a" * 700, "s"), (61, "ab" * 150, "s"), (62, None, "s"), (63, "", "s"), (64, shared[0][:199], "s"), (65, shared[1][:200], "s")]
+    return [*rows, rows[3], (3, rows[4][1], "s"), (None, rows[5][1], "t"), (None, "zz" + rows[5][1][10:], "t"), (60, "a" * 700, "s"), (61, "ab" * 150, "s"), (66, "xyz" * 200, "s"), (67, "q" + "xyz" * 100 + "r", "s"), (62, None, "s"), (63, "", "s"), (64, shared[0][:199], "s"), (65, shared[1][:200], "s")]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -59,7 +59,9 @@ def test_runs_cover_each_start_once():
     raw = bytes(rng.choice(b"abcdef ") for _ in range(3000))
     pos, _ = suffix.sampled_digits(raw)
     marks = [p for p in pos.tolist() if rng.random() < 0.9]
-    starts = [s for lo, hi, _ in suffix._segments(raw, suffix.np.array(marks), 200) for s in range(lo, hi)]
+    lo, hi, p, _ = suffix._segments(raw, suffix.np.array(marks), 200)
+    starts = sorted(s for a, b in zip(lo, hi, strict=True) for s in range(a, b))
+    assert all(b - 1 <= x <= a + 168 for a, b, x in zip(lo, hi, p, strict=True) if x >= 0)
     lone = sorted(set(pos.tolist()) - set(marks))
     assert starts == [s for s in range(len(raw) - 199) if not any(s <= u <= s + 168 for u in lone)]
 
