@@ -20,7 +20,9 @@ KINDS = {
 NEEDED = {"email": "%@%", "ip": "%.%.%.%", "card": None, "phone": "%+%"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Tokens that may identify somebody: with a digit or @, and the groups of digits that follow one.
-MENTION = r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*(?:\x20[0-9().-]+(?=[\x20\x09-\x0D]|$))*"
+MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9().-]++(?!\S))*+"
+#: Code points beside a mention in which its context word is looked for.
+BESIDE = 64
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -80,11 +82,11 @@ def listed(spans: Column) -> Column:
 def mentions(marked: DataFrame) -> DataFrame:
     """One row for each identifier-like mention: (doc_id, text_hash, start, end, instance, context, kinds that the base gave it)."""
     text = F.col("text")
-    gap = F.split(text, MENTION, -1)
-    at = marked.where(text.rlike("[0-9@]")).withColumn("gaps", gap).withColumn("found", located(text, MENTION))
-    at = at.select("doc_id", "text_hash", "base", "gaps", F.posexplode("found").alias("i", "m"))
-    left = F.regexp_extract(ascii_lower(F.element_at("gaps", F.col("i") + 1)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    right = F.regexp_extract(ascii_lower(F.element_at("gaps", F.col("i") + 2)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
+    at = marked.where(text.rlike("[0-9@]")).withColumn("gaps", F.split(text, MENTION, -1)).withColumn("found", located(text, MENTION))
+    # The outer explode keeps the optimizer from looking for mentions once more to filter on them first.
+    at = at.select("doc_id", "text_hash", "base", "gaps", F.posexplode_outer("found").alias("i", "m")).where("i is not null")
+    left = F.regexp_extract(ascii_lower(F.right(F.element_at("gaps", F.col("i") + 1), F.lit(BESIDE))), r"(\S+)\s*$", 1)
+    right = F.regexp_extract(ascii_lower(F.left(F.element_at("gaps", F.col("i") + 2), F.lit(BESIDE))), r"^\s*(\S+)", 1)
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("m.s", "[0-9]+", "9"), "[A-Za-z]+", "a"), r"[^\x00-\x7F]+", "u")
     inside = F.transform(F.filter("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))), lambda b: b["kind"])
     # The punctuation that closes a sentence is no part of an identifier.
