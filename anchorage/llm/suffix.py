@@ -131,25 +131,33 @@ def _lists(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy("doc_id", "th").agg(F.collect_set(F.struct(*cols)).alias("runs"))
 
 
-def _frame(doc_id: int, th: int, c: np.ndarray, **cols) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": doc_id, "th": th, **cols, "c1": c[:, 0], "c2": c[:, 1]})
+def _columns(c: np.ndarray, **cols) -> dict[str, np.ndarray]:
+    return {k: np.asarray(v) for k, v in cols.items()} | {"c1": c[:, 0], "c2": c[:, 1]}
 
 
 def _each(batches: Iterator[pd.DataFrame], column: str, work) -> Iterator[pd.DataFrame]:
-    """work(doc_id, th, raw, list) for each row, gathered into frames of bounded length."""
-    parts: list[pd.DataFrame] = []
+    """work(raw, list) -> columns, for each row; gathered into frames of bounded length."""
+    keys: list[tuple[int, int, int]] = []
+    parts: list[dict[str, np.ndarray]] = []
     rows = 0
+
+    def frame() -> pd.DataFrame:
+        n = [k[2] for k in keys]
+        own = {"doc_id": np.repeat([k[0] for k in keys], n), "th": np.repeat([k[1] for k in keys], n)}
+        return pd.DataFrame(own | {k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+
     for b in batches:
         for doc_id, th, text, found in zip(b["doc_id"], b["th"], b["text"], b[column], strict=True):
-            out = work(doc_id, th, _raw(text), [] if found is None else found)
-            if out is not None and len(out):
+            out = work(_raw(text), [] if found is None else found)
+            if n := len(out["lo"]):
+                keys.append((doc_id, th, n))
                 parts.append(out)
-                rows += len(out)
+                rows += n
             if rows > 100_000:
-                yield pd.concat(parts, ignore_index=True)
-                parts, rows = [], 0
+                yield frame()
+                keys, parts, rows = [], [], 0
     if parts:
-        yield pd.concat(parts, ignore_index=True)
+        yield frame()
 
 
 def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> DataFrame:
@@ -170,11 +178,11 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     twice = digits.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     marks = scratch.put(digits.join(twice, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("marks")))
 
-    def by_digit(doc_id, th, raw, found):
+    def by_digit(raw, found):
         lo, hi, p, g = _segments(raw, np.asarray(found, dtype=np.int64), window)
-        return _frame(doc_id, th, _h128(raw, zip(lo.tolist(), (hi - 1 + window).tolist(), strict=True)), lo=lo, hi=hi, p=p, g=g)
+        return _columns(_h128(raw, zip(lo.tolist(), (hi - 1 + window).tolist(), strict=True)), lo=lo, hi=hi, p=p, g=g)
 
-    def by_distance(doc_id, th, raw, found):
+    def by_distance(raw, found):
         rows = []
         for x in found:
             s = x["lo"]
@@ -184,9 +192,9 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
                 s = e
         c = _h128(raw, [(r[0], r[1] - 1 + window) for r in rows])
         lo, hi, g, j, stood = zip(*rows, strict=True)
-        return _frame(doc_id, th, c, lo=lo, hi=hi, g=g, j=j, stood=stood)
+        return _columns(c, lo=lo, hi=hi, g=g, j=j, stood=stood)
 
-    def by_start(doc_id, th, raw, found):
+    def by_start(raw, found):
         mine = {s for x in found if x["mine"] for s in range(x["lo"], x["hi"])}
         starts = np.array(sorted(mine.union(*[range(x["lo"], x["hi"]) for x in found])))
         c = _h128(raw, [(s, s + window) for s in starts.tolist()])
@@ -197,10 +205,13 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
         several[order[1:][same]] = several[order[:-1][same]] = True
         # Windows that repeat within the text are settled, and one of them stands for all; so a text that repeats one
         # word over and over sends a row for each letter of the word and not for each of its own.
-        out = _frame(doc_id, th, c[first], lo=starts[first], hi=starts[first] + 1, mine=np.isin(starts[first], list(mine)) & ~several[first], settled=False)
-        runs = np.split(starts[several], np.flatnonzero(np.diff(starts[several]) > 1) + 1) if several.any() else []
-        spans = _frame(doc_id, th, np.zeros((len(runs), 2), dtype=np.int64), lo=[r[0] for r in runs], hi=[r[-1] + 1 for r in runs], mine=False, settled=True)
-        return pd.concat([out, spans], ignore_index=True) if runs else out
+        runs = np.flatnonzero(np.diff(starts[several]) > 1)
+        lows, highs = (starts[several][np.append(0, runs + 1)], starts[several][np.append(runs, -1)] + 1) if several.any() else (starts[:0], starts[:0])
+        own, one = starts[first], np.isin(starts[first], list(mine)) & ~several[first]
+        return _columns(
+            np.concatenate([c[first], np.zeros((len(lows), 2), dtype=np.int64)]), lo=np.append(own, lows), hi=np.append(own + 1, highs),
+            mine=np.append(one, np.zeros(len(lows), dtype=bool)), settled=np.append(np.zeros(len(own), dtype=bool), np.ones(len(lows), dtype=bool)),
+        )
 
     key = "doc_id long, th int, lo int"
     segs = _with_text(docs, marks, "left").mapInPandas(lambda it: _each(it, "marks", by_digit), f"{key}, hi int, p int, g long, c1 long, c2 long")
@@ -219,7 +230,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     met = sub.where("rep or (stood and not done)").join(alone.select("g", "j").distinct(), ["g", "j"], "left_semi").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(False).alias("mine"))
     todo = _lists(alone.union(met).union(bare), "lo", "hi", "mine")
     single = scratch.put(_with_text(docs, todo, "inner").mapInPandas(lambda it: _each(it, "runs", by_start), f"{key}, hi int, mine boolean, settled boolean, c1 long, c2 long"))
-    again = single.where("not settled").groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2")
+    again = scratch.put(single.where("not settled").groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"))
     span = lambda df, end: df.select("doc_id", "th", F.col("lo").alias("start"), (end - 1 + window).alias("end"))
     found = span(single.where("mine").join(again, ["c1", "c2"], "left_semi"), F.col("hi"))
     found = found.union(span(single.where("settled"), F.col("hi"))).union(span(at.where("done"), F.col("hi"))).union(span(sub.where("done"), F.col("hi")))
