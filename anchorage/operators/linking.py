@@ -78,11 +78,13 @@ def passage_links(docs: DataFrame, items: DataFrame, chars: int = 40) -> DataFra
     w = lambda c: F.regexp_extract_all(c, F.lit(r"[A-Za-z]+"), F.lit(0))
     head = F.left("text", F.lit(chars))
     keyed = items.select("item_id", head.alias("head"), F.array_join(F.slice(w(head), 2, 3), " ").alias("key"))
-    words = w(F.col("text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(3)), " ")))
-    met = docs.select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").where(F.contains("text", F.col("head")))
+    # The words are a column of their own: within a lambda an expression is worked out for each element anew.
+    worded = docs.select("doc_id", "text", w(F.col("text")).alias("words"))
+    n = F.greatest(F.size("words") - 2, F.lit(0))
+    grams = F.transform(F.arrays_zip(F.slice("words", 1, n), F.slice("words", 2, n), F.slice("words", 3, n)), lambda x: F.concat_ws(" ", x["0"], x["1"], x["2"]))
+    met = worded.select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").where(F.contains("text", F.col("head")))
     loose = keyed.where(F.size(w(F.col("head"))) < 5)  # a head this short may break off within its fourth word
     near = docs.select("doc_id", "text").join(loose, F.contains("text", F.col("head"))) if not loose.isEmpty() else None
     out = met.select("doc_id", "item_id")
-    return out if near is None else out.union(near.select("doc_id", "item_id")).distinct()
+    return (out if near is None else out.union(near.select("doc_id", "item_id"))).distinct()
 

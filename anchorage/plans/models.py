@@ -22,7 +22,7 @@ def sports_features(context: Column, name: Column, ner_type: Column, text_score:
     """The features of the sports sense. The score pattern is a whole-number ratio, as the weights were trained with it."""
     at = F.instr(context, name) - 1
     from_ = F.greatest(at - 30, F.lit(0)) + 1
-    found = F.locate(" in ", "context") if not isinstance(context, Column) else F.instr(F.substring(context, from_, F.length(context)), " in ")
+    found = F.instr(F.substring(context, from_, F.length(context)), " in ")
     in_at = from_ + found - 2
     near = F.when((at >= 0) & (found > 0) & (in_at < at), F.least(F.lit(30.0), (at - in_at).cast("double"))).otherwise(30.0)
     is_type = lambda t: F.coalesce((ner_type == t).cast("double"), F.lit(0.0))
@@ -63,7 +63,7 @@ def ranked_labels(rows: DataFrame, label: str, score: str, tie: str, bins: int =
     """
     cuts = [c for c in rows.select(F.percentile_approx(score, [i / bins for i in range(1, bins)], 10_000)).first()[0] or []] if bins > 1 else []
     cuts = sorted(set(cuts), reverse=True)
-    which = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: F.col(score) < c)) if cuts else F.lit(0)
+    which = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: F.col("score") < c)) if cuts else F.lit(0)
     r = rows.select(F.col(tie).alias("tie"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")).withColumn("__bin", which)
     sums = r.groupBy("__bin").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
     before = Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
