@@ -55,8 +55,9 @@ def paragraphs(text: str | None) -> list[tuple[int, int, list[str]]]:
 
 
 def shingles(words: list[str], width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles, lower-cased."""
-    h = np.array([xxhash.xxh64_intdigest(w.lower()) for w in words], dtype=np.uint64)
+    """Sorted distinct 64-bit hashes of the shingles of lower-cased words."""
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w) for w in words], dtype=np.uint64)
     k = min(width, len(h))
     s = np.zeros(len(h) - k + 1, dtype=np.uint64)
     for i in range(k):
@@ -65,13 +66,14 @@ def shingles(words: list[str], width: int = 5) -> np.ndarray:
     return np.unique(s)
 
 
-def bands(s: np.ndarray) -> list[int]:
+def bands(s: np.ndarray) -> np.ndarray:
+    """A hash of each band's number and the MinHashes of its rows."""
     low = ((s[None, :] * MULT[:, None] + ADD[:, None]) >> np.uint64(8)).min(axis=1).reshape(BANDS, ROWS)
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(ROWS):
         h = (h ^ low[:, i]) * MIX
         h ^= h >> np.uint64(31)
-    return h.view(np.int64).tolist()
+    return h
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -96,29 +98,33 @@ def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[Dat
             rows = []
             for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
                 for start, end, words in paragraphs(text):
-                    rows.append((doc_id, th, start, end, hashlib.md5(" ".join(words).lower().encode("utf-8", "replace")).digest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "par"])
-
-    at = scratch.put(_identified(docs).mapInPandas(read, "doc_id long, th int, start int, end int, par binary"))
-    # Which text a distinct paragraph is read from again.
-    first = at.groupBy("par").agg(F.min(F.struct("doc_id", "th", "start", "end")).alias("f"))
-    source = first.groupBy("f.doc_id", "f.th").agg(F.collect_list(F.struct("f.start", "f.end", "par")).alias("pars"))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                    joined = " ".join(words).lower()
+                    rows.append((doc_id, th, start, end, hashlib.md5(joined.encode("utf-8", "replace")).digest(), bands(shingles(joined.split())).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "par", "bands"])
+
+    every = scratch.put(_identified(docs).mapInPandas(read, "doc_id long, th int, start int, end int, par binary, bands binary"))
+    at = every.select("doc_id", "th", "start", "end", "par")
+    # A distinct paragraph's bands, and which text it is read from again.
+    signed = scratch.put(every.groupBy("par").agg(F.min(F.struct("doc_id", "th", "start", "end", "bands")).alias("f")))
+    # A key is the hash of a band's number and its MinHashes, eight bytes of `bands`.
+    keys = signed.select("par", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("f.bands", i * 8 + 1, F.lit(8)))).alias("key"))
+    shared = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    met = scratch.put(keys.join(shared, "key", "left_semi"))
+    scratch.drop(shared)
+    source = signed.join(met.select("par").distinct(), "par", "left_semi").groupBy("f.doc_id", "f.th").agg(F.collect_list(F.struct("f.start", "f.end", "par")).alias("pars"))
+
+    def reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text, pars in zip(b["text"], b["pars"], strict=True):
-                rows += [(p["par"], (s := shingles(text[p["start"] : p["end"]].split())).tobytes(), bands(s)) for p in pars]
-            yield pd.DataFrame(rows, columns=["par", "shingles", "bands"])
+                rows += [(p["par"], shingles(text[p["start"] : p["end"]].lower().split()).tobytes()) for p in pars]
+            yield pd.DataFrame(rows, columns=["par", "shingles"])
 
-    signed = scratch.put(_with_text(docs, source, "inner").mapInPandas(sign, "par binary, shingles binary, bands array<long>"))
-    keys = signed.select("par", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    met = keys.join(shared, ["band", "key"], "left_semi")
-    met = scratch.put(met)
+    sets = scratch.put(_with_text(docs, source, "inner").mapInPandas(reread, "par binary, shingles binary"))
+    scratch.drop(signed)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame, starts in whole_runs(batches, ["band", "key"]):
+        for frame, starts in whole_runs(batches, ["key"]):
             pars, blobs, forest = frame["par"].tolist(), frame["shingles"].tolist(), Forest()
             for a, z in zip(starts[:-1], starts[1:], strict=True):
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in blobs[a:z]]
@@ -131,10 +137,10 @@ def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[Dat
             if forest.links:
                 yield pd.DataFrame(forest.links, columns=["a", "b"])
 
-    moved = met.join(signed.select("par", "shingles"), "par").select("band", "key", "par", "shingles")
-    links = scratch.put(moved.repartition("band", "key").sortWithinPartitions("band", "key", "par").mapInPandas(verify, "a binary, b binary"))
+    moved = met.join(sets, "par").select("key", "par", "shingles")
+    links = scratch.put(moved.repartition("key").sortWithinPartitions("key", "par").mapInPandas(verify, "a binary, b binary"))
     scratch.drop(met)
-    scratch.drop(signed)
+    scratch.drop(sets)
     return at, connected_components(scratch, links)
 
 

@@ -95,5 +95,5 @@ def test_bands_find_similar():
         s = rng.integers(0, 1 << 63, 100).astype(np.uint64)
         t = s.copy()
         t[:11] = rng.integers(0, 1 << 63, 11).astype(np.uint64)
-        hits += bool(set(P.bands(np.unique(s))) & set(P.bands(np.unique(t))))
+        hits += bool(set(P.bands(np.unique(s)).tolist()) & set(P.bands(np.unique(t)).tolist()))
     assert hits >= 199
