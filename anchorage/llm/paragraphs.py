@@ -85,7 +85,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, start, end, par) of each paragraph that counts, and (node, component) over par, the hash of its words.
+    """(doc_id, th, start, end, par) of each paragraph that counts, and (node, component): the number of the component of each par, the hash of a paragraph's words, that is linked to another.
 
     Equal paragraphs are one node, however many there are. Distinct ones meet where a band of their MinHashes is the same;
     only of those are shingle sets moved. In a band's bucket each paragraph is compared with the clusters found so far,
@@ -99,49 +99,53 @@ def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[Dat
             for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
                 for start, end, words in paragraphs(text):
                     joined = " ".join(words).lower()
-                    rows.append((doc_id, th, start, end, hashlib.md5(joined.encode("utf-8", "replace")).digest(), bands(shingles(joined.split())).tobytes()))
+                    rows.append((doc_id, th, start, end, hashlib.md5(joined.encode("utf-8", "replace")).digest(), bands(shingles(joined.split())).view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "par", "bands"])
 
-    every = scratch.put(_identified(docs).mapInPandas(read, "doc_id long, th int, start int, end int, par binary, bands binary"))
+    every = scratch.put(_identified(docs).mapInPandas(read, "doc_id long, th int, start int, end int, par binary, bands array<long>"))
     at = every.select("doc_id", "th", "start", "end", "par")
-    # A distinct paragraph's bands, and which text it is read from again.
-    signed = scratch.put(every.groupBy("par").agg(F.min(F.struct("doc_id", "th", "start", "end", "bands")).alias("f")))
-    # A key is the hash of a band's number and its MinHashes, eight bytes of `bands`.
-    keys = signed.select("par", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("f.bands", i * 8 + 1, F.lit(8)))).alias("key"))
+    # A distinct paragraph's bands, and which text it is read from again. Its number holds from here on, as it is written
+    # with it; numbers make the rows of the bands and of the components short.
+    signed = every.groupBy("par").agg(F.min(F.struct("doc_id", "th", "start", "end", "bands")).alias("f"))
+    signed = scratch.put(signed.withColumn("id", F.monotonically_increasing_id()))
+    keys = signed.select("id", F.explode("f.bands").alias("key"))
     shared = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     met = scratch.put(keys.join(shared, "key", "left_semi"))
     scratch.drop(shared)
-    source = signed.join(met.select("par").distinct(), "par", "left_semi").groupBy("f.doc_id", "f.th").agg(F.collect_list(F.struct("f.start", "f.end", "par")).alias("pars"))
+    source = signed.join(met.select("id").distinct(), "id", "left_semi").groupBy("f.doc_id", "f.th").agg(F.collect_list(F.struct("f.start", "f.end", "id")).alias("pars"))
 
     def reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text, pars in zip(b["text"], b["pars"], strict=True):
-                rows += [(p["par"], shingles(text[p["start"] : p["end"]].lower().split()).tobytes()) for p in pars]
-            yield pd.DataFrame(rows, columns=["par", "shingles"])
+                rows += [(p["id"], shingles(text[p["start"] : p["end"]].lower().split()).tobytes()) for p in pars]
+            yield pd.DataFrame(rows, columns=["id", "shingles"])
 
-    sets = scratch.put(_with_text(docs, source, "inner").mapInPandas(reread, "par binary, shingles binary"))
-    scratch.drop(signed)
+    sets = scratch.put(_with_text(docs, source, "inner").mapInPandas(reread, "id long, shingles binary"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts in whole_runs(batches, ["key"]):
-            pars, blobs, forest = frame["par"].tolist(), frame["shingles"].tolist(), Forest()
+            ids, blobs, forest = frame["id"].tolist(), frame["shingles"].tolist(), Forest()
             for a, z in zip(starts[:-1], starts[1:], strict=True):
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in blobs[a:z]]
                 groups: list[list[int]] = []
                 for i in range(len(sets)):
                     joined = [g for g in groups if any(similar(sets[i], sets[j], least) for j in g)]
                     for g in joined:
-                        forest.unite(pars[a + i], pars[a + g[0]])
+                        forest.unite(ids[a + i], ids[a + g[0]])
                     groups = [g for g in groups if g not in joined] + [[i, *[j for g in joined for j in g]]]
             if forest.links:
                 yield pd.DataFrame(forest.links, columns=["a", "b"])
 
-    moved = met.join(sets, "par").select("key", "par", "shingles")
-    links = scratch.put(moved.repartition("key").sortWithinPartitions("key", "par").mapInPandas(verify, "a binary, b binary"))
+    moved = met.join(sets, "id").select("key", "id", "shingles")
+    links = scratch.put(moved.repartition("key").sortWithinPartitions("key", "id").mapInPandas(verify, "a long, b long"))
     scratch.drop(met)
     scratch.drop(sets)
-    return at, connected_components(scratch, links)
+    comp = connected_components(scratch, links)
+    comp = comp.union(comp.select(F.col("component").alias("node"), "component").distinct())  # roots have no row of their own
+    named = scratch.put(signed.select("id", "par").join(comp, F.col("id") == F.col("node")).select(F.col("par").alias("node"), "component"))
+    scratch.drop(signed)
+    return at, named
 
 
 def dedup_paragraphs(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -156,7 +160,7 @@ def dedup_paragraphs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     at, comp = clusters(scratch, docs.where("doc_id is not null"), least)
-    named = at.join(comp, F.col("par") == F.col("node"), "left").select("doc_id", "th", "start", "end", F.coalesce("component", "par").alias("c"))
+    named = at.join(comp, F.col("par") == F.col("node"), "left").select("doc_id", "th", "start", "end", F.coalesce(F.concat(F.lit("component "), F.col("component").cast("string")).cast("binary"), F.col("par")).alias("c"))
     named = scratch.put(named.distinct())
     place = F.struct("doc_id", "start", "th")
     kept = named.groupBy("c").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1")
