@@ -33,17 +33,20 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), ceili
     return w.withColumn("target", F.when(F.col("__free").isNull(), cut).otherwise(F.least(cut, F.col("__free") * F.col("__w")))).drop("__i", "__w", "__level", "__free")
 
 
-def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, slack: int) -> DataFrame:
+def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str) -> DataFrame:
     """Adds `quota`: each group's `seats` (the same in all its rows) given to the highest quotients votes / (2a + 1).
 
-    Rounding votes x seats / sum gives every party all its seats but for a few at the end of the award; only quotients
-    within `slack` seats of that are ranked, with ties to the first key in `__key`. Parties without votes get none.
+    Seats are votes / D rounded for some divisor D, and n parties' roundings add up to n / 2 at most, so a party with the
+    share s of the votes ends within s x n / 2 + 1 of votes x seats / sum rounded. Only quotients in that range (and one
+    more, for the arithmetic) are ranked, at most 8n in a group however many parties it has; those below it are won for
+    sure. Ties go to the first key in `__key`. Parties without votes get none.
     """
     own = Window.partitionBy(*group)
-    p = parties.withColumn("__fair", F.round(F.col(votes) * F.col(seats) / F.nullif(F.sum(votes).over(own), F.lit(0.0))).cast("long"))
-    p = p.withColumn("__base", F.greatest(F.coalesce("__fair", F.lit(0)) - slack, F.lit(0)).cast("long"))
+    share = F.coalesce(F.col(votes) / F.nullif(F.sum(votes).over(own), F.lit(0.0)), F.lit(0.0))
+    p = parties.withColumns({"__fair": F.round(share * F.col(seats)).cast("long"), "__slack": (F.ceil(share * F.count("*").over(own) / 2) + 2).cast("long")})
+    p = p.withColumn("__base", F.greatest(F.col("__fair") - F.col("__slack"), F.lit(0)).cast("long"))
     p = p.withColumn("__left", (F.col(seats) - F.sum("__base").over(own)).cast("long"))
-    bids = p.select(*group, "__key", votes, "__left", F.explode(F.sequence(F.col("__base"), F.col("__base") + 2 * slack)).alias("__a")).where(F.col(votes) > 0)
+    bids = p.select(*group, "__key", votes, "__left", F.explode(F.sequence(F.col("__base"), F.col("__fair") + F.col("__slack"))).alias("__a")).where(F.col(votes) > 0)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.col(votes) / (2 * F.col("__a") + 1)), "__key", "__a"))
     won = bids.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__left")).groupBy(*group, "__key").agg(F.count("*").alias("__won"))
     match = F.lit(True)
@@ -51,7 +54,7 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, s
     for i, g in enumerate(group):
         match = match & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     p = p.join(won, match & F.col("__key").eqNullSafe(F.col("__k")), "left").withColumn("quota", F.col("__base") + F.coalesce("__won", F.lit(0)))
-    return p.drop("__fair", "__base", "__left", "__k", "__won", *[f"__g{i}" for i in range(len(group))])
+    return p.drop("__fair", "__slack", "__base", "__left", "__k", "__won", *[f"__g{i}" for i in range(len(group))])
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), ceiling: int = 3, block: int = 64, shard_rows: int = 4096, seed: int = 7) -> DataFrame:
@@ -71,12 +74,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), ceiling: int = 3, b
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
     aimed = source_targets(sources, weights, ceiling)
     aimed = aimed.withColumns({"__all": F.lit(1), "__key": F.coalesce("source", F.lit("")), "__seats": F.floor(F.sum("source_size").over(Window.partitionBy()) / block)})
-    aimed = sainte_lague(aimed, ["__all"], "target", "__seats", slack=64).withColumnRenamed("quota", "blocks")
+    aimed = sainte_lague(aimed, ["__all"], "target", "__seats").withColumnRenamed("quota", "blocks")
     aimed = aimed.select(F.col("source").alias("__source"), "source_size", "target", "blocks", F.ceil(F.col("__docs") / shard_rows).alias("__shards"))
     # One row for each source; where a source holds a third of all rows, the join can split it, as its other side is one row.
     dealt = sized.join(aimed, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "source", "size", "turn", "source_size", "target", "blocks", F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.col("__shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    shards = sainte_lague(shards.withColumn("__key", F.col("shard")).withColumn("shard_size", F.col("shard_size").cast("double")), ["source"], "shard_size", "blocks", slack=2)
+    shards = sainte_lague(shards.withColumn("__key", F.col("shard")).withColumn("shard_size", F.col("shard_size").cast("double")), ["source"], "shard_size", "blocks")
     shards = shards.select(F.col("source").alias("__s"), F.col("shard").alias("__n"), (F.col("quota") * block).alias("words"))
     at = dealt.join(shards, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__n")))
     own = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "size")
