@@ -85,11 +85,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1) -> Model:
-    """Follow-the-regularised-leader (proximal) over the examples in the order given, `epochs` times."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1) -> Model:
+    """Follow-the-regularised-leader (proximal) over the examples' features in the order given, `epochs` times."""
     n, z = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    w = np.zeros((1 << BITS) + 1)
-    rows = [features(t) for t in texts]
     for _ in range(epochs):
         for (idx, x), y in zip(rows, labels, strict=True):
             i, v = np.append(idx, 1 << BITS), np.append(x, 1.0)
@@ -103,26 +101,40 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 8, alpha: floa
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 20_000) -> Model:
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(turn, doc_id, quality, same, text) -> the same with the text's features in its place."""
+    schema = pa.schema([("turn", pa.int64()), ("doc_id", pa.int64()), ("quality", pa.int32()), ("same", pa.int64()), ("idx", pa.binary()), ("val", pa.binary())])
+    for b in batches:
+        rows = [features(t.as_py()) for t in b.column("text")]
+        packed = [pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column(c).cast(schema.field(c).type) for c in schema.names[:4]] + packed, schema=schema)
+
+
+def _fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["turn", "doc_id", "quality", "same"])
+    y = pdf["quality"].tolist()
+    rows = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(v, dtype=np.float32)) for i, v in zip(pdf["idx"], pdf["val"], strict=True)]
+    m = fit(rows, y) if len(set(y)) == 2 else Model(np.zeros(1 << BITS, dtype=np.float32), 0.0)
+    return pd.DataFrame({"weights": [zlib.compress(m.weights.tobytes())], "bias": [m.bias]})
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
     """A model from labelled documents, whose crc32(doc_id as text) mod 5 is not 0.
 
     The fit takes a bounded sample, the documented bound being max_rows labelled documents, the first in a seeded hash
-    order, each by at most max_chars code points of it; scoring reads whole texts. The fit runs in one executor task and
-    the driver gets 2^18 weights. Labels that are null or not 0 or 1 are passed over; a document labelled twice counts
-    twice. Without usable labels of both kinds all scores are 0.5.
+    order, each by its whole text. Features are found where the texts lie; the fit runs in one executor task, which gets
+    at most 2^18 numbers for each document and no text, and the driver gets 2^18 weights. Labels that are null or not 0
+    or 1 are passed over; a document labelled twice counts twice. Without usable labels of both kinds all scores are 0.5.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     # The order by a hash makes a sample; ties go on by document, so that reruns agree.
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "quality").limit(max_rows)
-    rows = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(picked), "doc_id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(h=[zlib.crc32(f"{d} 4".encode()) for d in pdf["doc_id"]], t=pdf["text"].fillna("")).sort_values(["h", "doc_id", "t", "quality"])
-        y = pdf["quality"].tolist()
-        m = fit(pdf["t"].tolist(), y) if len(set(y)) == 2 else Model(np.zeros(1 << BITS, dtype=np.float32), 0.0)
-        return pd.DataFrame({"weights": [zlib.compress(m.weights.tobytes())], "bias": [m.bias]})
-
-    got = rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "weights binary, bias double").first()
+    turn = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(" 4")).cast("binary")).alias("turn")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select(turn, "doc_id", "quality", F.xxhash64("text").alias("same"), "text")
+    rows = rows.mapInArrow(_featurise, "turn long, doc_id long, quality int, same long, idx binary, val binary")
+    # Documents that stand many times in the table cannot make the fit larger than its bound either.
+    rows = rows.orderBy("turn", "doc_id", "quality", "same").limit(max_rows)
+    got = rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_fit_rows, "weights binary, bias double").first()
     if got is None:
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0)
     return Model(np.frombuffer(zlib.decompress(got["weights"]), dtype=np.float32), got["bias"])

@@ -65,5 +65,20 @@ def test_quality_odd_rows(spark, docs):
 
 def test_fit_separates():
     good, bad = [f"plain words number {i} here" for i in range(60)], [f"plain*** words### number%%% {i}" for i in range(60)]
-    m = quality.fit([x for p in zip(good, bad, strict=True) for x in p], [1, 0] * 60)
+    m = quality.fit([quality.features(x) for p in zip(good, bad, strict=True) for x in p], [1, 0] * 60)
     assert m.score("other words") > 0.6 > 0.4 > m.score("other*** words###")
+
+
+def test_training_reads_whole_texts(spark, docs):
+    """Documents of a kind differ only beyond their first 30 000 characters."""
+    start = "the same opening words " * 1400
+    rows = [(i, start + ("fine prose at last " if i % 2 else "junk!! ### $$$ ") * 1400, "a") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.score(docs(rows), labels).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if i % 2 == 0)
+
+
+def test_repeated_documents_stay_within_the_sample(spark, docs):
+    rows = [(1, "good words", "a")] * 30 + [(2, "bad### words", "a")] * 30
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs(rows), labels, max_rows=40).weights.shape == (1 << quality.BITS,)
