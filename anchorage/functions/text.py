@@ -99,10 +99,18 @@ def mention_contexts(contexts: Column, headline: Column) -> Column:
 
 
 def occurrences(text: Column | str, part: Column | str) -> Column:
-    """Offsets of all occurrences, overlapping ones too, by steps from one to the next."""
+    """Offsets of all occurrences, overlapping ones too; an empty part is at every offset.
+
+    The text is cut before each occurrence, in one pass, and offsets are the lengths of the pieces added up.
+    """
     t, p = _col(text), _col(part)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - F.length(p), F.lit(0))), lambda i: F.substring(t, i + 1, F.length(p)) == p)
-    return F.when(F.contains(t, p), places).otherwise(F.array().cast("array<int>"))
+    before = F.concat(F.lit(r"(?=\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    lengths = F.transform(F.split(t, before, -1), F.length)
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("all"))
+    ends = F.aggregate(F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0))), start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["all"], F.array(a["at"] + n)).alias("all")))
+    places = F.concat(F.when(F.startswith(t, p), F.array(F.lit(0))).otherwise(none), ends["all"])
+    return F.when(p == "", F.sequence(F.lit(0), F.length(t))).when(F.contains(t, p), places).otherwise(none)
 
 
 def backoff_strings(name: Column | str, entity: Column | str) -> Column:

@@ -72,19 +72,23 @@ def link(mentions: DataFrame, scored: DataFrame, kb: DataFrame, threshold: float
     return m.select("pos", "query_id", "name", "entity", F.coalesce("kb_id", "nil_id").alias("kb_link"), F.col("conf").alias("confidence"), "score", "path")
 
 
-def passage_links(docs: DataFrame, items: DataFrame, chars: int = 40) -> DataFrame:
-    """(doc_id, item_id): documents that hold the first `chars` code points of an item. Both sides meet on the item's second
-    to fourth word, which a document that holds it has in a row: an equi-join in place of a test of all pairs."""
+def passage_links(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id): documents that hold the whole text of an item, each once; empty and null items are in none.
+
+    Both sides meet on the item's second to fourth word, which a document that holds it has in a row: an equi-join in place
+    of a test of all pairs. Only ids and keys are shuffled; texts are read again for the pairs that met, to be compared.
+    """
     w = lambda c: F.regexp_extract_all(c, F.lit(r"[A-Za-z]+"), F.lit(0))
-    head = F.left("text", F.lit(chars))
-    keyed = items.select("item_id", head.alias("head"), F.array_join(F.slice(w(head), 2, 3), " ").alias("key"))
+    items = items.where("text <> ''").select("item_id", F.col("text").alias("passage"))
+    keyed = items.select("item_id", w(F.col("passage")).alias("own")).select("item_id", F.size("own").alias("n_own"), F.array_join(F.slice("own", 2, 3), " ").alias("key"))
     # The words are a column of their own: within a lambda an expression is worked out for each element anew.
-    worded = docs.select("doc_id", "text", w(F.col("text")).alias("words"))
+    worded = docs.select("doc_id", w(F.col("text")).alias("words"))
     n = F.greatest(F.size("words") - 2, F.lit(0))
     grams = F.transform(F.arrays_zip(F.slice("words", 1, n), F.slice("words", 2, n), F.slice("words", 3, n)), lambda x: F.concat_ws(" ", x["0"], x["1"], x["2"]))
-    met = worded.select("doc_id", "text", F.explode(grams).alias("key")).join(keyed, "key").where(F.contains("text", F.col("head")))
-    loose = keyed.where(F.size(w(F.col("head"))) < 5)  # a head this short may break off within its fourth word
-    near = docs.select("doc_id", "text").join(loose, F.contains("text", F.col("head"))) if not loose.isEmpty() else None
-    out = met.select("doc_id", "item_id")
-    return (out if near is None else out.union(near.select("doc_id", "item_id"))).distinct()
-
+    pairs = worded.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keyed.where("n_own >= 5"), "key").select("doc_id", "item_id").distinct()
+    out = docs.select("doc_id", "text").join(pairs, "doc_id").join(items, "item_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    # An item of under five words may begin or end within the words of its key.
+    loose = keyed.where("n_own < 5").join(items, "item_id").select("item_id", "passage")
+    if not loose.isEmpty():
+        out = out.union(docs.select("doc_id", "text").join(loose, F.contains("text", F.col("passage"))).select("doc_id", "item_id"))
+    return out.distinct()

@@ -200,7 +200,7 @@ def kb_contains_ambiguity(spark, sf_dir):
     return candidates.ambiguity(names, "name", part.select(F.col("p_partkey").alias("kb_id"), F.col("p_name").alias("title")))
 
 
-@query("select doc_id, item_id from documents d join benchmark b on contains(d.text, left(b.text, 40))")
+@query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def passage_link(spark, sf_dir):
     return linking.passage_links(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -217,12 +217,12 @@ def nil_allocate(spark, sf_dir):
     return nil.allocate(d, width=128).select("doc_id", "lang", "nil_id")
 
 
-NILS = "select doc_id as pos, doc_id as query_id, case when doc_id % 3 = 0 then left(text, 20) else source end as name, left(text, 20) as entity, case when doc_id % 4 = 0 then 'E' else 'NIL' end || doc_id as kb_link, 0.55::double as confidence from documents"
+NILS = "select doc_id as pos, doc_id as query_id, case when doc_id % 3 = 0 then text else source end as name, text as entity, case when doc_id % 4 = 0 then 'E' else 'NIL' end || doc_id as kb_link, 0.55::double as confidence from documents"
 
 
 @query(f"with a as ({NILS}), k as (select entity, min_by(kb_link, pos) as f from a where kb_link like 'NIL%' and entity <> name group by entity) select pos, query_id, name, a.entity, case when kb_link like 'NIL%' and f is not null then f else kb_link end as kb_link, case when kb_link like 'NIL%' and f is not null then 0.6 else confidence end as confidence from a left join k on k.entity = a.entity")
 def nil_exact_cluster(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").selectExpr("doc_id as pos", "doc_id as query_id", "case when doc_id % 3 = 0 then left(text, 20) else source end as name", "left(text, 20) as entity", "case when doc_id % 4 = 0 then 'E' else 'NIL' end || doc_id as kb_link", "0.55D as confidence")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id as pos", "doc_id as query_id", "case when doc_id % 3 = 0 then text else source end as name", "text as entity", "case when doc_id % 4 = 0 then 'E' else 'NIL' end || doc_id as kb_link", "0.55D as confidence")
     return nil.cluster_exact(d)
 
 
@@ -250,9 +250,9 @@ def gazetteer_semi(spark, sf_dir):
 W = models.SPORTS_WEIGHTS
 
 
-@query(f"with m as ({MENTION}), f as (select doc_id, name, left(text, 300) as c, instr(left(text, 300), name) - 1 as pos from m), g as (select *, greatest(pos - 30, 0) as lo, instr(substring(c, greatest(pos - 30, 0) + 1), ' in ') as fnd from f), h as (select doc_id, name, c, case when pos >= 0 and fnd > 0 and lo + fnd - 1 < pos then least(30.0, (pos - (lo + fnd - 1))::double) else 30.0::double end as near, case when len(string_split(c, ' ')) >= 10 then 1.0::double else 0.0::double end as long from g) select doc_id, near as in_proximity, long as context_length, round(1 / (1 + exp(-({W['context_length']}::double * long + {W['in_proximity']}::double * near + {W['ner_organization']}::double))), 6) as p from h")
+@query(f"with m as ({MENTION}), f as (select doc_id, name, text as c, instr(text, name) - 1 as pos from m), g as (select *, greatest(pos - 30, 0) as lo, instr(substring(c, greatest(pos - 30, 0) + 1), ' in ') as fnd from f), h as (select doc_id, name, c, case when pos >= 0 and fnd > 0 and lo + fnd - 1 < pos then least(30.0, (pos - (lo + fnd - 1))::double) else 30.0::double end as near, case when len(string_split(c, ' ')) >= 10 then 1.0::double else 0.0::double end as long from g) select doc_id, near as in_proximity, long as context_length, round(1 / (1 + exp(-({W['context_length']}::double * long + {W['in_proximity']}::double * near + {W['ner_organization']}::double))), 6) as p from h")
 def sports_linear_score(spark, sf_dir):
-    m = mentions(spark, sf_dir).select("doc_id", "name", F.left("text", F.lit(300)).alias("c"))
+    m = mentions(spark, sf_dir).select("doc_id", "name", F.col("text").alias("c"))
     f = models.sports_features(F.col("c"), F.col("name"), F.lit("ORGANIZATION"), F.lit(0.0), F.lit(0.0), F.lit(0.0))
     p = candidates.logistic(models.SPORTS_WEIGHTS, f, models.SPORTS_INTERCEPT)
     return m.select("doc_id", f["in_proximity"].alias("in_proximity"), f["context_length"].alias("context_length"), F.round(p, 6).alias("p"))
@@ -341,14 +341,14 @@ def cross_validation(spark, sf_dir):
     return models.cross_validate(f, ["chars", "lines"], "quality", "doc_id")
 
 
-@query("select doc_id, array_to_string(list_transform(string_split(left(text, 30), ' '), lambda w: case when contains(w, '.') then w else upper(substring(w, 1, 1)) || lower(substring(w, 2)) end), ' ') as cased from documents where lang = 'en'")
+@query("select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: case when contains(w, '.') then w else upper(substring(w, 1, 1)) || lower(substring(w, 2)) end), ' ') as cased from documents where lang = 'en'")
 def location_casing(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", tx.location_casing(F.left("text", F.lit(30))).alias("cased"))
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", tx.location_casing("text").alias("cased"))
 
 
-@query(f"with m as ({MENTION}), p as (select m.doc_id, m.name, unnest(range(0, greatest(length(left(text, 500)) - length(m.name), 0) + 1)) as i, left(text, 500) as t from m) select doc_id, count(*) as n, min(i) as first from p where substring(t, (i + 1)::bigint, length(name)) = name group by doc_id")
+@query(f"with m as ({MENTION}) select doc_id, ((length(text) - length(replace(text, name, ''))) / length(name))::bigint as n, instr(text, name) - 1 as first from m")
 def name_occurrences(spark, sf_dir):
-    m = mentions(spark, sf_dir).select("doc_id", tx.occurrences(F.left("text", F.lit(500)), "name").alias("at")).where(F.size("at") > 0)
+    m = mentions(spark, sf_dir).select("doc_id", tx.occurrences("text", "name").alias("at")).where(F.size("at") > 0)
     return m.select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).cast("long").alias("first"))
 
 
@@ -381,7 +381,7 @@ def passage_link_evaluation(spark, sf_dir):
     """Documents linked to the benchmark passage they hold, the rest clustered by text, against the same clusters: the flagship."""
     d = table(spark, sf_dir, "documents")
     held = linking.passage_links(d, table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.min("item_id").alias("item"))
-    base = d.join(held, "doc_id", "left").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("query_id"), F.col("source").alias("name"), F.left("text", F.lit(200)).alias("entity"), F.concat(F.lit("E"), F.lpad(F.col("item").cast("string"), 7, "0")).alias("kb"))
+    base = d.join(held, "doc_id", "left").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("query_id"), F.col("source").alias("name"), F.col("text").alias("entity"), F.concat(F.lit("E"), F.lpad(F.col("item").cast("string"), 7, "0")).alias("kb"))
     ids = nil.allocate(base.withColumn("consumed", F.col("kb").isNull().cast("int")))
     linked = nil.cluster_exact(ids.select("pos", "query_id", "name", "entity", F.coalesce("kb", "nil_id").alias("kb_link"), F.lit(0.55).alias("confidence")))
     gold = base.select("query_id", F.coalesce("kb", F.concat(F.lit("NIL"), F.md5("entity"))).alias("kb_link"))

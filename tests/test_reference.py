@@ -61,6 +61,8 @@ def test_text(spark):
     for s, c in conf.items():
         assert one(spark, tx.confidence(L(s))) == pytest.approx(c, abs=5e-5)
     assert one(spark, tx.occurrences(L("aaaa"), L("aa"))) == [0, 1, 2] and one(spark, tx.occurrences(L("b"), L("aa"))) == []
+    assert one(spark, tx.occurrences(L("ab.ab"), L("ab"))) == [0, 3] and one(spark, tx.occurrences(L("é\U0001f600a\\E.a\\E"), L("a\\E"))) == [2, 6]
+    assert one(spark, tx.occurrences(L("ab"), L(""))) == [0, 1, 2] and one(spark, tx.occurrences(L(""), L("a"))) == []
     text = "<P>One here. Two Ford there. Three.</P> tail"
     assert one(spark, tx.context(L(text), L("Ford"), L(-1))) == "Two Ford there."
     assert one(spark, tx.abbreviation(L("united nations org"))) == "UNO" and one(spark, tx.without_parentheses(L("Ford (car)"))) == "Ford"
@@ -186,3 +188,11 @@ def test_stream(spark, tmp_path):
     q = stream_links(stream, lambda b: nil.allocate(b.withColumn("consumed", F.lit(1))), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert {r.nil_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"NIL0000", "NIL0001"}
+
+
+def test_passage_links(spark):
+    docs = spark.createDataFrame([(1, "say one two three four five six now"), (1, "nothing"), (2, "one two three four five"), (3, None), (4, "catalog"), (5, "one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "cat"), (3, ""), (4, None), (5, "two three four five s")], "item_id long, text string")
+    got = sorted(map(tuple, linking.passage_links(docs, items).collect()))
+    assert got == [(1, 1), (1, 5), (4, 2), (5, 1), (5, 5)]
+    assert linking.passage_links(docs, items.limit(0)).count() == 0
