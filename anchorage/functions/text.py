@@ -131,8 +131,15 @@ def confidence(score: Column | str, threshold: float = 0.93) -> Column:
 
 
 def location_casing(text: Column | str) -> Column:
-    """Each space-parted word without a full stop lower-cased with a capital first letter."""
-    case = lambda w: F.when(F.contains(w, F.lit(".")), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, F.length(w)))))
+    """Each space-parted word without a full stop lower-cased with a capital first letter; a letter whose capital is
+    several letters (the sharp s) stays as it is."""
+
+    def case(w: Column) -> Column:
+        low = F.lower(w)
+        first = F.substring(low, 1, 1)
+        big = F.when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(first)
+        return F.when(F.contains(w, F.lit(".")), w).otherwise(F.concat(big, F.substring(low, 2, F.length(low))))
+
     return F.array_join(F.transform(F.split(_col(text), " ", -1), case), " ")
 
 

@@ -341,7 +341,7 @@ def cross_validation(spark, sf_dir):
     return models.cross_validate(f, ["chars", "lines"], "quality", "doc_id")
 
 
-@query("select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: case when contains(w, '.') then w else upper(substring(w, 1, 1)) || lower(substring(w, 2)) end), ' ') as cased from documents where lang = 'en'")
+@query("select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: case when contains(w, '.') then w when starts_with(lower(w), 'ß') then lower(w) else upper(substring(w, 1, 1)) || lower(substring(w, 2)) end), ' ') as cased from documents where lang = 'en'")
 def location_casing(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", tx.location_casing("text").alias("cased"))
 

@@ -63,6 +63,7 @@ def test_text(spark):
     assert one(spark, tx.occurrences(L("aaaa"), L("aa"))) == [0, 1, 2] and one(spark, tx.occurrences(L("b"), L("aa"))) == []
     assert one(spark, tx.occurrences(L("ab.ab"), L("ab"))) == [0, 3] and one(spark, tx.occurrences(L("é\U0001f600a\\E.a\\E"), L("a\\E"))) == [2, 6]
     assert one(spark, tx.occurrences(L("ab"), L(""))) == [0, 1, 2] and one(spark, tx.occurrences(L(""), L("a"))) == []
+    assert one(spark, tx.location_casing(L("nEW  \u00dfkeit \u00c9TAT U.S. "))) == "New  \u00dfkeit \u00c9tat U.S. "
     text = "<P>One here. Two Ford there. Three.</P> tail"
     assert one(spark, tx.context(L(text), L("Ford"), L(-1))) == "Two Ford there."
     assert one(spark, tx.abbreviation(L("united nations org"))) == "UNO" and one(spark, tx.without_parentheses(L("Ford (car)"))) == "Ford"
