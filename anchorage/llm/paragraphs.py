@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .groups import Forest, whole_runs
+from .passages import repeated_passages
 from .store import Scratch
-from .suffix import NO_ID, _identified, _with_text
+from .suffix import NO_ID, _identified, _with_text, merged
 
 #: Words of a paragraph that counts, and from which on a line is cut at word borders that its own words decide.
 LEAST, LONG, CUT = 20, 160, 32
@@ -153,8 +154,10 @@ def dedup_paragraphs(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     A paragraph is a line of LEAST words or more (a line of over LONG words: each piece of it). Paragraphs are linked from
     a Jaccard similarity of `least` on 5-word shingles; of each component the first paragraph by doc_id, then place,
-    stays, and all others are removed with the line feed before them. class_ids: for each component with more than one
-    paragraph that the text takes part in, the doc_id that keeps it; sorted, each once. Null and empty texts have none.
+    stays, and all others are removed with the line feed before them. Removed too is each run of words whose windows of
+    passages.PASSAGE words an earlier doc_id also holds, wherever lines end (see repeated_passages()). n_removed: the
+    paragraphs and the runs. class_ids: for each component with more than one paragraph, and each such window, that the
+    text takes part in, the doc_id that keeps it; sorted, each once. Null and empty texts have none.
     Rows with a null doc_id lose nothing and count for none. Rows are told apart by doc_id and text, so repeated rows are
     one document and come back each. Other columns are ignored.
     """
@@ -166,21 +169,31 @@ def dedup_paragraphs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     kept = named.groupBy("c").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1")
     cut = named.join(kept, "c").select("doc_id", "th", F.struct("start", "end", (place != F.col("keep")).alias("gone"), F.col("keep.doc_id").alias("class")).alias("p"))
     lists = scratch.put(cut.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("p")).alias("pars")))
+    lists = lists.join(repeated_passages(scratch, docs.where("doc_id is not null"), lists), ["doc_id", "th"], "full")
 
     @F.pandas_udf("n_paragraphs long, n_removed long, n_chars_removed long, class_ids array<long>, kept_sha256 string, kept string")
-    def rest(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def rest(texts: pd.Series, found: pd.Series, passages: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, pars in zip(texts, found, strict=True):
-            text, pars = text or "", [] if pars is None else pars
-            parts, last = [], 0
-            gone = [p for p in pars if p["gone"]]
-            for p in gone:
-                start = p["start"] - 1 if p["start"] > last and text[p["start"] - 1 : p["start"]] == "\n" else p["start"]
+        for text, pars, windows in zip(texts, found, passages, strict=True):
+            text, pars, windows = text or "", [] if pars is None else pars, [] if windows is None else windows
+            parts, last, cuts = [], 0, []
+            runs = merged([w for w in windows if w["gone"]])
+            gone = sorted([(p["start"], p["end"], True) for p in pars if p["gone"]] + [(*r, False) for r in runs])
+            for start, end, whole in gone:
+                if cuts and start < cuts[-1][1]:
+                    cuts[-1] = (cuts[-1][0], max(end, cuts[-1][1]), whole and cuts[-1][2])
+                else:
+                    cuts.append((start, end, whole))
+            for start, end, whole in cuts:
+                before, after = text[start - 1 : start], text[end : end + 1]
+                # The line feed before a paragraph goes; of a passage the white space, unless the rest of its line stays.
+                if start > last and (before == "\n" if whole else before != "\n" or after in ("", "\n")):
+                    start -= 1
                 parts.append(text[last:start])
-                last = p["end"]
+                last = end
             kept = "".join([*parts, text[last:]])
-            rows.append((len(paragraphs(text)), len(gone), len(text) - len(kept), sorted({p["class"] for p in pars}), hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), kept))
+            rows.append((len(paragraphs(text)), len(gone), len(text) - len(kept), sorted({p["class"] for p in [*pars, *windows]}), hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), kept))
         return pd.DataFrame(rows, columns=["n_paragraphs", "n_removed", "n_chars_removed", "class_ids", "kept_sha256", "kept"])
 
     doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
-    return _with_text(docs, lists, "left").select(doc_id, rest("text", "pars").alias("r")).select("doc_id", "r.*")
+    return _with_text(docs, lists, "left").select(doc_id, rest("text", "pars", "passages").alias("r")).select("doc_id", "r.*")

@@ -97,3 +97,55 @@ def test_bands_find_similar():
         t[:11] = rng.integers(0, 1 << 63, 11).astype(np.uint64)
         hits += bool(set(P.bands(np.unique(s)).tolist()) & set(P.bands(np.unique(t)).tolist()))
     assert hits >= 199
+
+
+def test_passages_in_running_text(docs):
+    rng = random.Random(5)
+    other = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, pairs = [], []
+    for k, (size, line) in enumerate([(z, n) for z in (50, 51, 60, 80, 100) for n in (150, 400)] * 2):
+        shared = other(size)
+        for j in range(2):
+            cut = rng.randint(1, line - size - 1)
+            rows.append((2 * k + j, " ".join([*other(cut), *(w.upper() if j else w for w in shared), *other(line - size - cut)]), "s"))
+        pairs.append((size, rows[-1][1], " ".join(shared).upper()))
+    got = {r.doc_id: r for r in P.dedup_paragraphs(docs(rows)).collect()}
+    for k, (size, text, shared) in enumerate(pairs):
+        first, second = got[2 * k], got[2 * k + 1]
+        assert first.n_removed == 0 and first.kept == rows[2 * k][1]
+        if size == 50:
+            assert second.n_removed == 0 and second.class_ids == []
+        else:
+            assert first.class_ids == second.class_ids == [2 * k] and second.n_removed >= 1
+            assert second.kept == text.replace(" " + shared, "")
+
+
+def test_passages_against_all_windows(docs):
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(300)]
+    base = [rng.choice(pool) for _ in range(400)]
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 3)):
+            a, cut = rng.randrange(300), rng.randint(5, 40)
+            own = [rng.choice(pool) for _ in range(60)]
+            lines.append(" ".join([*own[:cut], *base[a : a + rng.randint(30, 95)], *own[cut:]]))
+        rows.append((i, "\n".join(lines), "s"))
+    stand, kept = {}, {}
+    for i, t, _ in rows:
+        words = t.split()
+        for s in range(len(words) - 50):
+            stand.setdefault(tuple(words[s : s + 51]), []).append((i, s))
+    gone, classes = {i: set() for i, *_ in rows}, {i: set() for i, *_ in rows}
+    for at in stand.values():
+        for i, s in at:
+            if len({j for j, _ in at}) > 1:
+                classes[i].add(at[0][0])
+                if i != at[0][0]:
+                    gone[i] |= set(range(s, s + 51))
+    assert sum(map(bool, gone.values())) > 10
+    for r in P.dedup_paragraphs(docs(rows)).collect():
+        words = rows[r.doc_id][1].split()
+        assert r.kept.split() == [w for k, w in enumerate(words) if k not in gone[r.doc_id]]
+        assert r.class_ids == sorted(classes[r.doc_id])
