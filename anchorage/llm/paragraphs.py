@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,7 +85,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8, split: Callable[[str | None], list[tuple[int, int, list[str]]]] = paragraphs) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, start, end, par) of each paragraph that counts, and (node, component): the number of the component of each par, the hash of a paragraph's words, that is linked to another.
 
     Equal paragraphs are one node, however many there are. Distinct ones meet where a band of their MinHashes is the same;
@@ -98,7 +98,7 @@ def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[Dat
         for b in batches:
             rows = []
             for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
-                for start, end, words in paragraphs(text):
+                for start, end, words in split(text):
                     joined = " ".join(words).lower()
                     rows.append((doc_id, th, start, end, hashlib.md5(joined.encode("utf-8", "replace")).digest(), bands(shingles(joined.split())).view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "par", "bands"])
@@ -149,6 +149,15 @@ def clusters(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> tuple[Dat
     return at, named
 
 
+def near_copies(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """docs(doc_id, text), no nulls -> distinct (doc_id, th) of the documents that go: all but the smallest doc_id of each component of whole texts linked from a Jaccard similarity of `least` on 5-word shingles."""
+    at, comp = clusters(scratch, docs, least, lambda text: [(0, len(text), text.split())])
+    named = at.join(comp, F.col("par") == F.col("node"), "left").select("doc_id", "th", F.coalesce(F.concat(F.lit("component "), F.col("component").cast("string")).cast("binary"), F.col("par")).alias("c"))
+    named = scratch.put(named.distinct())
+    kept = named.groupBy("c").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep < last")
+    return named.join(kept, "c").where("doc_id <> keep").select("doc_id", "th").distinct()
+
+
 def dedup_paragraphs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, class_ids, n_paragraphs, n_removed, n_chars_removed, kept_sha256, kept), one row for each row of docs.
 
