@@ -21,8 +21,6 @@ NEEDED = {"email": "%@%", "ip": "%.%.%.%", "card": None, "phone": "%+%"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Tokens that may identify somebody: with a digit or @, and the groups of digits that follow one.
 MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9().-]++(?!\S))*+"
-#: Code points beside a mention in which its context word is looked for.
-BESIDE = 64
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -85,29 +83,38 @@ def mentions(marked: DataFrame) -> DataFrame:
     at = marked.where(text.rlike("[0-9@]")).withColumn("gaps", F.split(text, MENTION, -1)).withColumn("found", located(text, MENTION))
     # The outer explode keeps the optimizer from looking for mentions once more to filter on them first.
     at = at.select("doc_id", "text_hash", "base", "gaps", F.posexplode_outer("found").alias("i", "m")).where("i is not null")
-    left = F.regexp_extract(ascii_lower(F.right(F.element_at("gaps", F.col("i") + 1), F.lit(BESIDE))), r"(\S+)\s*$", 1)
-    right = F.regexp_extract(ascii_lower(F.left(F.element_at("gaps", F.col("i") + 2), F.lit(BESIDE))), r"^\s*(\S+)", 1)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("m.s", "[0-9]+", "9"), "[A-Za-z]+", "a"), r"[^\x00-\x7F]+", "u")
+    left = ascii_lower(F.regexp_extract(F.element_at("gaps", F.col("i") + 1), r"(?<!\S)(\S++)\s*+$", 1))
+    right = ascii_lower(F.regexp_extract(F.element_at("gaps", F.col("i") + 2), r"^\s*+(\S++)", 1))
+    tagged = lambda tag, word: F.when(F.length(word) > 0, F.concat(F.lit(tag), word))
+    both = F.when((F.length(left) > 0) & (F.length(right) > 0), F.concat(F.lit("B:"), left, F.lit(" "), right))
     inside = F.transform(F.filter("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))), lambda b: b["kind"])
     # The punctuation that closes a sentence is no part of an identifier.
     bare = F.regexp_replace("m.s", r"[.,;:!?\"')\]]+$", "")
     return at.select(
-        "doc_id", "text_hash", F.col("m.start").alias("start"), (F.col("m.start") + F.length(bare)).alias("end"), bare.alias("instance"), shape.alias("shape"),
-        F.array(F.concat(F.lit("L:"), left), F.concat(F.lit("R:"), right)).alias("contexts"), F.array_distinct(inside).alias("known"),
+        "doc_id", "text_hash", F.col("m.start").alias("start"), (F.col("m.start") + F.length(bare)).alias("end"), bare.alias("instance"),
+        F.array_compact(F.array(tagged("L:", left), tagged("R:", right), both)).alias("contexts"), F.array_distinct(inside).alias("known"),
     ).where(F.length("instance") > 0)
 
 
+def plausible(kind: Column, instance: Column) -> Column:
+    """Whether an added span can be of the kind at all: an email has an @, the others none and a phone's 5 or a card's or address's 4 digits at least."""
+    n = F.length(_digits(instance))
+    at = F.contains(instance, F.lit("@"))
+    return F.when(kind == "email", at).otherwise(~at & (n >= F.when(kind == "phone", 5).otherwise(4)))
+
+
 def bootstrap(scratch: Scratch, found: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.9) -> DataFrame:
     """found: mentions() -> (kind, pattern, confidence) of the patterns that are trusted in the end.
 
-    A pattern is a context word beside a mention together with the mention's shape. Patterns and instances make a
+    A pattern is a whole word to the left or right of a mention, or both together, whatever the mention's own form; what a
+    kind can look like at all is asked of an added span (see plausible()). Patterns and instances make a
     bipartite graph for each kind, its edges counted over the whole corpus before anything iterates. Seeds, the instances
     that a base pattern found, start at 1 and stay there; a pattern's confidence is the mean over its distinct instances,
     0 with under `support` believed ones; an instance's is the best of its patterns. Each round carries belief one
     step further, so patterns can be reached through instances that no base pattern knows.
     """
-    edges = found.select(F.explode("contexts").alias("word"), "shape", "instance", "known").where(F.length("word") > 2)
-    edges = edges.select(F.xxhash64("word", "shape").alias("pattern"), F.xxhash64("instance").alias("instance"), "known")
+    edges = found.select(F.explode("contexts").alias("word"), "instance", "known")
+    edges = edges.select(F.xxhash64("word").alias("pattern"), F.xxhash64("instance").alias("instance"), "known")
     edges = edges.groupBy("pattern", "instance").agg(F.array_distinct(F.flatten(F.collect_set("known"))).alias("known"))
     edges = scratch.put(edges)
     total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -140,8 +147,8 @@ def detect(docs: DataFrame, rounds: int = 3, support: int = 5, confident: float
     marked = marked.withColumn("base", F.coalesce("base", empty))
     found = scratch.put(mentions(marked))
     trusted = bootstrap(scratch, found, rounds, support, confident)
-    new = found.where(F.size("known") == 0).select("doc_id", "text_hash", "start", "end", F.explode("contexts").alias("word"), "shape").where(F.length("word") > 2)
-    new = new.withColumn("pattern", F.xxhash64("word", "shape")).join(trusted, "pattern")
+    new = found.where(F.size("known") == 0).select("doc_id", "text_hash", "start", "end", "instance", F.explode("contexts").alias("word"))
+    new = new.withColumn("pattern", F.xxhash64("word")).join(trusted, "pattern").where(plausible(F.col("kind"), F.col("instance")))
     best = new.groupBy("doc_id", "text_hash", "start", "end").agg(F.max(F.struct("confidence", F.col("kind").alias("kind"))).alias("b"))
     # Only texts in which a span was found or added have a row here; the rest are all zeros.
     added = best.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(F.col("b.kind").alias("kind"), "start", "end", F.lit("").alias("s"))).alias("more"))

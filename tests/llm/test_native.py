@@ -201,6 +201,14 @@ def test_pii_bootstrap_finds_unseen(docs):
     assert pii.digest(docs(rows)).count() == len(rows)
 
 
+def test_pii_bootstrap_crosses_shapes(docs):
+    rows = [(i, f"please write mailto user{i}@mail.example.com today or ring +44 171 55512{i:02} soon", "a") for i in range(40)]
+    rows += [(50, "please write mailto someone@localhost today", "a"), (51, "or ring 0171 555 1234 soon", "a"), (52, "or ring 7 soon", "a")]
+    rows += [(53, "x" * 80 + " a1b2c3 and 12345 " + "y" * 80, "a")]
+    got = {r.doc_id: r.spans for r in pii.digest(docs(rows)).collect()}
+    assert got[50] == "email:20:37" and got[51] == "phone:8:21" and got[52] == "" and got[53] == ""
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op8_decontamination"])
 def test_no_python_on_the_main_path(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
