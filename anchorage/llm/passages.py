@@ -1,129 +1,70 @@
-"""Verbatim passages that running text shares across documents: winnowed word grams, then every window compared."""
+"""Verbatim passages that running text shares across documents: windows of words that meet on their anchors."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
-from .suffix import _identified, _with_text
+from .suffix import _with_text
+from .words import BASES, run_hashes, scan
 
-#: Words of a passage that counts, and of the grams that passages meet on.
-PASSAGE, GRAM = 51, 20
-MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Rows of a frame of windows.
-ROWS = 100_000
-_WORD = re.compile(r"\S+")
+#: Words of a window that counts, and of the grams among which a window's anchor is the one of least hash.
+PASSAGE, GRAM = 51, 12
 
 
-def _words(text: str) -> np.ndarray:
-    """Hashes of the lower-cased words."""
-    low = text.lower()
-    words = low.split() if len(low) == len(text) else [w.lower() for w in text.split()]
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-
-
-def _places(text: str) -> np.ndarray:
-    """[start, end) of each word, in code points."""
-    return np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64).reshape(-1, 2)
-
-
-def _rolled(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of `width` words."""
-    s = np.zeros(len(h) - width + 1, dtype=np.uint64)
-    for i in range(width):
-        s = (s ^ h[i : len(h) - width + 1 + i]) * MIX
-        s ^= s >> np.uint64(29)
-    return s
-
-
-def _anchored(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each gram, for each window of PASSAGE words the gram of least hash in it, the first of several)."""
-    g = _rolled(h, GRAM)
-    least = sliding_window_view(g, PASSAGE - GRAM + 1).argmin(axis=1)
-    return g, least + np.arange(len(least))
-
-
-def repeated_passages(scratch: Scratch, docs: DataFrame, pars: DataFrame) -> DataFrame:
-    """docs(doc_id, text), pars(doc_id, th, pars: array of (start, end, gone, ...)) -> (doc_id, th, passages: sorted array of (start, end, gone, class)).
+def repeated_passages(scratch: Scratch, docs: DataFrame, anchored: DataFrame, pars: DataFrame) -> DataFrame:
+    """anchored(doc_id, th, grams: array of (w0, w1, h, c)), pars(doc_id, th, pars: array of (w0, w1, gone, ...)) -> (doc_id, th, passages: sorted array of (w0, w1, gone, class)).
 
     Each window of PASSAGE words, lower-cased and whatever white space parts them, that also stands under another doc_id
-    counts; windows that touch a line that is gone, or of which every word is in a piece that is gone, do not. The smallest doc_id keeps it and is its
-    class, in all others it is gone. Repeats within one document are left alone.
-
-    A window is known by the gram of least hash in it, which its own words decide, so equal windows have equal grams and
-    none is lost. Grams that only one document holds go first; of the others' windows the hash (with the gram's, 128 bits)
-    is counted over the corpus.
+    counts, unless all its words are in paragraphs that are gone. The smallest doc_id keeps it and is its class, in all
+    others it is gone. Repeats within one document are left alone.
+
+    1. Neighbouring windows with the same anchor are one run, known by the anchor's hash h and a hash c of all the run's
+       words. Equal windows have equal anchors, so runs whose anchor only one document has go first.
+    2. Of the others, runs that are equal as a whole are settled without a look at single windows.
+    3. The windows of open runs are compared one by one, with those of one run of each settled class that has the same
+       anchor: its first, which stands as long as no smaller doc_id has its windows.
+    Comparisons are of two 64-bit hashes.
     """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
-                h = _words(text or "")
-                if len(h) < PASSAGE:
-                    continue
-                g, least = _anchored(h)
-                # Neighbouring windows of one gram; all of them together reach from the start of the first to the end of the last.
-                lo, place = np.append(0, np.flatnonzero(np.diff(least)) + 1), _places(text)
-                hi = np.append(lo[1:], len(least)) - 1
-                rows.append((doc_id, th, place[lo, 0], place[hi + PASSAGE - 1, 1], g[least[lo]].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "th", "start", "end", "h"])
-
-    grams = scratch.put(_identified(docs).mapInPandas(read, "doc_id long, th int, start array<int>, end array<int>, h array<long>"))
-    left = grams.join(pars.select("doc_id", "th", F.filter("pars", lambda p: p["gone"]).alias("cut")), ["doc_id", "th"], "left")
-    left = left.select("doc_id", "th", F.coalesce("cut", F.array()).alias("cut"), F.arrays_zip("start", "end", "h").alias("grams"))
+    gone = pars.select("doc_id", "th", F.filter("pars", lambda p: p["gone"]).alias("cut")).where(F.size("cut") > 0)
+    left = anchored.where(F.size("grams") > 0).join(gone, ["doc_id", "th"], "left")
 
     def stands(g):
-        """Whether some word of the gram's windows is in no paragraph that is gone; one blank between two of them is no word."""
-        over = F.filter("cut", lambda p: (p["start"] < g["end"]) & (p["end"] > g["start"]))
-        inside = lambda n, p: n + F.least(p["end"], g["end"]) - F.greatest(p["start"], g["start"]) + 1
-        return F.aggregate(over, F.lit(0), inside) < g["end"] - g["start"] + 1
-
-    free = F.filter("grams", stands)
-    left = scratch.put(left.select("doc_id", "th", F.explode(F.array_distinct(F.transform(free, lambda g: g["h"]))).alias("h")))
-    scratch.drop(grams)
-    shared = left.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
-    marks = left.join(shared, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("h").alias("marks"))
-    marks = scratch.put(marks.join(pars.select("doc_id", "th", "pars"), ["doc_id", "th"], "left"))
-    scratch.drop(left)
+        """Whether some word of the run is in no paragraph that is gone."""
+        inside = lambda n, p: n + F.greatest(F.least(p["w1"], g["w1"]) - F.greatest(p["w0"], g["w0"]), F.lit(0))
+        return F.aggregate("cut", F.lit(0), inside) < g["w1"] - g["w0"]
+
+    runs = F.when(F.col("cut").isNull(), F.col("grams")).otherwise(F.filter("grams", stands))
+    runs = scratch.put(left.select("doc_id", "th", F.inline(runs)).distinct())
+    shared = scratch.put(runs.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"))
+    met = scratch.put(runs.join(shared, "h", "left_semi"))
+    scratch.drop(runs)
+    known = scratch.put(met.groupBy("h", "c").agg(F.min("doc_id").alias("class"), F.max("doc_id").alias("last")).where("class < last").drop("last"))
+    met = scratch.put(met.join(known, ["h", "c"], "left"))
+    open_runs = met.where("class is null")
+    anchors = scratch.put(open_runs.select("h").distinct())
+    firsts = met.where("class = doc_id").join(anchors, "h", "left_semi")
+    todo = open_runs.union(firsts.select(open_runs.columns)).groupBy("doc_id", "th").agg(F.collect_set(F.struct("w0", "w1", "h")).alias("runs"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, rows = [], 0
         for b in batches:
-            for doc_id, th, text, found, cuts in zip(b["doc_id"], b["th"], b["text"], b["marks"], b["pars"], strict=True):
-                h, place = _words(text), _places(text)
-                g, least = _anchored(h)
-                gone, lines = np.zeros(len(h) + 1, dtype=np.int64), np.zeros(len(h) + 1, dtype=np.int64)
-                for p in [] if cuts is None else cuts:
-                    if p["gone"]:
-                        lo, hi = np.searchsorted(place[:, 0], p["start"]) + 1, np.searchsorted(place[:, 1], p["end"], "right") + 1
-                        gone[lo:hi] = 1
-                        lines[lo:hi] = text[max(p["start"] - 1, 0) : p["start"]] in ("", "\n") and text[p["end"] : p["end"] + 1] in ("", "\n")
-                gone, lines = np.cumsum(gone), np.cumsum(lines)
-                counts = (gone[PASSAGE:] - gone[: len(least)] < PASSAGE) & (lines[PASSAGE:] == lines[: len(least)])
-                s = np.flatnonzero(np.isin(g[least].view(np.int64), np.asarray(found, dtype=np.int64)) & counts)
-                if len(s):
-                    key = _rolled(h, PASSAGE)[s].view(np.int64)
-                    parts.append(pd.DataFrame({"doc_id": doc_id, "th": th, "start": place[s, 0], "end": place[s + PASSAGE - 1, 1], "h1": key, "h2": g[least[s]].view(np.int64)}))
-                    rows += len(s)
-                if rows > ROWS:
-                    yield pd.concat(parts, ignore_index=True)
-                    parts, rows = [], 0
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
-
-    each = scratch.put(_with_text(docs, marks, "inner").mapInPandas(windows, "doc_id long, th int, start int, end int, h1 long, h2 long"))
-    scratch.drop(marks)
-    known = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    met = each.join(known, ["h1", "h2"]).select("doc_id", "th", F.struct("start", "end", (F.col("doc_id") != F.col("first")).alias("gone"), F.col("first").alias("class")).alias("w"))
-    out = scratch.put(met.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("w")).alias("passages")))
-    scratch.drop(each)
+            for doc_id, th, text, found in zip(b["doc_id"], b["th"], b["text"], b["runs"], strict=True):
+                w = scan([text])
+                n = np.array([r["w1"] - r["w0"] - PASSAGE + 1 for r in found])
+                at = np.concatenate([np.arange(r["w0"], r["w1"] - PASSAGE + 1) for r in found])
+                keys = run_hashes(w.h, at, at + PASSAGE, BASES[1]).view(np.int64)
+                yield pd.DataFrame({"doc_id": doc_id, "th": th, "w0": at.astype(np.int32), "h": np.repeat([r["h"] for r in found], n), "c": keys})
+
+    each = scratch.put(_with_text(docs, todo, "inner").mapInPandas(windows, "doc_id long, th int, w0 int, h long, c long"))
+    twice = scratch.put(each.groupBy("h", "c").agg(F.min("doc_id").alias("class"), F.max("doc_id").alias("last")).where("class < last").drop("last"))
+    passage = lambda df: df.select("doc_id", "th", F.struct("w0", "w1", (F.col("doc_id") != F.col("class")).alias("gone"), "class").alias("w"))
+    found = passage(met.where("class is not null")).union(passage(each.join(twice, ["h", "c"]).withColumn("w1", F.col("w0") + PASSAGE)))
+    out = scratch.put(found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("w")).alias("passages")))
+    for used in (met, known, anchors, each, twice):
+        scratch.drop(used)
     return out

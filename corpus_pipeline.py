@@ -30,7 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Candidates are found by MinHash bands and verified exactly; at 0.8 the SimHashes of op1 differ in far more than 3 bits.
     """
     text = F.coalesce("text", F.lit(""))
-    gone = paragraphs.near_copies(Scratch(spark), docs.where("doc_id is not null").select("doc_id", text.alias("text"))).toDF("__id", "__th")
+    found = paragraphs.near_copies(Scratch(spark), docs.where("doc_id is not null").select("doc_id", text.alias("text")))
+    gone = found.where("component <> doc_id").select("doc_id", "th").distinct().toDF("__id", "__th")
     return docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.hash(text) == F.col("__th")), "left_anti")
 
 
