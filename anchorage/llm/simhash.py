@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -54,28 +54,50 @@ def _vantage_points(n: int) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(f"vantage {i}", SEED)).view(np.int64)) for i in range(n)]
 
 
-def _masks(bands: int, radius: int) -> list[int]:
-    """Bit sets such that two fingerprints within the radius agree on all bits of at least one of them.
+def _masks(trees: int) -> list[int]:
+    """The bits of each tree's metric: 64 bits in `trees` stretches."""
+    edges = [round(64 * i / trees) for i in range(trees + 1)]
+    return [int(np.uint64(sum(1 << b for b in range(edges[i], edges[i + 1]))).view(np.int64)) for i in range(trees)]
+
+
+def _blocks(fps: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> None:
+    """The links between two sets of one shard."""
+    for at in range(0, len(a), 1024):
+        for lo in range(0, len(b), 4096):
+            near = np.bitwise_count(fps[a[at : at + 1024], None] ^ fps[None, b[lo : lo + 4096]]) <= radius
+            for i, j in zip(*np.nonzero(near), strict=True):
+                forest.unite(ids[a[at + i]].item(), ids[b[lo + j]].item())
 
-    64 bits in `bands` bands; `radius` differing bits touch at most `radius` bands, so bands - radius are untouched.
-    """
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    band = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(bands)]
-    return [int(np.uint64(sum(c)).view(np.int64)) for c in combinations(band, bands - radius)]
 
+def _linked(fps: np.ndarray, ids: np.ndarray, radius: int, forest: Forest, mask: int = -1, reach: int | None = None) -> None:
+    """All links of one shard, united in the forest, found through an in-memory vantage-point tree.
 
-def _linked(fps: np.ndarray, ids: np.ndarray, radius: int, forest: Forest) -> None:
-    """All links of one shard, united in the forest, found through an in-memory vantage-point tree."""
-    stack = [np.arange(len(fps))]
+    Distances to vantage points are over the mask's bits, of which linked points differ in at most `reach`; points that
+    are all alike there are parted over all bits.
+    """
+    bits, reach = np.uint64(mask & (1 << 64) - 1), radius if reach is None else reach
+    stack = [(np.arange(len(fps)), bits != np.uint64((1 << 64) - 1))]
     while stack:
-        own = stack.pop()
+        own, masked = stack.pop()
         if len(own) <= 256:
             x = fps[own]
             near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
             for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
                 forest.unite(ids[own[i]].item(), ids[own[j]].item())
             continue
-        d = np.bitwise_count(fps[own] ^ fps[own[0]])
+        far = fps[own] ^ fps[own[0]]
+        if masked:
+            d = np.bitwise_count(far & bits).astype(np.int64)
+            mu = min(int(np.median(d)), int(d.max()) - 1)
+            if mu < 0:
+                stack.append((own, False))
+                continue
+            inner, outer = d <= mu, d > mu
+            stack += [(own[inner], True), (own[outer], True)]
+            # Triangle bound: a pair across the sphere lies within its reach on both sides.
+            _blocks(fps, ids, own[inner & (d > mu - reach)], own[outer & (d <= mu + reach)], radius, forest)
+            continue
+        d = np.bitwise_count(far).astype(np.int64)
         mu = max(int(np.median(d)), radius)
         if mu == radius or d.max() <= mu:
             # The inner ball is one component through its centre, whatever else links there.
@@ -89,49 +111,59 @@ def _linked(fps: np.ndarray, ids: np.ndarray, radius: int, forest: Forest) -> No
                     for i in np.flatnonzero(near.any(axis=1)):
                         forest.unite(ids[rim[at + i]].item(), ids[own[0]].item())
             if len(outer):
-                stack.append(outer)
+                stack.append((outer, False))
             continue
         inner, outer = d <= mu, d > mu
-        stack += [own[inner], own[outer]]
-        # Triangle bound: a pair across the sphere lies within the radius of it on both sides.
-        a, b = own[inner & (d > mu - radius)], own[outer & (d <= mu + radius)]
-        for at in range(0, len(a), 1024):
-            for lo in range(0, len(b), 4096):
-                near = np.bitwise_count(fps[a[at : at + 1024], None] ^ fps[None, b[lo : lo + 4096]]) <= radius
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    forest.unite(ids[a[at + i]].item(), ids[b[lo + j]].item())
+        stack += [(own[inner], False), (own[outer], False)]
+        _blocks(fps, ids, own[inner & (d > mu - radius)], own[outer & (d <= mu + radius)], radius, forest)
+
 
+def shards(points: DataFrame, levels: int, radius: int = 3, trees: int = 2, ring: int = 3) -> DataFrame:
+    """points(fp, id) -> (fp, id, tree, mask, cell): each point in every shard of a tree that it has to be in.
 
-def links(scratch: Scratch, points: DataFrame, radius: int = 3, bands: int = 4, levels: int = 12, shard: int = 8192) -> DataFrame:
+    A tree's metric is the Hamming distance over one of `trees` stretches of bits. Two fingerprints within the radius differ
+    in at most reach = radius // trees bits of some stretch, and by the triangle inequality their distances to any vantage
+    point differ by no more. Each level has one vantage point and parts a node into rings of `ring` distances; a point
+    within `reach` below the edge of its ring stands in the next ring too, so both points of such a pair share a shard
+    at every level and all other branches are pruned for them.
+    """
+    reach = radius // trees
+    metric = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(m).alias("mask")) for t, m in enumerate(_masks(trees))]))
+    at = points.select("fp", "id", metric.alias("m")).select("fp", "id", "m.*", F.lit(0).cast("long").alias("cell"))
+    for v in _vantage_points(levels):
+        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.col("mask")))
+        rings = F.explode(F.sequence(F.floor(d / ring), F.floor((d + reach) / ring)))
+        at = at.select("fp", "id", "tree", "mask", "cell", rings.alias("ring")).withColumn("cell", F.xxhash64("cell", "ring")).drop("ring")
+    return at
+
+
+def _levels(n: int, leaf: int) -> int:
+    """Levels after which a shard of random fingerprints has about `leaf` points: each leaves 0.37 of a node's to a ring."""
+    return max(0, math.ceil(math.log(max(n, 1) / leaf) / -math.log(0.37)))
+
+
+def links(scratch: Scratch, points: DataFrame, radius: int = 3, trees: int = 2, leaf: int = 8192) -> DataFrame:
     """points(fp, id), distinct fingerprints -> links(a, b) that join all pairs within the radius; a spanning forest of each shard.
 
-    The distributed levels are vantage-point trees over band metrics: among `bands` bands of bits some bands - radius
-    hold no difference, so in the metric of those bits the query radius is 0 and the triangle bound |d(x,v) - d(y,v)| <= 0
-    leaves one branch at each vantage point. (Over all 64 bits at once distances crowd round 32, and the overlap of
-    radius 3 would hold some 60 % of the points at each level.) A leaf that still holds over `shard` points is split by
-    spheres round one of its own points in the full metric; points within the radius of the sphere go to a third,
-    boundary-overlapping shard. bands = 6 gives 20 trees of 32 bits for corpora beyond some 10^9 distinct fingerprints.
+    The distributed levels are shards(), as many as the number of points asks for. (One tree over all 64 bits would do
+    with no more than the radius, but random distances crowd round 32 with a deviation of 4, so radius 3 would put some
+    60 % of the points on both sides of each sphere; over 32 bits the reach is 1 and the deviation 2.8, so a level puts
+    a third of them in two rings and leaves 0.37 of a node to a shard.) A shard that still holds over 4 leaves is split
+    by spheres round one of its own points, see _split_crowded(). Within a shard the tree goes on in memory.
     """
     points = points.where("id is not null")
-    vps = _vantage_points(levels)
-    trees = []
-    for t, mask in enumerate(_masks(bands, radius)):
-        cell = F.lit(0).cast("long")
-        for v in vps:
-            cell = cell * 35 + F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(mask)))
-        # The mask's own bits tell cells apart that all vantage points see alike.
-        trees.append(F.struct(F.lit(t).alias("tree"), F.xxhash64(cell, F.col("fp").bitwiseAND(F.lit(mask))).alias("cell")))
-    at = points.select("fp", "id", F.inline(F.array(*trees)))
+    at = shards(points, _levels(points.count(), leaf), radius, trees)
     edges = None
-    crowded = at.groupBy("tree", "cell").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("v"), F.col("id").alias("vid"))).alias("c")).where(F.col("n") > shard)
+    crowded = at.groupBy("tree", "cell").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("v"), F.col("id").alias("vid"))).alias("c")).where(F.col("n") > 4 * leaf)
     crowded = scratch.put(crowded.select("tree", "cell", "n", "c.v", "c.vid"))
     if not crowded.isEmpty():
-        at, edges = _split_crowded(scratch, at, crowded, radius, shard)
-    schema = "a long, b long"
+        at, edges = _split_crowded(scratch, at, crowded, radius, 4 * leaf)
+    masks = _masks(trees)
+    reach = radius // trees
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts in whole_runs(batches, ["tree", "cell"]):
-            fps, ids, forest = frame["fp"].to_numpy().view(np.uint64), frame["id"].to_numpy(), Forest()
+            fps, ids, tree, forest = frame["fp"].to_numpy().view(np.uint64), frame["id"].to_numpy(), frame["tree"].to_numpy(), Forest()
             sizes = np.diff(starts)
             ends = np.repeat(starts[1:], sizes)
             small = np.repeat(sizes <= 256, sizes)
@@ -142,24 +174,30 @@ def links(scratch: Scratch, points: DataFrame, radius: int = 3, bands: int = 4,
                 for j in i[np.bitwise_count(fps[i] ^ fps[i + k]) <= radius]:
                     forest.unite(ids[j].item(), ids[j + k].item())
             for g in np.flatnonzero(sizes > 256):
-                _linked(fps[starts[g] : starts[g + 1]], ids[starts[g] : starts[g + 1]], radius, forest)
+                a, z = starts[g], starts[g + 1]
+                _linked(fps[a:z], ids[a:z], radius, forest, masks[tree[a]], reach)
             if forest.links:
                 yield pd.DataFrame(forest.links, columns=["a", "b"])
 
-    found = at.repartition("tree", "cell").sortWithinPartitions("tree", "cell").mapInPandas(run, schema)
+    at = at.select("fp", "id", "tree", "cell")
+    found = at.repartition("tree", "cell").sortWithinPartitions("tree", "cell").mapInPandas(run, "a long, b long")
     return found if edges is None else found.union(edges)
 
 
 def _split_crowded(scratch: Scratch, at: DataFrame, crowded: DataFrame, radius: int, shard: int) -> tuple[DataFrame, DataFrame]:
-    """Splits leaves of over `shard` points by spheres, at most eight times; also the links of each centre to its ball."""
+    """Splits shards of over `shard` points by spheres in the full metric, as long as that makes the largest smaller; also the links of each centre to its ball.
+
+    What resists, points all within a few bits of each other, stays one shard, whose task links it in memory."""
     done, edges = at.join(crowded.select("tree", "cell"), ["tree", "cell"], "left_anti").select("fp", "id", "tree", "cell"), None
-    hot = scratch.put(at.join(crowded.drop("n"), ["tree", "cell"]))
-    for step in range(8):
+    largest, step = crowded.agg(F.max("n")).first()[0], 0
+    hot = scratch.put(at.select("fp", "id", "tree", "cell").join(crowded.drop("n"), ["tree", "cell"]))
+    while True:
+        step += 1
         d = F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))).alias("d")
         hot = hot.select("fp", "id", "tree", "cell", "v", "vid", d)
         star = hot.where((F.col("d") <= radius) & (F.col("id") != F.col("vid"))).select(F.col("vid").alias("a"), F.col("id").alias("b"))
         edges = star if edges is None else edges.union(star)
-        mid = hot.groupBy("tree", "cell").agg(F.greatest(F.expr("percentile_approx(d, 0.5)"), F.lit(radius)).alias("mu"))
+        mid = scratch.put(hot.groupBy("tree", "cell").agg(F.greatest(F.expr("percentile_approx(d, 0.5)"), F.lit(radius)).alias("mu")))
         # A sphere of the query radius needs no inner shard: its ball is one component through the centre.
         part = F.filter(F.array(
             F.when((F.col("d") <= F.col("mu")) & (F.col("mu") > radius), F.lit("in")),
@@ -169,15 +207,17 @@ def _split_crowded(scratch: Scratch, at: DataFrame, crowded: DataFrame, radius:
         spread = hot.join(mid, ["tree", "cell"]).select("fp", "id", "tree", F.col("cell").alias("old"), F.explode(part).alias("side"))
         spread = spread.select("fp", "id", "tree", F.xxhash64("old", F.lit(step), "side").alias("cell"))
         size = spread.groupBy("tree", "cell").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", F.lit(step)).alias("h"), F.col("fp").alias("v"), F.col("id").alias("vid"))).alias("c"))
-        hot = scratch.put(spread.join(size.select("tree", "cell", "n", "c.v", "c.vid"), ["tree", "cell"]))
+        size = scratch.put(size.select("tree", "cell", "n", "c.v", "c.vid"))
+        hot = scratch.put(spread.join(size, ["tree", "cell"]))
+        most = size.agg(F.max("n")).first()[0]
+        if most <= shard or most >= largest:
+            return done.union(hot.select("fp", "id", "tree", "cell")), edges
+        largest = most
         done = done.union(hot.where(F.col("n") <= shard).select("fp", "id", "tree", "cell"))
         hot = hot.where(F.col("n") > shard)
-        if hot.isEmpty():
-            return done, edges
-    return done.union(hot.select("fp", "id", "tree", "cell")), edges
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, bands: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, trees: int = 2) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, fp, component_id), one row for each row of docs.
 
     component_id is the smallest doc_id reachable over fingerprints that differ in at most `radius` bits. Null, empty
@@ -187,8 +227,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, bands: int
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.put(fingerprints(docs, width))
-    points = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    found = scratch.put(links(scratch, points, radius, bands))
+    points = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    found = scratch.put(links(scratch, points, radius, trees))
     comp = connected_components(scratch, found)
-    label = points.join(comp, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    # Written, so that the join with rows can split a fingerprint that very many of them have.
+    label = scratch.put(points.join(comp, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id")))
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")

@@ -53,16 +53,47 @@ def clustered(n, seed, dense=0):
     return list(dict.fromkeys(fps))
 
 
-@pytest.mark.parametrize("shard,dense", [(8192, 0), (40, 300), (8192, 900)])
-def test_links_lose_nothing(spark, shard, dense):
-    fps = clustered(200, shard + dense, dense)
-    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)), i) for i, x in enumerate(fps)], "fp long, id long")
+def frame(spark, fps):
+    return spark.createDataFrame([(int(np.uint64(x).view(np.int64)), i) for i, x in enumerate(fps)], "fp long, id long")
+
+
+@pytest.mark.parametrize("leaf,dense,trees", [(8192, 0, 2), (10, 300, 2), (100, 900, 2), (8192, 900, 2), (100, 0, 1), (30, 200, 3)])
+def test_links_lose_nothing(spark, leaf, dense, trees):
+    fps = clustered(200, leaf + dense, dense)
     scratch = Scratch(spark)
-    comp = connected_components(scratch, simhash.links(scratch, df, shard=shard))
+    comp = connected_components(scratch, simhash.links(scratch, frame(spark, fps), leaf=leaf, trees=trees))
     got = {r.node: r.component for r in comp.collect()}
     assert [got.get(i, i) for i in range(len(fps))] == groups(fps)
 
 
+def test_vantage_points_make_the_shards(spark):
+    """Shards come from the distances alone; a pair within the radius shares one, and a random pair hardly ever does."""
+    fps = clustered(600, 5)
+    held = {}
+    for r in simhash.shards(frame(spark, fps), 6).collect():
+        held.setdefault(r.id, set()).add((r.tree, r.cell))
+    near = np.bitwise_count(np.array(fps, dtype=np.uint64)[:, None] ^ np.array(fps, dtype=np.uint64)[None, :])
+    assert all(held[i] & held[j] for i, j in zip(*np.nonzero(near <= 3)))
+    far = [bool(held[i] & held[j]) for i, j in zip(*np.nonzero(near > 20))]
+    assert sum(far) < 0.05 * len(far)
+    # Without vantage points there is one shard for each tree; each further one parts the shards again.
+    sizes = [simhash.shards(frame(spark, fps), k).select("tree", "cell").distinct().count() for k in (0, 1, 3)]
+    assert sizes[0] == 2 < sizes[1] < sizes[2]
+
+
+def test_in_memory_tree():
+    for mask, reach, seed in ((-1, None, 1), ((1 << 32) - 1, 1, 2)):
+        fps = np.array(clustered(900, seed, 600), dtype=np.uint64)
+        if reach == 1:
+            fps = np.concatenate([fps, fps[:700] & np.uint64(~((1 << 32) - 1) & (1 << 64) - 1)])
+            fps = np.unique(fps)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :])
+        near = (near <= 3) & (np.bitwise_count((fps[:, None] ^ fps[None, :]) & np.uint64(mask & (1 << 64) - 1)) <= (3 if reach is None else reach))
+        forest = simhash.Forest()
+        simhash._linked(fps, np.arange(len(fps)), 3, forest, mask, reach)
+        assert all(forest.root(int(i)) == forest.root(int(j)) for i, j in zip(*np.nonzero(near)))
+
+
 def test_documents(spark, docs, sf):
     rows = [(7, None, "a"), (3, "", "a"), (9, " \t", "a"), (5, "one two three four", "b"), (4, "ONE two\nthree  four", "b"), (4, "ONE two\nthree  four", "b"), (None, "one two three four", "b"), (8, "word " * 20000, "c")]
     got = Counter(map(tuple, simhash.near_duplicates(docs(rows)).select("doc_id", "component_id").collect()))
