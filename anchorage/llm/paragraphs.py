@@ -16,7 +16,7 @@ from .components import connected_components
 from .groups import Forest, whole_runs
 from .passages import GRAM, PASSAGE, repeated_passages
 from .store import Scratch
-from .suffix import NO_ID, _identified, _with_text
+from .suffix import _identified, _with_text
 from .words import BASES, MIX, Words, rolled, run_hashes, scan
 
 #: Words of a shingle.
@@ -135,8 +135,8 @@ def read(docs: DataFrame, least_words: int, whole: bool = False) -> DataFrame:
                 grams = _nested(np.searchsorted(glo, w.first), w0=g0, w1=g0 + (ghi - glo).astype(np.int32), h=h, c=c)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:z], batch.column("th")[a:z], pars, grams], names=["doc_id", "th", "pars", "grams"])
 
-    schema = "doc_id long, th int, pars array<struct<w0:int,w1:int,par:binary,bands:array<long>>>, grams array<struct<w0:int,w1:int,h:long,c:long>>"
-    return _identified(docs).mapInArrow(run, schema)
+    schema = "doc_id long, th long, pars array<struct<w0:int,w1:int,par:binary,bands:array<long>>>, grams array<struct<w0:int,w1:int,h:long,c:long>>"
+    return _identified(docs).drop("own").mapInArrow(run, schema)
 
 
 def components(scratch: Scratch, docs: DataFrame, pars: DataFrame, least: float = 0.8) -> DataFrame:
@@ -227,14 +227,14 @@ def _dealt(scratch: Scratch, crowd: DataFrame, least: float) -> tuple[DataFrame,
 
 
 def near_copies(scratch: Scratch, docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs(doc_id, text), no nulls -> distinct (doc_id, th, component): for each text the smallest doc_id of the texts linked to it from a Jaccard similarity of `least` on 5-word shingles, its own included."""
+    """docs(doc_id, text), no nulls -> distinct (doc_id, th, first): for each text the least (doc_id, th) of the texts linked to it from a Jaccard similarity of `least` on 5-word shingles, its own included."""
     every = scratch.put(read(docs, 0, whole=True))
     pars = every.select("doc_id", "th", F.inline("pars"))
     comp = components(scratch, docs, pars, least)
     named = scratch.put(_classed(pars, comp).select("doc_id", "th", "c").distinct())
     scratch.drop(every)
-    kept = scratch.put(named.groupBy("c").agg(F.min("doc_id").alias("component")))
-    return named.join(kept, "c").select("doc_id", "th", "component")
+    kept = scratch.put(named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("first")))
+    return named.join(kept, "c").select("doc_id", "th", "first")
 
 
 def _classed(pars: DataFrame, comp: DataFrame) -> DataFrame:
@@ -315,5 +315,4 @@ def dedup_paragraphs(docs: DataFrame, least: float = 0.8, least_words: int = 20)
             rows.append((len(linked), len(gone), len(text) - len(kept), sorted({p["class"] for p in found}), hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), kept))
         return pd.DataFrame(rows, columns=["n_linked", "n_removed", "n_chars_removed", "class_ids", "kept_sha256", "kept"])
 
-    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
-    return _with_text(docs, lists, "left").select(doc_id, rest("text", "pars", "passages").alias("r")).select("doc_id", "r.*")
+    return _with_text(docs, lists, "left").select(F.col("own").alias("doc_id"), rest("text", "pars", "passages").alias("r")).select("doc_id", "r.*")

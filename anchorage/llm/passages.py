@@ -60,7 +60,7 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, anchored: DataFrame, pa
                 keys = run_hashes(w.h, at, at + PASSAGE, BASES[1]).view(np.int64)
                 yield pd.DataFrame({"doc_id": doc_id, "th": th, "w0": at.astype(np.int32), "h": np.repeat([r["h"] for r in found], n), "c": keys})
 
-    each = scratch.put(_with_text(docs, todo, "inner").mapInPandas(windows, "doc_id long, th int, w0 int, h long, c long"))
+    each = scratch.put(_with_text(docs, todo, "inner").mapInPandas(windows, "doc_id long, th long, w0 int, h long, c long"))
     twice = scratch.put(each.groupBy("h", "c").agg(F.min("doc_id").alias("class"), F.max("doc_id").alias("last")).where("class < last").drop("last"))
     passage = lambda df: df.select("doc_id", "th", F.struct("w0", "w1", (F.col("doc_id") != F.col("class")).alias("gone"), "class").alias("w"))
     found = passage(met.where("class is not null")).union(passage(each.join(twice, ["h", "c"]).withColumn("w1", F.col("w0") + PASSAGE)))

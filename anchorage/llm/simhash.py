@@ -226,10 +226,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, trees: int
     each. An empty table gives none. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.put(fingerprints(docs, width))
-    points = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = scratch.put(links(scratch, points, radius, trees))
+    return grouped(scratch, scratch.put(fingerprints(docs, width)), radius, trees)
+
+
+def grouped(scratch: Scratch, rows: DataFrame, radius: int = 3, trees: int = 2) -> DataFrame:
+    """rows(doc_id, fp), written -> (doc_id, fp, component_id); doc_id of any orderable type. See near_duplicates()."""
+    points = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.when(F.col("first").isNotNull(), F.monotonically_increasing_id())))
+    found = scratch.put(links(scratch, points.select("fp", "id"), radius, trees))
     comp = connected_components(scratch, found)
+    # Least doc_ids are taken of numbered points, as numbers keep the rows of the trees short whatever a doc_id is.
+    comp = points.select("id", "first").join(comp, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("c"))
+    least = scratch.put(comp.where("id is not null").groupBy("c").agg(F.min("first").alias("component_id")))
+    named = scratch.put(comp.join(least, "c", "left").select("id", "component_id"))
     # Written, so that the join with rows can split a fingerprint that very many of them have.
-    label = scratch.put(points.join(comp, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id")))
+    label = scratch.put(points.join(named.where("id is not null"), "id", "left").select("fp", "component_id"))
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")

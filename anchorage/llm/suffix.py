@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
@@ -64,12 +64,17 @@ def _h128(raw: bytes, spans: Iterable[tuple[int, int]]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in spans]), dtype="<i8").reshape(-1, 2)
 
 
-#: Stands for a null doc_id while rows pass through pandas, which would turn a column with nulls into floats.
+#: Stands for a null doc_id while rows pass through pandas, which would turn a column with nulls into floats; th tells it from a doc_id of that number.
 NO_ID = -(1 << 63)
 
 
+def row_hash(doc_id="doc_id", text="text") -> Column:
+    """With doc_id, what tells rows apart: a hash of the text, and of whether there is a doc_id."""
+    return F.xxhash64(text, F.isnull(doc_id))
+
+
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("th"), "text")
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), row_hash().alias("th"), "text", F.col("doc_id").alias("own"))
 
 
 def _same(a: str, b: str):
@@ -79,7 +84,7 @@ def _same(a: str, b: str):
 def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Texts beside what was gathered for them; the texts are dealt once and only the lists are hashed."""
     joined = _identified(docs).alias("d").join(lists.hint("shuffle_hash").alias("l"), _same("d", "l"), how)
-    return joined.select("d.doc_id", "d.th", "d.text", *[f"l.{c}" for c in lists.columns if c not in ("doc_id", "th")])
+    return joined.select("d.doc_id", "d.th", "d.text", "d.own", *[f"l.{c}" for c in lists.columns if c not in ("doc_id", "th")])
 
 
 def _digits(docs: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def _digits(docs: DataFrame) -> DataFrame:
             n = [len(p) for p, _ in found]
             yield pd.DataFrame({"doc_id": b["doc_id"].repeat(n), "th": b["th"].repeat(n), "pos": np.concatenate([p for p, _ in found]), "h": np.concatenate([h for _, h in found])})
 
-    return _identified(docs).mapInPandas(run, "doc_id long, th int, pos int, h long")
+    return _identified(docs).drop("own").mapInPandas(run, "doc_id long, th long, pos int, h long")
 
 
 def _segments(raw: bytes, marks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,10 +123,13 @@ def _segments(raw: bytes, marks: np.ndarray, window: int) -> tuple[np.ndarray, n
     )
 
 
-def _classes(runs: DataFrame) -> DataFrame:
-    """runs with `n`, how many equal ones there are, and `rep`, whether it is the first of several."""
+def _classes(scratch: Scratch, runs: DataFrame) -> DataFrame:
+    """runs with `n`, how many equal ones there are, and `rep`, whether it is the first of several.
+
+    What is known of each class is written before it is joined, so that the join can split one with very many runs.
+    """
     first = F.struct("doc_id", "th", "lo")
-    known = runs.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1")
+    known = scratch.put(runs.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1"))
     out = runs.join(known, ["c1", "c2"], "left")
     several = F.col("n").isNotNull()
     return out.withColumns({"done": several, "rep": F.coalesce(several & (F.col("first") == first), F.lit(False))}).drop("c1", "c2", "n", "first")
@@ -175,7 +183,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     as an equal window has to have: so each window meets an equal one if there is any. Runs are compared as 128-bit hashes.
     """
     digits = _digits(docs)
-    twice = digits.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = scratch.put(digits.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     marks = scratch.put(digits.join(twice, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("marks")))
 
     def by_digit(raw, found):
@@ -213,21 +221,22 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
             mine=np.append(one, np.zeros(len(lows), dtype=bool)), settled=np.append(np.zeros(len(own), dtype=bool), np.ones(len(lows), dtype=bool)),
         )
 
-    key = "doc_id long, th int, lo int"
+    key = "doc_id long, th long, lo int"
     segs = _with_text(docs, marks, "left").mapInPandas(lambda it: _each(it, "marks", by_digit), f"{key}, hi int, p int, g long, c1 long, c2 long")
     segs = scratch.put(segs)
     scratch.drop(marks)
-    at = scratch.put(_classes(segs.where("p >= 0")))
+    at = scratch.put(_classes(scratch, segs.where("p >= 0")))
     bare = scratch.put(segs.where("p < 0").select("doc_id", "th", "lo", "hi", F.lit(None).cast("long").alias("g"), F.lit(None).cast("int").alias("j"), F.lit(True).alias("mine")))
     scratch.drop(segs)
     runs = at.where("not done")
-    runs = runs.union(at.where("rep").join(runs.select("g").distinct(), "g", "left_semi").select(*at.columns))
+    gs = scratch.put(runs.select("g").distinct())
+    runs = runs.union(at.where("rep").join(gs, "g", "left_semi").select(*at.columns))
     parts = _with_text(docs, _lists(runs, "lo", "hi", "p", "g", "rep"), "inner").mapInPandas(lambda it: _each(it, "runs", by_distance), f"{key}, hi int, g long, j int, stood boolean, c1 long, c2 long")
     parts = scratch.put(parts)
-    sub = scratch.put(_classes(parts))
+    sub = scratch.put(_classes(scratch, parts))
     scratch.drop(parts)
     alone = sub.where("not done and not stood").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(True).alias("mine"))
-    met = sub.where("rep or (stood and not done)").join(alone.select("g", "j").distinct(), ["g", "j"], "left_semi").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(False).alias("mine"))
+    met = sub.where("rep or (stood and not done)").join(scratch.put(alone.select("g", "j").distinct()), ["g", "j"], "left_semi").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(False).alias("mine"))
     todo = _lists(alone.union(met).union(bare), "lo", "hi", "mine")
     single = scratch.put(_with_text(docs, todo, "inner").mapInPandas(lambda it: _each(it, "runs", by_start), f"{key}, hi int, mine boolean, settled boolean, c1 long, c2 long"))
     again = scratch.put(single.where("not settled").groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"))
@@ -272,5 +281,4 @@ def dedup_substrings(docs: DataFrame, window: int = 200) -> DataFrame:
             rows.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": z} for a, z in cuts]))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
-    return _with_text(docs, found, "left").select(doc_id, cut("text", "spans").alias("r")).select("doc_id", "r.*")
+    return _with_text(docs, found, "left").select(F.col("own").alias("doc_id"), cut("text", "spans").alias("r")).select("doc_id", "r.*")
