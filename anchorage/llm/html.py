@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,6 +40,9 @@ MARKED = set(
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Elements too large to be a part that is marked: their class speaks of the page.
 WHOLE = {"html", "body", "main", "article"}
+#: Parts of running text: in an article no class or id makes them boilerplate, only their recurrence does.
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 
 def _apart(name: str, attrs: str, inside: bool) -> bool:
@@ -50,7 +54,7 @@ def _apart(name: str, attrs: str, inside: bool) -> bool:
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            if MARKED & set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())):
+            if not (inside and name in PROSE) and MARKED & set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())):
                 return True
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
             return True
@@ -60,9 +64,10 @@ def _apart(name: str, attrs: str, inside: bool) -> bool:
 
 
 class Page:
-    """The blocks of a page in order and the subtrees they stand in.
+    """The blocks of a page in order and the subtrees they stand in, boilerplate included.
 
-    blocks: (text, subtree); parent and hash: of each subtree; core: whether the subtree lies in an article or main.
+    blocks: (text, subtree); parent, hash: of each subtree; core: whether the subtree lies in an article or main; gone:
+    whether it is boilerplate, or in some, by what an element is or says.
     """
 
     def __init__(self, source: str):
@@ -73,43 +78,51 @@ class Page:
         self.gone: list[bool] = [False]
         self.content: list[list] = [[]]
         self.open: list[tuple[str, int]] = [("", 0)]  # inline elements stand in their block's subtree
+        self.count: Counter = Counter()  # of open elements by name
         self.run: list[str] = []
         self._read(source)
         self._flush()
-        self.hash = [0] * len(self.parent)
+        self.hash, self.full = [0] * len(self.parent), [False] * len(self.parent)
         for i in range(len(self.parent) - 1, -1, -1):  # children come after their parents
-            parts = [x if isinstance(x, str) else str(self.hash[x]) for x in self.content[i]]
-            self.hash[i] = xxhash.xxh64_intdigest("\x1f".join([self.name[i], *parts]), 0) - (1 << 63)
+            parts = [x if isinstance(x, str) else str(self.hash[x]) for x in self.content[i] if isinstance(x, str) or self.full[x]]
+            self.full[i] = bool(parts)
+            # A subtree counts by itself where it stands in an article or is a heading: there more has to be shown.
+            where = self.name[i] + "!" * (self.core[i] or self.name[i] in HEADINGS)
+            self.hash[i] = (xxhash.xxh64_intdigest("\x1f".join([where, *parts]), 0) >> 1 << 1 | where.endswith("!")) - (1 << 63)
 
     def _flush(self) -> None:
         if self.run:
             text = SPACE.sub(" ", entities.unescape("".join(self.run))).strip()
             self.run.clear()
             at = self.open[-1][1]
-            if text and not self.gone[at]:
+            if text:
                 self.blocks.append((text, at))
                 self.content[at].append(text)
 
     def _close(self, depth: int) -> None:
-        if any(n in BLOCK for n, _ in self.open[depth:]):
+        shut = [n for n, _ in self.open[depth:]]
+        if any(n in BLOCK for n in shut):
             self._flush()
+        self.count.subtract(shut)
         del self.open[depth:]
 
     def _end(self, name: str) -> None:
+        if not self.count[name]:  # without this, many stray end tags would each search all that is open
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth][0] == name:
                 self._close(depth)
                 return
 
     def _start(self, name: str, attrs: str) -> None:
-        if name in ENDS_P:
+        if name in ENDS_P and self.count["p"]:
             for depth in range(len(self.open) - 1, 0, -1):
                 if self.open[depth][0] == "p":
                     self._close(depth)
                     break
                 if self.open[depth][0] in BLOCK:
                     break
-        if name in ENDS:
+        if name in ENDS and any(self.count[x] for x in ENDS[name]):
             for depth in range(len(self.open) - 1, 0, -1):
                 if self.open[depth][0] in SCOPE[name]:
                     break
@@ -126,10 +139,10 @@ class Page:
             self.core.append(self.core[at] or name in ("article", "main") or 'role="main"' in attrs)
             self.gone.append(self.gone[at] or apart)
             self.content.append([])
-            if not self.gone[new]:
-                self.content[at].append(new)
+            self.content[at].append(new)
             at = new
         self.open.append((name, at))
+        self.count[name] += 1
 
     def _read(self, source: str) -> None:
         at = 0
@@ -163,17 +176,16 @@ class Page:
         self.run.append(source[at:])
 
     def kept(self, templates: frozenset | set = frozenset()) -> list[str]:
-        """Blocks of the article: within article or main where a page has one with text, outside all subtrees in templates."""
+        """Blocks of the article: outside all subtrees in templates and boilerplate elements, and within article or main where a page has one with text."""
         cut = [self.gone[0]]
         for i in range(1, len(self.parent)):
-            cut.append(cut[self.parent[i]] or self.hash[i] in templates)
-        core = any(self.core[at] for _, at in self.blocks)
+            cut.append(cut[self.parent[i]] or self.gone[i] or self.hash[i] in templates)
+        core = any(self.core[at] and not self.gone[at] for _, at in self.blocks)
         return [t for t, at in self.blocks if not cut[at] and (self.core[at] or not core)]
 
     def subtrees(self) -> set[int]:
-        """Hashes of the subtrees that hold text and are not the whole of it."""
-        full = {i for i in range(len(self.parent)) if self.content[i] and not self.gone[i] and self.name[i] not in WHOLE}
-        return {self.hash[i] for i in full if i}
+        """Hashes of all subtrees that hold text and are no whole page or article; odd ones are of an article or a heading."""
+        return {self.hash[i] for i in range(1, len(self.parent)) if self.full[i] and self.name[i] not in WHOLE}
 
 
 def host_of(url: Column) -> Column:
@@ -181,10 +193,13 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, share: float = 0.4, least: int = 8) -> DataFrame:
-    """(host, subtree): subtrees that stand in at least `share` and `least` of the host's pages of different main text.
+def templates(scratch: Scratch, pages: DataFrame, share: float = 0.4, margin: float = 0.05, least: int = 8) -> DataFrame:
+    """(host, subtree): subtrees that stand in many of the host's pages of different main text.
 
-    Pages with the same main text count once, so that an article which a host holds in many copies is no template.
+    Many is `least` pages and a share of the host's: `margin` for what stands outside articles, where menus, footers and
+    notices are; `share` for headings and for what stands within an article, which can recur without being the site's.
+    All subtrees are counted, whatever their elements are called. Pages with the same main text count once, so that an
+    article which a host holds in many copies is no template.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,27 +213,28 @@ def templates(pages: DataFrame, share: float = 0.4, least: int = 8) -> DataFrame
             yield pd.DataFrame({"host": [r[0] for r in rows], "body": [r[1] for r in rows], "subtree": pd.array([r[2] for r in rows], dtype="Int64")})
 
     found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, body long, subtree long").distinct()
-    counts = found.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    total = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    return counts.where("subtree is not null").join(total, "host").where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("host", "subtree")
+    counts = scratch.put(found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.isnull("subtree") | (F.col("n") >= least)))
+    total = scratch.put(counts.where("subtree is null").select("host", F.col("n").alias("pages")))
+    need = F.when(F.col("subtree") % 2 == 0, F.lit(margin)).otherwise(share)
+    return counts.where("subtree is not null").join(total, "host").where(F.col("n") >= need * F.col("pages")).select("host", "subtree")
 
 
 #: Rows of templates up to which they are sent to every executor; beyond it they meet their pages in a join.
 BROADCAST_ROWS = 200_000
 
 
-def main_text(pages: DataFrame, share: float = 0.4, least: int = 8) -> DataFrame:
+def main_text(pages: DataFrame, share: float = 0.4, margin: float = 0.05, least: int = 8) -> DataFrame:
     """pages(page_id, url, html, ...) -> (page_id, url, text, n_chars), one row for each row of pages.
 
     A first pass hashes each page's subtrees, bottom up from their text, and counts them per host; a second deletes the
-    subtrees that recur (see templates()) as well as those that are no article by their element, role, class or id, and
-    joins the blocks that remain by two line feeds. Within a block white space is one space; character references are
+    subtrees that recur (see templates()) as well as those that are no article by their element, role, class or id (within
+    an article paragraphs and headings are not judged by class or id), and joins the blocks that remain by two line feeds. Within a block white space is one space; character references are
     decoded once. Where a page has article or main elements with text, only they count. Null, empty and textless pages
     give "". Broken markup is read like browsers read it: raw elements run to their end tag, paragraphs end where a block
     begins, end tags without a start are passed over. A null url is a host of its own. Repeated rows come back each.
     """
     scratch = Scratch(pages.sparkSession)
-    hits = scratch.put(templates(pages, share, least))
+    hits = scratch.put(templates(scratch, pages, share, margin, least))
     rows = pages.select("page_id", "url", "html")
     if (n := hits.count()) <= BROADCAST_ROWS:
         by_host: dict[str, set[int]] = {}
@@ -238,7 +254,7 @@ def main_text(pages: DataFrame, share: float = 0.4, least: int = 8) -> DataFrame
         def text(found: pd.Series, sources: pd.Series) -> pd.Series:
             return pd.Series(["\n\n".join(Page(s or "").kept(set() if f is None else set(f))) for f, s in zip(found, sources, strict=True)], dtype=object)
 
-        # One row for each host, whose list is bounded by 1 / share times the subtrees of its mean page.
+        # One row for each host, whose list is bounded by 1 / margin times the subtrees of its mean page.
         lists = hits.groupBy("host").agg(F.collect_set("subtree").alias("found")).withColumnRenamed("host", "__host")
         out = rows.join(lists, host_of(F.col("url")) == F.col("__host"), "left").withColumn("text", text("found", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

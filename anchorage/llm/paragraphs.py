@@ -17,7 +17,7 @@ from .groups import Forest, whole_runs
 from .passages import GRAM, PASSAGE, repeated_passages
 from .store import Scratch
 from .suffix import _identified, _with_text
-from .words import BASES, MIX, Words, rolled, run_hashes, scan
+from .words import BASES, MIX, Words, rolled, run_hashes, scan, slices
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -25,8 +25,6 @@ SHINGLE = 5
 BANDS, ROWS = 10, 3
 #: Distinct paragraphs in a band's bucket from which on the bucket is dealt over several tasks.
 CROWD = 1000
-#: Code points of texts worked on at a time.
-SLICE = 1 << 22
 _rng = np.random.Generator(np.random.PCG64(7))
 MULT = _rng.integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 ADD = _rng.integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64)
@@ -66,19 +64,6 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of about SLICE code points; a longer text is one by itself."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > SLICE:
-            yield a, i
-            a, size = i, 0
-        size += n
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def _nested(owner_first: np.ndarray, **columns) -> pa.Array:
     """A list of structs for each text, from flat columns."""
     flat = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
@@ -117,7 +102,7 @@ def read(docs: DataFrame, least_words: int, whole: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column("text").to_pylist()
-            for a, z in _slices(every):
+            for a, z in slices(every):
                 w = scan(every[a:z])
                 lo, hi = (w.first[:-1], w.first[1:]) if whole else lines_of(w, least_words)
                 several = hi - lo >= SHINGLE
@@ -161,7 +146,7 @@ def components(scratch: Scratch, docs: DataFrame, pars: DataFrame, least: float
     def reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, found = b["text"].tolist(), b["pars"].tolist()
-            for a, z in _slices(texts):
+            for a, z in slices(texts):
                 w, rows = scan(texts[a:z]), []
                 for first, some in zip(w.first[:-1].tolist(), found[a:z], strict=True):
                     rows += [(p["id"], np.unique(rolled(w.h[first + p["w0"] : first + p["w1"]], SHINGLE)).tobytes()) for p in some]
@@ -303,16 +288,16 @@ def dedup_paragraphs(docs: DataFrame, least: float = 0.8, least_words: int = 20)
 
     @F.pandas_udf("n_linked long, n_removed long, n_chars_removed long, class_ids array<long>, kept_sha256 string, kept string")
     def rest(texts: pd.Series, pars: pd.Series, passages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, some, more in zip(texts, pars, passages, strict=True):
-            found = [x for x in (some, more) if x is not None]
-            text, found = text or "", [p for x in found for p in x]
-            linked, gone = _runs([(p["w0"], p["w1"]) for p in found]), _runs([(p["w0"], p["w1"]) for p in found if p["gone"]])
-            kept = text
-            if gone:
-                w = scan([text])
-                kept = _without(text, [(int(w.start[a]), int(w.end[z - 1])) for a, z in gone])
-            rows.append((len(linked), len(gone), len(text) - len(kept), sorted({p["class"] for p in found}), hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), kept))
+        rows, every = [], texts.tolist()
+        lists = [[p for x in both if x is not None for p in x] for both in zip(pars, passages, strict=True)]
+        for a, z in slices(every):
+            cut = [_runs([(p["w0"], p["w1"]) for p in found if p["gone"]]) for found in lists[a:z]]
+            w = scan([t if gone else None for t, gone in zip(every[a:z], cut, strict=True)])
+            for i, gone in enumerate(cut):
+                text, found, first = every[a + i] or "", lists[a + i], int(w.first[i])
+                kept = _without(text, [(int(w.start[first + lo]), int(w.end[first + hi - 1])) for lo, hi in gone]) if gone else text
+                linked = _runs([(p["w0"], p["w1"]) for p in found])
+                rows.append((len(linked), len(gone), len(text) - len(kept), sorted({p["class"] for p in found}), hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), kept))
         return pd.DataFrame(rows, columns=["n_linked", "n_removed", "n_chars_removed", "class_ids", "kept_sha256", "kept"])
 
     return _with_text(docs, lists, "left").select(F.col("own").alias("doc_id"), rest("text", "pars", "passages").alias("r")).select("doc_id", "r.*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 from .suffix import _with_text
-from .words import BASES, run_hashes, scan
+from .words import BASES, run_hashes, scan, slices
 
 #: Words of a window that counts, and of the grams among which a window's anchor is the one of least hash.
 PASSAGE, GRAM = 51, 12
@@ -53,12 +53,18 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, anchored: DataFrame, pa
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc_id, th, text, found in zip(b["doc_id"], b["th"], b["text"], b["runs"], strict=True):
-                w = scan([text])
-                n = np.array([r["w1"] - r["w0"] - PASSAGE + 1 for r in found])
-                at = np.concatenate([np.arange(r["w0"], r["w1"] - PASSAGE + 1) for r in found])
-                keys = run_hashes(w.h, at, at + PASSAGE, BASES[1]).view(np.int64)
-                yield pd.DataFrame({"doc_id": doc_id, "th": th, "w0": at.astype(np.int32), "h": np.repeat([r["h"] for r in found], n), "c": keys})
+            texts = b["text"].tolist()
+            for a, z in slices(texts):
+                w, lists = scan(texts[a:z]), b["runs"].iloc[a:z]
+                some = np.array([(r["w0"], r["w1"], r["h"]) for found in lists for r in found], dtype=np.int64).reshape(-1, 3)
+                owner = np.repeat(np.arange(a, z), [len(found) for found in lists])
+                n = some[:, 1] - some[:, 0] - PASSAGE + 1
+                # Each run's windows, one after another.
+                at = np.repeat(some[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                owner = np.repeat(owner, n)
+                lo = at + w.first[owner - a]
+                keys = run_hashes(w.h, lo, lo + PASSAGE, BASES[1]).view(np.int64)
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[owner], "th": b["th"].to_numpy()[owner], "w0": at.astype(np.int32), "h": np.repeat(some[:, 2], n), "c": keys})
 
     each = scratch.put(_with_text(docs, todo, "inner").mapInPandas(windows, "doc_id long, th long, w0 int, h long, c long"))
     twice = scratch.put(each.groupBy("h", "c").agg(F.min("doc_id").alias("class"), F.max("doc_id").alias("last")).where("class < last").drop("last"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 
 #: Code points worked on at a time; longer texts are cut at white space.
 CHUNK = 1 << 20
+#: Code points of texts that go together.
+SLICE = 1 << 22
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Odd numbers, so that they have inverses modulo 2^64: a run's hash is a difference of prefix sums, moved back to power 0.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -106,3 +108,16 @@ def _group(pieces: list[tuple[int, int, int, str]]) -> tuple[np.ndarray, ...]:
     moved = (offset - base)[own]
     h = run_hashes(mixed((s.astype(np.uint64) + np.uint64(1)) * MIX), lo, hi)
     return owner[own], lo + moved, hi + moved, (feeds[lo] - feeds[base[own]]) + before[own], h
+
+
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of about SLICE code points; a longer text is one by itself."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > SLICE:
+            yield a, i
+            a, size = i, 0
+        size += n
+    if a < len(texts):
+        yield a, len(texts)

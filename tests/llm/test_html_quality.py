@@ -1,5 +1,7 @@
 """HTML extraction and the quality classifier."""
 
+import random
+import time
 import zlib
 
 import pytest
@@ -38,6 +40,71 @@ def test_site_templates_go(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def site(seed, n=60):
+    """Pages of nested div and p alone, with no class, role or article: menus, notices and a footer that recur, and own text. Also what is own."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    menu, foot = [" ".join(word() for _ in range(2)) for _ in range(6)], "imprint " + word()
+    notices = [" ".join(word() for _ in range(9)) for _ in range(3)]
+    pages, own = [], []
+    for i in range(n):
+        text = [" ".join(word() for _ in range(rng.randint(5, 30))) for _ in range(rng.randint(1, 5))]
+        aside = notices[i % 3] if i % 2 else None  # each on a sixth of the pages
+        parts = ["<div><div>" + "".join(f"<div>{m}</div>" for m in menu) + "</div>", *[f"<p>{t}</p>" for t in text], f"<div><p>{aside}</p></div>" if aside else "", f"<div>{foot}</div></div>"]
+        pages.append("<html><body>" + "".join(parts) + "</body></html>")
+        own.append(text)
+    return pages, own
+
+
+def brute_templates(pages, least, share):
+    """Subtrees, as their texts in order with the elements round them, that stand on enough pages; by an XML parser."""
+    from xml.etree import ElementTree
+
+    def tree(e):
+        return (e.tag, e.text or "", tuple(tree(x) for x in e))
+
+    held = [{tree(x) for x in ElementTree.fromstring(p).iter() if x.tag not in ("html", "body")} for p in pages]
+    return {t for h in held for t in h if sum(t in x for x in held) >= max(least, share * len(pages))}
+
+
+def test_recurrence_alone_removes_boilerplate(spark):
+    """No list of elements or classes can see these; the count over the host removes just what a brute-force count does."""
+    from xml.etree import ElementTree
+
+    sites = [site(1), site(2, 30), site(3, 6)]
+    rows = [(100 * h + i, f"https://host{h}.example.com/{i}", p) for h, (pages, _) in enumerate(sites) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for h, (pages, own) in enumerate(sites):
+        gone = brute_templates(pages, 8, 0.05)
+        assert bool(gone) == (len(pages) >= 8)  # a host of six pages has no template yet
+
+        def left(e):
+            sub = (lambda f: f(f, e))(lambda f, x: (x.tag, x.text or "", tuple(f(f, y) for y in x)))
+            return [] if sub in gone else ([e.text] if e.text else []) + [t for x in e for t in left(x)]
+
+        for i, p in enumerate(pages):
+            assert got[100 * h + i] == "\n\n".join(left(ElementTree.fromstring(p)))
+            if h == 0:
+                assert got[i] == "\n\n".join(own[i])
+
+
+def test_article_text_is_not_judged_by_class(spark):
+    page = "<article><p class='share alert'>Kept words</p><div class='share'>Tweet</div><h2 id='related-work'>Related work</h2><p>More</p></article>"
+    assert kept(page) == "Kept words\n\nRelated work\n\nMore"
+    # A phrase that recurs in articles of a host on a tenth of its pages stays, on half of them it goes.
+    rows = [(i, "http://a.example.com/", f"<article><p>Text {i}</p>{'<p>Once in a while</p>' if i % 10 == 0 else ''}{'<p>Sign up below</p>' if i % 2 else ''}</article>") for i in range(100)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == "Text 10\n\nOnce in a while" and got[11] == "Text 11"
+
+
+def test_broken_pages_take_linear_time():
+    for piece in ("<b>x</i>", "<p><b>", "</div>", "<li><b>x", "<td></span>", "<div>", "&amp;<br>"):
+        before = time.perf_counter()
+        html.Page(piece * 20000).kept()
+        assert time.perf_counter() - before < 5, piece
+    assert len(kept("<p>" + "long text " * 200000 + "</p>")) == 1999999
+
+
 def test_site_templates_by_join(spark, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST_ROWS", -1)
     df = spark.createDataFrame([(i, "https://a.example.com/", f"<div><p>Read our daily letter</p><p>Own {i}</p></div>") for i in range(20)], "page_id long, url string, html string")
@@ -82,3 +149,35 @@ def test_repeated_documents_stay_within_the_sample(spark, docs):
     rows = [(1, "good words", "a")] * 30 + [(2, "bad### words", "a")] * 30
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.train(docs(rows), labels, max_rows=40).weights.shape == (1 << quality.BITS,)
+
+
+def test_ftrl_against_the_formulas():
+    """The fit against follow-the-regularised-leader written out weight by weight in plain Python."""
+    from math import exp, sqrt
+
+    rng = random.Random(0)
+    texts = [" ".join(rng.choice(["good", "fine", "prose"] if i % 2 else ["bad!!", "junk##", "prose"]) + str(rng.randrange(5)) for _ in range(6)) for i in range(24)]
+    rows, labels, alpha, beta, l1, l2 = [quality.features(t) for t in texts], [i % 2 for i in range(24)], 0.7, 1.3, 0.05, 0.2
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (1 if z[i] > 0 else -1) * l1) / ((beta + sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for (idx, x), y in zip(rows, labels):
+            feats = [*zip(idx.tolist(), x.tolist()), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in feats}
+            p = 1 / (1 + exp(-sum(w[i] * v for i, v in feats)))
+            for i, v in feats:
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (sqrt(n.get(i, 0.0) + g * g) - sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    m = quality.fit(rows, labels, 3, alpha, beta, l1, l2)
+    assert abs(m.bias - weight("bias")) < 1e-9
+    assert all(abs(m.weights[i] - weight(i)) < 1e-5 for i in z if i != "bias") and (m.weights != 0).sum() <= len(z)
+    for t in texts:
+        idx, x = quality.features(t)
+        want = 1 / (1 + exp(-sum(weight(i) * v for i, v in zip(idx.tolist(), x.tolist())) - weight("bias")))
+        assert abs(m.score(t) - want) < 1e-5
