@@ -16,6 +16,8 @@ KINDS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Matches of a text that are placed at a time.
+STRETCH = 128
 #: What a text must hold for a kind to be looked for at all.
 NEEDED = {"email": "%@%", "ip": "%.%.%.%", "card": None, "phone": "%+%"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -38,7 +40,12 @@ def located(text: Column, pattern: str) -> Column:
         end = start + F.length(x["s"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    # Arrays grow by copies, so places are found within stretches of matches first, and then those of the stretches.
+    last = F.greatest(F.ceil(F.size(found) / STRETCH).cast("int") - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(pairs, i * STRETCH + 1, F.lit(STRETCH)), zero, step))
+    bases = F.aggregate(parts, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+    moved = F.zip_with(parts, F.slice(bases, 1, F.size(parts)), lambda c, b: F.transform(c["out"], lambda x: F.struct((x["start"] + b).alias("start"), (x["end"] + b).alias("end"), x["s"].alias("s"))))
+    return F.when(F.size(found) <= STRETCH, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.flatten(moved))
 
 
 def _digits(s: Column) -> Column:
@@ -83,30 +90,40 @@ def mentions(marked: DataFrame) -> DataFrame:
     at = marked.where(text.rlike("[0-9@]")).withColumn("gaps", F.split(text, MENTION, -1)).withColumn("found", located(text, MENTION))
     # The outer explode keeps the optimizer from looking for mentions once more to filter on them first.
     at = at.select("doc_id", "text_hash", "base", "gaps", F.posexplode_outer("found").alias("i", "m")).where("i is not null")
-    left = ascii_lower(F.regexp_extract(F.element_at("gaps", F.col("i") + 1), r"(?<!\S)(\S++)\s*+$", 1))
+    before = F.element_at("gaps", F.col("i") + 1)
+    left = ascii_lower(F.regexp_extract(before, r"(?<!\S)(\S++)\s*+$", 1))
+    second = ascii_lower(F.regexp_extract(before, r"(?<!\S)(\S++)\s++\S++\s*+$", 1))
     right = ascii_lower(F.regexp_extract(F.element_at("gaps", F.col("i") + 2), r"^\s*+(\S++)", 1))
     tagged = lambda tag, word: F.when(F.length(word) > 0, F.concat(F.lit(tag), word))
     both = F.when((F.length(left) > 0) & (F.length(right) > 0), F.concat(F.lit("B:"), left, F.lit(" "), right))
+    wide = F.when(F.length(second) > 0, F.concat(F.lit("W:"), second, F.lit(" "), left))
     inside = F.transform(F.filter("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))), lambda b: b["kind"])
     # The punctuation that closes a sentence is no part of an identifier.
     bare = F.regexp_replace("m.s", r"[.,;:!?\"')\]]+$", "")
     return at.select(
         "doc_id", "text_hash", F.col("m.start").alias("start"), (F.col("m.start") + F.length(bare)).alias("end"), bare.alias("instance"),
-        F.array_compact(F.array(tagged("L:", left), tagged("R:", right), both)).alias("contexts"), F.array_distinct(inside).alias("known"),
+        F.array_compact(F.array(tagged("L:", left), tagged("R:", right), both, wide)).alias("contexts"), F.array_distinct(inside).alias("known"),
     ).where(F.length("instance") > 0)
 
 
 def plausible(kind: Column, instance: Column) -> Column:
-    """Whether an added span can be of the kind at all: an email has an @, the others none and a phone's 5 or a card's or address's 4 digits at least."""
+    """Whether an added span can be of the kind at all: an email has an @, the others none and a phone's 5 or a card's or address's 4 digits at least.
+
+    What has just the form of a kind's base matches was looked at as such and rejected, so no context makes it one.
+    """
     n = F.length(_digits(instance))
+    rejected = {"ip": r"^[0-9]+(\.[0-9]+){3}$", "card": r"^[0-9]([\x20-]?[0-9])+$", "phone": r"^\+[0-9][\x20().0-9-]+[0-9]$"}
+    again = F.lit(False)
+    for k, form in rejected.items():
+        again = again | ((kind == k) & instance.rlike(form))
     at = F.contains(instance, F.lit("@"))
-    return F.when(kind == "email", at).otherwise(~at & (n >= F.when(kind == "phone", 5).otherwise(4)))
+    return ~again & F.when(kind == "email", at).otherwise(~at & (n >= F.when(kind == "phone", 5).otherwise(4)))
 
 
 def bootstrap(scratch: Scratch, found: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.9) -> DataFrame:
     """found: mentions() -> (kind, pattern, confidence) of the patterns that are trusted in the end.
 
-    A pattern is a whole word to the left or right of a mention, or both together, whatever the mention's own form; what a
+    A pattern is a whole word to the left or right of a mention, both together, or two to the left, whatever the mention's own form; what a
     kind can look like at all is asked of an added span (see plausible()). Patterns and instances make a
     bipartite graph for each kind, its edges counted over the whole corpus before anything iterates. Seeds, the instances
     that a base pattern found, start at 1 and stay there; a pattern's confidence is the mean over its distinct instances,

@@ -190,15 +190,45 @@ def test_pii_base(docs):
     assert pii.digest(docs([])).count() == 0
 
 
+def spans(docs, rows):
+    return {r.doc_id: r.spans for r in pii.digest(docs(rows)).collect()}
+
+
 def test_pii_bootstrap_finds_unseen(docs):
-    rows = [(i, f"please write mailto user{i}@mail.example.com today or call", "a") for i in range(12)]
-    rows.append((50, "please write mailto someone@localhost today", "a"))
-    rows.append((51, "a clean text with 7 words and 1234 more", "a"))
-    got = {r.doc_id: r.spans for r in pii.digest(docs(rows)).collect()}
-    assert got[51] == "" and got[0] == "email:20:42"
-    # user9@a has the shape of no seed; the same context with the seeds' shape does.
-    rows.append((52, "please write mailto user9@mail.example_x.com today", "a"))
-    assert pii.digest(docs(rows)).count() == len(rows)
+    seeds = [(i, f"please write mailto user{i}@mail.example.com today", "a") for i in range(12)]
+    seeds += [(100 + i, f"he used card 4111-1111-1111-1111 or card 55005500{i:03}55559999 then", "a") for i in range(30)]
+    seeds += [(200 + i, f"seen from address 10.0.{i}.7 at night", "a") for i in range(20)]
+    more = [
+        (50, "please write mailto someone@localhost today", "a"), (51, "a clean text with 7 words and 1234 more", "a"),
+        (52, "please write mailto user9@mail.example_x.com today", "a"), (53, "seen from address fe80::12:34:1 at night", "a"),
+        (54, "seen from address 300.1.2.3 at night", "a"), (55, "a mailto without and address 12 and more", "a"), (56, None, "a"), (57, "", "a"),
+    ]
+    got = spans(docs, seeds + more)
+    assert got[0] == "email:20:42" and got[200] == "ip:18:26"
+    assert got[50] == "email:20:37" and got[53] == "ip:18:31"  # forms that no base pattern knows
+    assert got[52] == "email:20:38"  # a base span, which stays as it is
+    # Of clean texts, of rejected base matches and of numbers too short nothing is added.
+    assert got[51] == got[54] == got[55] == got[56] == got[57] == ""
+
+
+def test_pii_clean_corpus_adds_nothing(docs):
+    """Numbers and @ in random contexts beside seeds in random contexts: no pattern is trusted, so nothing but the base spans comes back."""
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randrange(300)
+    rows = []
+    for i in range(200):
+        words = [word() for _ in range(40)]
+        for _ in range(3):
+            words[rng.randrange(40)] = rng.choice([f"{rng.randrange(10**6)}", f"v{rng.randrange(9)}.{rng.randrange(9)}", f"user{rng.randrange(99)}@x.com", f"@name{rng.randrange(9)}"])
+        rows.append((i, " ".join(words).replace("w", "v"), "a"))
+    for i, s in spans(docs, rows).items():
+        assert s == ",".join(f"{k}:{a}:{z}" for k, a, z in brute_pii(rows[i][1]))
+
+
+def test_places_of_very_many_matches(docs):
+    t = "a@b.cc, \U0001f600 " * 3000
+    got = spans(docs, [(1, t, "a")])[1].split(",")
+    assert got == [f"{k}:{a}:{z}" for k, a, z in brute_pii(t)]
 
 
 def test_pii_bootstrap_crosses_shapes(docs):
@@ -209,7 +239,7 @@ def test_pii_bootstrap_crosses_shapes(docs):
     assert got[50] == "email:20:37" and got[51] == "phone:8:21" and got[52] == "" and got[53] == ""
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op8_decontamination"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_mixing", "op8_decontamination", "op10_pii"])
 def test_no_python_on_the_main_path(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
