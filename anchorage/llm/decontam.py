@@ -41,21 +41,33 @@ def hits(scratch: Scratch, docs: DataFrame, items: DataFrame, width: int = 13) -
     # outer explodes keep the optimizer from filtering on the words first, for which it would split each text twice.
     hashed = F.xxhash64("word").alias("wh")
     vocabulary = wins.select(F.explode("win").alias("word")).select(hashed).distinct()
-    vocabulary = _small(vocabulary, wins.count() * width)
+    vocabulary = _small(scratch.put(vocabulary), wins.count() * width)
     tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("word")).select(hashed)
     freq = tokens.join(vocabulary, "wh").groupBy("wh").agg(F.count("*").alias("n"))
-    distinct = wins.groupBy("win").agg(F.collect_set("item_id").alias("items"))
+    distinct = scratch.put(wins.groupBy("win").agg(F.collect_set("item_id").alias("items")))
     place = distinct.select("win", F.posexplode("win").alias("at", "word")).withColumn("wh", hashed).join(freq, "wh", "left")
     prefix = place.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("wh"), F.col("at"))).alias("p"))
     # A window with a word that no document has cannot occur.
     prefix = scratch.put(prefix.where("p.n > 0").select("win", F.col("p.wh").alias("wh"), F.col("p.at").alias("at")))
+    n_prefix = prefix.count()
     at = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    at = at.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("i", "word")).withColumn("wh", hashed)
     pos = F.col("i") - F.col("at")
-    found = at.join(_small(prefix, prefix.count()), "wh").where((pos >= 0) & (pos + F.size("win") <= F.size("w")))
-    found = found.where(F.slice("w", pos + 1, F.size("win")) == F.col("win"))
-    found = found.select("doc_id", "text_hash", "win", pos.alias("pos"))
-    return found.join(_small(distinct, prefix.count()), "win").select("doc_id", "text_hash", F.explode("items").alias("item_id"), "pos", F.size("win").alias("n"))
+    if n_prefix <= BROADCAST_ROWS:
+        at = at.select("doc_id", "text_hash", "w", F.posexplode_outer("w").alias("i", "word")).withColumn("wh", hashed)
+        found = at.join(F.broadcast(prefix), "wh").where((pos >= 0) & (pos + F.size("win") <= F.size("w")))
+        found = found.where(F.slice("w", pos + 1, F.size("win")) == F.col("win")).select("doc_id", "text_hash", "win", pos.alias("pos"))
+    else:
+        # Words are shuffled alone, as numbers; a text meets its candidates once, and only then its words are compared.
+        prefix = prefix.withColumn("window", F.xxhash64("win"))
+        alone = at.select("doc_id", "text_hash", F.size("w").alias("size"), F.posexplode_outer("w").alias("i", "word")).select("doc_id", "text_hash", "size", "i", hashed)
+        candidates = alone.join(prefix.select("wh", "at", "window", F.size("win").alias("n")), "wh").where((pos >= 0) & (pos + F.col("n") <= F.col("size")))
+        candidates = candidates.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(pos.alias("pos"), "n", "window")).alias("c"))
+        # The windows that candidates say, taken from the text, against all windows.
+        candidates = candidates.toDF("__id", "__hash", "c").hint("shuffle_hash")
+        own = at.join(candidates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("doc_id", "text_hash", "w", F.explode("c").alias("c"))
+        own = own.select("doc_id", "text_hash", "c.pos", "c.window", F.expr("slice(w, c.pos + 1, c.n)").alias("win")).where(F.xxhash64("win") == F.col("window")).drop("window").distinct()
+        found = own.join(distinct.select("win"), "win")
+    return found.join(_small(distinct, n_prefix), "win").select("doc_id", "text_hash", F.explode("items").alias("item_id"), "pos", F.size("win").alias("n"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

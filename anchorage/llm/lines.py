@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
 from .text import BLANKS, ascii_lower, sha256_hex
 
 
@@ -19,6 +20,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, max_docs: int = 1) -> Da
     are counted before any join, with partial sums, so that a line which every document holds costs a row for each task.
     """
     key = ascii_lower(F.btrim(F.col("line"), F.lit(BLANKS)))
+    scratch = Scratch(docs.sparkSession)
     at = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
     at = at.withColumn("key", key).where(F.length("key") >= min_chars)
     at = at.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
@@ -26,7 +28,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, max_docs: int = 1) -> Da
         counts = at.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last")
     else:
         counts = at.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where(F.col("n") > max_docs)
-    gone = at.join(counts.select("h1", "h2", "keeper"), ["h1", "h2"]).where("doc_id <> keeper")
+    # Written, so that the join can split a line that very many documents have.
+    counts = scratch.put(counts.select("h1", "h2", "keeper"))
+    gone = at.join(counts, ["h1", "h2"]).where("doc_id <> keeper")
     return gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
 
 
