@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from .groups import whole_runs
 from .store import Scratch
 
-#: Vectors in a block of candidates, queries in a block of queries, and leading rotated dimensions summed first.
-BLOCK, QUERIES, LEAD = 4096, 512, 16
+#: Vectors in a block of candidates, queries in a slice and in a step of it, and leading rotated dimensions summed first.
+BLOCK, QUERIES, STEP, LEAD = 4096, 4096, 512, 16
 #: Vectors on which the rotation is fitted; any rotation gives exact results, a fitted one prunes more.
 SAMPLE = 4096
 
@@ -74,35 +74,31 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(stats["dim"], 1)
     turn = _rotation(distinct, dim)
-    blocks = max(1, min(-(-stats["n"] // BLOCK), 100_000))
-    cuts = distinct.select(F.percentile_approx("norm", [i / blocks for i in range(1, blocks)] or [1.0], 100_000).alias("c")).first()["c"]
-    bounds = np.unique(np.array(cuts if blocks > 1 else []))[::-1]
-    # Block b holds the vectors shorter than b of the bounds.
-    placed = distinct.withColumn("block", F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: F.col("norm") < b)) if len(bounds) else F.lit(0))
-    heads = [r["m"] for r in placed.groupBy("block").agg(F.max("norm").alias("m")).orderBy("block").collect()]
-    placed_blocks = [r["block"] for r in placed.select("block").distinct().orderBy("block").collect()]
-    queries = base.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q")).withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)))
-    n_queries = queries.count()
-    queries = queries.withColumn("slice", F.col("slice") % max(1, -(-n_queries // QUERIES)))
-    queries = queries.withColumn("qnorm", F.sqrt(F.aggregate("q", F.lit(0).cast("double"), lambda a, c: a + c * c)))
+    # Blocks are ranges of length, even where very many vectors have the same one.
+    ranged = distinct.repartitionByRange(max(1, -(-stats["n"] // BLOCK)), F.desc("norm"), F.xxhash64("v"))
+    placed = scratch.put(ranged.withColumn("block", F.spark_partition_id()))
+    scratch.drop(distinct)
+    # One length for each block of BLOCK vectors or so, in descending order: which blocks a query can reach is a prefix of them.
+    heads = placed.groupBy("block").agg(F.max("norm").alias("m")).orderBy("block").collect()
+    order, lengths = np.array([r["block"] for r in heads]), np.array([r["m"] for r in heads])
+    queries = base.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    queries = scratch.put(queries.withColumn("qnorm", F.sqrt(F.aggregate("q", F.lit(0).cast("double"), lambda a, c: a + c * c))))
+    # Queries are dealt over slices, so that no block has all of them in one task, and a block's vectors go to the slices that ask for them.
+    queries = queries.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERIES)))))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted by (block, slice): candidates of a block stand with slice -1 before the slices of queries that meet it."""
-        now, cand, firsts = None, None, None
+        """Sorted by (block, slice, query_id): a block's candidates, which have no query_id, stand before the slice's queries."""
         for frame, starts in whole_runs(batches, ["block", "slice"]):
             for a, z in zip(starts[:-1], starts[1:], strict=True):
                 part = frame.iloc[a:z]
-                block, piece = int(part["block"].iloc[0]), int(part["slice"].iloc[0])
-                if piece == -1:
-                    now, cand, firsts = block, _matrix(part["v"], dim), part["ids"].to_numpy()
-                    rot = cand @ turn
-                    rest = np.sqrt((rot[:, LEAD:] ** 2).sum(axis=1))
-                elif now == block:
-                    yield from _scan(part, cand, firsts, rot, rest)
+                own = part["ids"].notna().to_numpy()
+                cand = _matrix(part["v"][own], dim)
+                rot = cand @ turn
+                yield from _scan(part[~own], cand, part["ids"][own].to_numpy(), rot, np.sqrt((rot[:, LEAD:] ** 2).sum(axis=1)))
 
     def _scan(part: pd.DataFrame, cand, firsts, rot, rest) -> Iterator[pd.DataFrame]:
-        for lo in range(0, len(part), QUERIES):
-            some = part.iloc[lo : lo + QUERIES]
+        for lo in range(0, len(part), STEP):
+            some = part.iloc[lo : lo + STEP]
             q = _matrix(some["v"], dim)
             qr = q @ turn
             bound = qr[:, :LEAD] @ rot[:, :LEAD].T + np.sqrt((qr[:, LEAD:] ** 2).sum(axis=1))[:, None] * rest[None, :]
@@ -126,19 +122,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     def meet(asked: DataFrame, own: DataFrame) -> DataFrame:
         """asked(block, slice, query_id, q, floor) against the candidates own of the same block."""
         null = F.lit(None)
-        left = own.select("block", F.lit(-1).cast("long").alias("slice"), "v", "ids", null.cast("long").alias("query_id"), null.cast("double").alias("floor"))
+        met = scratch.put(asked.select("block", "slice").distinct())
+        left = own.join(met, "block").select("block", "slice", "v", "ids", null.cast("long").alias("query_id"), null.cast("double").alias("floor"))
         right = asked.select("block", "slice", F.col("q").alias("v"), null.cast("array<long>").alias("ids"), "query_id", "floor")
-        return left.union(right).repartition("block").sortWithinPartitions("block", "slice", "query_id").mapInPandas(search, schema)
+        both = left.union(right).repartition("block", "slice")
+        return both.sortWithinPartitions("block", "slice", F.col("query_id").asc_nulls_first()).mapInPandas(search, schema)
 
-    top = placed_blocks[0]
+    top = int(order[0])
     first = scratch.put(_best(meet(queries.withColumns({"block": F.lit(top), "floor": F.lit(float("-inf"))}), placed.where(F.col("block") == top)), k))
-    if len(placed_blocks) == 1:
+    if len(order) == 1:
         return first.select("query_id", "rank", "vec_id", "score")
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").cast("double").alias("floor"))
     asked = queries.join(floors, F.col("query_id") == F.col("__q"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    reach = F.array(*[F.struct(F.lit(b).alias("block"), F.lit(float(m)).alias("m")) for b, m in zip(placed_blocks[1:], heads[1:], strict=True)])
-    near = F.filter(reach, lambda x: (x["m"] * F.col("qnorm") * 1.000001 + 1 >= F.col("floor")))
-    asked = asked.select("slice", "query_id", "q", "floor", F.explode(near).alias("x")).select(F.col("x.block").alias("block"), "slice", "query_id", "q", "floor")
+    known = vectors.sparkSession.sparkContext.broadcast((order, -lengths))
+
+    @F.pandas_udf("array<int>")
+    def reach(qnorm: pd.Series, floor: pd.Series) -> pd.Series:
+        """The blocks after the first whose longest vector can still score the floor (Cauchy-Schwarz)."""
+        blocks, less = known.value
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(floor <= 1, -np.inf, (floor - 1) / (qnorm * 1.000001))
+        return pd.Series([blocks[1 : max(1, n)] for n in np.searchsorted(less, -need, "right")])
+
+    asked = scratch.put(asked.select("slice", "query_id", "q", "floor", F.explode(reach("qnorm", "floor")).alias("block")))
     rest = meet(asked, placed.where(F.col("block") != top))
     return _best(first.select("query_id", "vec_id", "score").union(rest), k)
 

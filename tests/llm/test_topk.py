@@ -25,6 +25,7 @@ def frame(spark, rows):
 @pytest.mark.parametrize("block", [4096, 32])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", 3)
     rng = random.Random(block)
     rows = [(i, [rng.choice([-1.5, -0.25, 0.0, 0.125, 0.7, 2.0]) * (1 if i % 7 else 3) for _ in range(24)]) for i in range(400)]
     rows += [(1000 + i, rows[3][1]) for i in range(60)] + [(2000 + i, [0.0] * 24) for i in range(20)]
