@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import Scratch
 from .text import word_count
 
+#: Bins of equal width in which a group's quotients are counted.
+BINS = 4096
+
 
 def source_targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), ceiling: int = 3) -> DataFrame:
     """sources(source, source_size) -> with `target`, a share of the sum of all sizes by weight, cut at ceiling x size.
@@ -33,28 +37,35 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), ceili
     return w.withColumn("target", F.when(F.col("__free").isNull(), cut).otherwise(F.least(cut, F.col("__free") * F.col("__w")))).drop("__i", "__w", "__level", "__free")
 
 
-def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str) -> DataFrame:
-    """Adds `quota`: each group's `seats` (the same in all its rows) given to the highest quotients votes / (2a + 1).
+def sainte_lague(scratch: Scratch, parties: DataFrame, votes: str, seats: str) -> DataFrame:
+    """parties(__g, __key, votes, seats, ...) -> with `quota`: each group's `seats` (the same in all its rows) given to the highest quotients votes / (2a + 1).
 
     Seats are votes / D rounded for some divisor D, and n parties' roundings add up to n / 2 at most, so a party with the
     share s of the votes ends within s x n / 2 + 1 of votes x seats / sum rounded. Only quotients in that range (and one
-    more, for the arithmetic) are ranked, at most 8n in a group however many parties it has; those below it are won for
-    sure. Ties go to the first key in `__key`. Parties without votes get none.
+    more, for the arithmetic) are bids, at most 8n in a group however many parties it has; those below it are won for
+    sure. Bids are counted by bins of their quotient, so that all in the bins above the last seat's win without being
+    ordered, and only that one bin is ranked. Ties go to the first key in `__key`. Parties without votes get none.
     """
-    own = Window.partitionBy(*group)
-    share = F.coalesce(F.col(votes) / F.nullif(F.sum(votes).over(own), F.lit(0.0)), F.lit(0.0))
-    p = parties.withColumns({"__fair": F.round(share * F.col(seats)).cast("long"), "__slack": (F.ceil(share * F.count("*").over(own) / 2) + 2).cast("long")})
-    p = p.withColumn("__base", F.greatest(F.col("__fair") - F.col("__slack"), F.lit(0)).cast("long"))
-    p = p.withColumn("__left", (F.col(seats) - F.sum("__base").over(own)).cast("long"))
-    bids = p.select(*group, "__key", votes, "__left", F.explode(F.sequence(F.col("__base"), F.col("__fair") + F.col("__slack"))).alias("__a")).where(F.col(votes) > 0)
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.col(votes) / (2 * F.col("__a") + 1)), "__key", "__a"))
-    won = bids.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__left")).groupBy(*group, "__key").agg(F.count("*").alias("__won"))
-    match = F.lit(True)
-    won = won.toDF(*[f"__g{i}" for i in range(len(group))], "__k", "__won")
-    for i, g in enumerate(group):
-        match = match & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    p = p.join(won, match & F.col("__key").eqNullSafe(F.col("__k")), "left").withColumn("quota", F.col("__base") + F.coalesce("__won", F.lit(0)))
-    return p.drop("__fair", "__slack", "__base", "__left", "__k", "__won", *[f"__g{i}" for i in range(len(group))])
+    sums = scratch.put(parties.groupBy("__g").agg(F.sum(votes).alias("__sum"), F.count("*").alias("__n")))
+    share = F.coalesce(F.col(votes) / F.nullif(F.col("__sum"), F.lit(0.0)), F.lit(0.0))
+    p = parties.join(sums, "__g").withColumns({"__fair": F.round(share * F.col(seats)).cast("long"), "__slack": (F.ceil(share * F.col("__n") / 2) + 2).cast("long")})
+    p = scratch.put(p.withColumn("__base", F.greatest(F.col("__fair") - F.col("__slack"), F.lit(0)).cast("long")).drop("__sum", "__n"))
+    based = scratch.put(p.groupBy("__g").agg((F.max(seats) - F.sum("__base")).cast("long").alias("__left")))
+    bids = p.where(F.col(votes) > 0).select("__g", "__key", votes, F.explode(F.sequence(F.col("__base"), F.col("__fair") + F.col("__slack"))).alias("__a"))
+    bids = scratch.put(bids.select("__g", "__key", "__a", (F.col(votes) / (2 * F.col("__a") + 1)).alias("__q")))
+    span = scratch.put(bids.groupBy("__g").agg(F.min("__q").alias("__lo"), F.max("__q").alias("__hi")))
+    bin_of = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__q") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * BINS)).otherwise(F.lit(0).cast("long"))
+    binned = bids.join(span, "__g").select("__g", "__key", "__a", "__q", bin_of.alias("__bin"))
+    above = Window.partitionBy("__g").orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
+    filled = binned.groupBy("__g", "__bin").agg(F.count("*").alias("__in")).withColumn("__above", F.coalesce(F.sum("__in").over(above), F.lit(0)))
+    filled = scratch.put(filled.join(based, "__g").where(F.col("__above") < F.col("__left")))
+    placed = binned.join(filled, ["__g", "__bin"])
+    sure = placed.where(F.col("__above") + F.col("__in") <= F.col("__left"))
+    rank = F.row_number().over(Window.partitionBy("__g").orderBy(F.desc("__q"), "__key", "__a"))
+    last = placed.where(F.col("__above") + F.col("__in") > F.col("__left")).withColumn("__rank", rank).where(F.col("__rank") <= F.col("__left") - F.col("__above"))
+    won = sure.select("__g", "__key").union(last.select("__g", "__key")).groupBy("__g", "__key").agg(F.count("*").alias("__won"))
+    out = p.join(won, ["__g", "__key"], "left").withColumn("quota", F.col("__base") + F.coalesce("__won", F.lit(0)))
+    return scratch.put(out.drop("__fair", "__slack", "__base", "__won"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), ceiling: int = 3, block: int = 64, shard_rows: int = 4096, seed: int = 7) -> DataFrame:
@@ -70,20 +81,25 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), ceiling: int = 3, b
     source make one source, the last. Repeated rows each count. An empty table gives no rows. Texts are read in the scan
     only; what is shuffled is a few numbers for each document.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("turn"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
-    aimed = source_targets(sources, weights, ceiling)
-    aimed = aimed.withColumns({"__all": F.lit(1), "__key": F.coalesce("source", F.lit("")), "__seats": F.floor(F.sum("source_size").over(Window.partitionBy()) / block)})
-    aimed = sainte_lague(aimed, ["__all"], "target", "__seats").withColumnRenamed("quota", "blocks")
-    aimed = aimed.select(F.col("source").alias("__source"), "source_size", "target", "blocks", F.ceil(F.col("__docs") / shard_rows).alias("__shards"))
+    scratch = Scratch(docs.sparkSession)
+    g = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__g")  # never null, and "" for the null source alone
+    sized = docs.select("doc_id", g, word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("turn"))
+    sized = scratch.put(sized)
+    sources = sized.groupBy("__g").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
+    sources = sources.withColumn("source", F.when(F.col("__g") != "", F.substring("__g", 2, 1 << 30)))
+    aimed = source_targets(sources, weights, ceiling).drop("source").withColumnRenamed("__g", "__key")
+    aimed = aimed.withColumns({"__g": F.lit("all"), "__seats": F.floor(F.sum("source_size").over(Window.partitionBy()) / block)})
+    aimed = sainte_lague(scratch, aimed, "target", "__seats").withColumnRenamed("quota", "blocks")
+    aimed = aimed.select(F.col("__key").alias("__g"), "source_size", "target", "blocks", F.ceil(F.col("__docs") / shard_rows).alias("__shards"))
     # One row for each source; where a source holds a third of all rows, the join can split it, as its other side is one row.
-    dealt = sized.join(aimed, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "source", "size", "turn", "source_size", "target", "blocks", F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.col("__shards")).alias("shard"))
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
-    shards = sainte_lague(shards.withColumn("__key", F.col("shard")).withColumn("shard_size", F.col("shard_size").cast("double")), ["source"], "shard_size", "blocks")
-    shards = shards.select(F.col("source").alias("__s"), F.col("shard").alias("__n"), (F.col("quota") * block).alias("words"))
-    at = dealt.join(shards, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__n")))
-    own = Window.partitionBy("source", "shard").orderBy("turn", "doc_id", "size")
-    whole = F.sum("size").over(Window.partitionBy("source", "shard"))
+    shard = F.pmod(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), F.col("__shards"))
+    dealt = sized.join(aimed, "__g").select("doc_id", "__g", "size", "turn", "source_size", "target", "blocks", shard.alias("shard"))
+    shards = dealt.groupBy("__g", "shard").agg(F.sum("size").cast("double").alias("shard_size"), F.first("blocks").alias("blocks")).withColumnRenamed("shard", "__key")
+    shards = sainte_lague(scratch, shards, "shard_size", "blocks")
+    shards = shards.select("__g", F.col("__key").alias("shard"), (F.col("quota") * block).alias("words"))
+    at = dealt.join(shards, ["__g", "shard"])
+    own = Window.partitionBy("__g", "shard").orderBy("turn", "doc_id", "size")
+    whole = F.sum("size").over(Window.partitionBy("__g", "shard"))
     at = at.withColumns({"__whole": whole, "__before": F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     words = F.least(F.col("words"), F.col("__whole") * ceiling)
     times, rest = F.expr("coalesce(try_divide(__words - mod(__words, greatest(__whole, 1)), greatest(__whole, 1)), 0)").cast("long"), F.expr("mod(__words, greatest(__whole, 1))")

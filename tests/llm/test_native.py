@@ -9,6 +9,7 @@ import pytest
 
 from anchorage.llm import decontam, lines, mixing, pii
 from anchorage.llm.queries import QUERIES
+from anchorage.llm.store import Scratch
 
 BL = " \t\n\x0b\x0c\r"
 ODD = [
@@ -98,8 +99,8 @@ def test_mixing_odd(docs):
 
 def test_sainte_lague_is_highest_quotients(spark):
     votes = [53, 24, 23, 7, 1]
-    df = spark.createDataFrame([(1, i, float(v), 11) for i, v in enumerate(votes)], "g int, __key int, v double, seats long")
-    got = {r["__key"]: r.quota for r in mixing.sainte_lague(df, ["g"], "v", "seats").collect()}
+    df = spark.createDataFrame([(1, i, float(v), 11) for i, v in enumerate(votes)], "__g int, __key int, v double, seats long")
+    got = {r["__key"]: r.quota for r in mixing.sainte_lague(Scratch(spark), df, "v", "seats").collect()}
     best = sorted(((v / (2 * a + 1), -i) for i, v in enumerate(votes) for a in range(12)), reverse=True)[:11]
     assert got == {i: sum(b == -i for _, b in best) for i in range(5)}
 
@@ -109,8 +110,8 @@ def test_sainte_lague_with_many_parties(spark, seed, seats):
     rng = random.Random(seed)
     # One party holds most votes and hundreds hold too few for a seat each: the large one's seats leave its rounded share.
     votes = [100_000] + [rng.choice([0, 1, 60, 90, 2000]) for _ in range(700)]
-    df = spark.createDataFrame([(1, i, float(v), seats) for i, v in enumerate(votes)], "g int, __key int, v double, seats long")
-    got = {r["__key"]: r.quota for r in mixing.sainte_lague(df, ["g"], "v", "seats").collect()}
+    df = spark.createDataFrame([(1, i, float(v), seats) for i, v in enumerate(votes)], "__g int, __key int, v double, seats long")
+    got = {r["__key"]: r.quota for r in mixing.sainte_lague(Scratch(spark), df, "v", "seats").collect()}
     best = sorted(((v / (2 * a + 1), -i) for i, v in enumerate(votes) if v for a in range(seats + 1)), reverse=True)[:seats]
     won = Counter(-i for _, i in best)
     assert got == {i: won[i] for i in range(len(votes))}
