@@ -6,8 +6,6 @@ a knowledge base. Doubles are rounded to six places.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,28 +14,7 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import candidates, evaluate, gazetteer, linking, nil, surface
 from . import models
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
-
+from .registry import query, rounded, table
 
 # Answers: system by source, gold by lang and source.
 SYS = "case when doc_id % 3 = 0 then 'NIL' || source else 'E' || source end"

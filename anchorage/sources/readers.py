@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def _lines(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
@@ -87,13 +88,21 @@ def string_lists(spark: SparkSession, path: str, key: str = "query_id", values:
 
 def named_entities(spark: SparkSession, path: str) -> DataFrame:
     """Records of four lines -> (query_id, ner_type, matching, orgs, locs, people): id, type and matching entities; then organizations,
-    locations and people, each after a blank and a tag. The type is "None" where it is missing."""
-    whole = spark.read.text(path, wholetext=True)
-    at = whole.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("pos", "line")).where("line <> ''")
-    rows = at.select(F.floor(F.col("pos") / 4).alias("rec"), (F.col("pos") % 4).alias("part"), F.split("line", "\t", -1).alias("f"))
-    rec = rows.groupBy("rec").agg(*[F.first(F.when(F.col("part") == i, F.col("f")), ignorenulls=True).alias(f"p{i}") for i in range(4)])
+    locations and people, each after a blank and a tag. The type is "None" where it is missing.
+
+    A record's lines belong to the last line before them that has an id; lines that stand first in a piece of a file, to the last of the pieces before.
+    """
+    lines = _fields(spark, path).where(F.size("f") > 0).where(~((F.size("f") == 1) & (F.get("f", F.lit(0)) == "")))
+    lines = lines.withColumns({"piece": F.shiftright("line_no", 33), "head": F.when(F.get("f", F.lit(0)) != "", F.col("line_no"))})
+    own = Window.partitionBy("piece").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    last = lines.groupBy("piece").agg(F.max("head").alias("last")).select("piece", F.max("last").over(before).alias("earlier"))
+    at = lines.withColumn("own", F.max("head").over(own)).join(last, "piece").withColumn("rec", F.coalesce("own", "earlier")).where("rec is not null")
+    tag = F.when(F.col("head").isNotNull(), "").otherwise(F.get("f", F.lit(1)))
+    parts = {"p0": "", "orgs": "ORGANIZATION", "locs": "LOCATION", "people": "PERSON"}
+    rec = at.withColumn("tag", tag).groupBy("rec").agg(*[F.first(F.when(F.col("tag") == t, F.col("f")), ignorenulls=True).alias(c) for c, t in parts.items()])
     rest = lambda c: F.filter(F.slice(F.coalesce(c, F.array().cast("array<string>")), 3, 1 << 20), lambda x: x != "")
-    return rec.select(F.get("p0", F.lit(0)).alias("query_id"), F.coalesce(F.nullif(F.get("p0", F.lit(1)), F.lit("")), F.lit("None")).alias("ner_type"), rest("p0").alias("matching"), *[rest(f"p{i}").alias(c) for i, c in ((1, "orgs"), (2, "locs"), (3, "people"))])
+    return rec.select(F.get("p0", F.lit(0)).alias("query_id"), F.coalesce(F.nullif(F.get("p0", F.lit(1)), F.lit("")), F.lit("None")).alias("ner_type"), rest("p0").alias("matching"), *[rest(c).alias(c) for c in ("orgs", "locs", "people")])
 
 
 def gazetteer(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> tuple[DataFrame, DataFrame]:
@@ -122,7 +131,7 @@ def link_training(spark: SparkSession, path: str) -> DataFrame:
 
 def linear_model(spark: SparkSession, path: str) -> tuple[dict[str, float], float]:
     """(weights, intercept) of `name TAB weight` lines: a few for each feature of a model."""
-    rows = _fields(spark, path).where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("k"), F.get("f", F.lit(1)).cast("double").alias("v")).limit(100_000).collect()
+    rows = _fields(spark, path).where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("k"), F.get("f", F.lit(1)).cast("double").alias("v")).collect()
     all_ = {r["k"]: r["v"] for r in rows}
     return {k: v for k, v in all_.items() if k != "Intercept"}, all_.get("Intercept", 0.0)
 
@@ -152,8 +161,6 @@ def extractions_near(queries: DataFrame, extractions: DataFrame, reach: int = 50
 
     extractions(doc_id, sentence_start, arg_tokens array<struct<string, start, is_proper>>, ord).
     """
-    from pyspark.sql.window import Window
-
     e = extractions.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("__r") <= limit)
     proper = F.filter("arg_tokens", lambda t: t["is_proper"])
     e = e.select("doc_id", (F.col("sentence_start") + F.get("arg_tokens", F.lit(0))["start"]).alias("at"), F.array_join(F.transform(proper, lambda t: t["string"]), " ").alias("arg")).where("arg <> ''")
