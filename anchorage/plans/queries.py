@@ -87,21 +87,21 @@ def f1_threshold_sweep(spark, sf_dir):
 
 
 STOP = ", ".join(f"'{w}'" for w in sim.STOP_WORDS)
-TF = f"with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents where lang = 'en'), tf as (select doc_id, term, count(*) as tf from t where term not in ({STOP}) group by doc_id, term)"
+TF = f"with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents), tf as (select doc_id, term, count(*) as tf from t where term not in ({STOP}) group by doc_id, term)"
 
 
-def english_tf(spark, sf_dir):
-    return sim.term_frequency(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
+def document_tf(spark, sf_dir):
+    return sim.term_frequency(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(TF + " select doc_id, term, tf from tf")
 def term_frequency(spark, sf_dir):
-    return english_tf(spark, sf_dir)
+    return document_tf(spark, sf_dir)
 
 
 @query(TF + " select doc_id, term, round(tf / sum(tf) over (partition by doc_id), 6) as rel from tf")
 def relative_term_frequency(spark, sf_dir):
-    return rounded(sim.relative_frequency(english_tf(spark, sf_dir), "doc_id"), "rel")
+    return rounded(sim.relative_frequency(document_tf(spark, sf_dir), "doc_id"), "rel")
 
 
 ITF = f"with t as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark), tf as (select item_id, term, count(*) as tf from t where term not in ({STOP}) group by item_id, term), nn as (select item_id, sqrt(sum(tf * tf)) as norm from tf group by item_id)"
@@ -112,9 +112,13 @@ def text_cosine_pairs(spark, sf_dir):
     return rounded(sim.cosine_pairs(sim.term_frequency(table(spark, sf_dir, "benchmark"), "item_id", "text"), "item_id"), "cosine")
 
 
-@query(TF + ", nn as (select doc_id, sqrt(sum(tf * tf)) as norm from tf group by doc_id), rare as (select term from tf group by term having count(*) <= 4), m as (select distinct x.doc_id as a, y.doc_id as b from tf x join rare using (term) join tf y on x.term = y.term and x.doc_id < y.doc_id), d as (select m.a, m.b, sum(x.tf * y.tf) as dot from m join tf x on x.doc_id = m.a join tf y on y.doc_id = m.b and y.term = x.term group by 1, 2) select a, b, round(dot / (n1.norm * n2.norm), 6) as cosine from d join nn n1 on n1.doc_id = a join nn n2 on n2.doc_id = b")
+@query(TF + """, v as (select doc_id, string_agg(term || ':' || tf, ' ' order by term) as same, sqrt(sum(tf * tf)) as norm from tf group by doc_id),
+c as (select same, min(doc_id) as rep from v group by same), r as (select x.doc_id, x.term, x.tf, v.norm from tf x join v using (doc_id) join c on c.rep = x.doc_id),
+d as (select x.doc_id as a, y.doc_id as b, sum(x.tf * y.tf) / (any_value(x.norm) * any_value(y.norm)) as cosine from r x join r y on x.term = y.term and x.doc_id < y.doc_id group by 1, 2)
+select a, b, round(cosine, 6) as cosine from d where cosine >= 0.8 union all select rep, doc_id, 1.0::double from v join c using (same) where doc_id <> rep""")
 def doc_cosine_pairs(spark, sf_dir):
-    return rounded(sim.cosine_pairs(english_tf(spark, sf_dir), "doc_id", max_df=4), "cosine")
+    """Documents at a cosine of 0.8 or more; of those with the same counts the first stands for all, which are paired with it at 1."""
+    return rounded(sim.similar_pairs(document_tf(spark, sf_dir), "doc_id", 0.8), "cosine")
 
 
 @query("select label, count(*) as n, round(avg(list_cosine_similarity(embedding::double[], c)), 6) as cosine from embeddings join (select label as l, min_by(embedding, vec_id)::double[] as c from embeddings group by label) on l = label group by label")
@@ -142,11 +146,14 @@ def char_context(spark, sf_dir):
     return mentions(spark, sf_dir).select("doc_id", tx.trimmed_context("text", "name").alias("context"))
 
 
-@query("select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>([^<]+)</title>', 1), '\\s+', ' ', 'g')) as title, regexp_replace(regexp_extract(html, '(?s)<p>([^<]+)</p>', 1), '\\s+', ' ', 'g') as paragraph from pages")
-def page_headline(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    part = lambda pat: F.regexp_replace(F.regexp_extract("html", pat, 1), r"\s+", " ")
-    return p.select("page_id", F.trim(part("(?s)<title>([^<]+)</title>")).alias("title"), part("(?s)<p>([^<]+)</p>").alias("paragraph"))
+@query("""select doc_id, case when doc_id % 3 = 0 then '' else regexp_replace(trim(regexp_replace(substring(replace(replace(text, '<', ' '), '>', ' '), 1, 60), '\\s+', ' ', 'g')), '-', ' ', 'g') end as paragraph,
+source || ' ' || lang || ' news' as headline from documents""")
+def document_headline(spark, sf_dir):
+    """Headline and first paragraph of newswire text; a third of the documents have no paragraph."""
+    plain = F.substring(F.translate("text", "<>", "  "), 1, 60)
+    body = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<P>\n"), plain, F.lit("\n</P>\n<P>\nSecond.\n</P>")))
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.headline_contexts(F.concat(F.lit("<DOC>\n<HEADLINE>\n"), "source", F.lit("-"), "lang", F.lit("\n  news\n</HEADLINE>\n"), body, F.lit("</DOC>"))).alias("c"))
+    return d.select("doc_id", F.when(F.size("c") > 1, F.get("c", F.lit(0))).otherwise("").alias("paragraph"), F.element_at("c", -1).alias("headline"))
 
 
 @query("with w as (select item_id, string_split(regexp_extract(text, '^[^.\\n]*'), ' ') as w from benchmark), s as (select item_id, w, unnest(range(1, len(w) + 1)) as i from w), p as (select item_id, w[2] as name, i, w[i:i + unnest(range(0, len(w) - i + 1))] as x from s) select item_id, array_to_string(x, ' ') as phrase from p where len(x) > 1 and contains(array_to_string(x, ' '), name)")
@@ -162,12 +169,21 @@ def confidence_curve(spark, sf_dir):
     return rounded(s.withColumn("confidence", tx.confidence("score")), "confidence")
 
 
-@query("with k as (select p_name as title, max_by(p_partkey, p_partkey) as kb_id from part group by p_name) select l.o_orderkey, l.title, k.kb_id from (select o_orderkey, case when o_orderkey % 2 = 0 then p_name else upper(p_name) end as title from orders join part on p_partkey = o_orderkey % 100 + 1) l left join k on k.title = l.title")
+def ordered_names(spark, sf_dir):
+    """(pos, p_name): orders as mentions, their names drawn from all parts."""
+    part = table(spark, sf_dir, "part")
+    return table(spark, sf_dir, "orders").join(part, F.col("p_partkey") == F.col("o_orderkey") % part.count()).select(F.col("o_orderkey").alias("pos"), "p_name")
+
+
+@query("""with k as (select p_name as title, max(p_partkey) as kb_id from part group by p_name),
+l as (select o_orderkey, case when o_orderkey % 2 = 0 then p_name else upper(p_name) end as title from orders join part on p_partkey = o_orderkey % (select count(*) from part))
+select l.o_orderkey, l.title, k.kb_id from l left join k on k.title = l.title""")
 def kb_exact_link(spark, sf_dir):
-    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
-    names = orders.join(part, F.col("p_partkey") == F.col("o_orderkey") % 100 + 1).select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("title"))
+    part = table(spark, sf_dir, "part")
+    name = F.when(F.col("pos") % 2 == 0, F.col("p_name")).otherwise(F.upper("p_name")).alias("name")
     kb = part.select(F.col("p_partkey").alias("kb_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("line_no"))
-    return candidates.exact_title(names.withColumnRenamed("title", "name"), "name", kb).select("o_orderkey", F.col("name").alias("title"), "kb_id")
+    out = candidates.exact_title(ordered_names(spark, sf_dir).select(F.col("pos").alias("o_orderkey"), name), "name", kb)
+    return out.select("o_orderkey", F.col("name").alias("title"), "kb_id")
 
 
 @query("with n as (select distinct n_name as name from nation union select distinct string_split(p_name, ' ')[1] from part) select name, count(distinct p_partkey) as n_titles from n left join part on contains(lower(p_name), lower(name)) group by name")
@@ -227,12 +243,23 @@ def gazetteer_semi(spark, sf_dir):
 W = models.SPORTS_WEIGHTS
 
 
-@query(f"with m as ({MENTION}), f as (select doc_id, name, text as c, instr(text, name) - 1 as pos from m), g as (select *, greatest(pos - 30, 0) as lo, instr(substring(c, greatest(pos - 30, 0) + 1), ' in ') as fnd from f), h as (select doc_id, name, c, case when pos >= 0 and fnd > 0 and lo + fnd - 1 < pos then least(30.0, (pos - (lo + fnd - 1))::double) else 30.0::double end as near, case when len(string_split(c, ' ')) >= 10 then 1.0::double else 0.0::double end as long from g) select doc_id, near as in_proximity, long as context_length, round(1 / (1 + exp(-({W['context_length']}::double * long + {W['in_proximity']}::double * near + {W['ner_organization']}::double))), 6) as p from h")
+@query(f"""with m as ({MENTION}), f as (select doc_id, name, text as c, instr(text, name) - 1 as pos from m),
+g as (select *, greatest(pos - 30, 0) as lo, instr(substring(c, greatest(pos - 30, 0) + 1), ' in ') as fnd from f),
+h as (select doc_id, case when pos >= 0 and fnd > 0 and lo + fnd - 1 < pos then least(30.0, (pos - (lo + fnd - 1))::double) else 30.0::double end as in_proximity,
+  case when len(string_split(c, ' ')) >= 10 then 1.0::double else 0.0::double end as context_length,
+  floor(len(regexp_extract_all(c, '\\s[0-9]{{1,2}}-[0-9]{{1,2}}')) / greatest(length(c), 1)) as score_pattern,
+  (doc_id % 10) / 10.0::double as text_score, (doc_id % 3)::double as organizations_with_locations, (doc_id % 2)::double as context_has_full_location,
+  (doc_id % 4 = 0)::int as ner_location, (doc_id % 4 = 1)::int as ner_none, (doc_id % 4 = 2)::int as ner_organization, (doc_id % 4 = 3)::int as ner_person from g),
+p as (select *, 1 / (1 + exp(-({' + '.join(f"({W[k]!r})::double * {k}" for k in W)}))) as p from h)
+select doc_id, in_proximity, context_length, round(p, 6) as p, case when doc_id % 4 <> 3 then p > 0.15 end as sports from p""")
 def sports_linear_score(spark, sf_dir):
+    """The sports sense by all ten features, and its label: none for people."""
     m = mentions(spark, sf_dir).select("doc_id", "name", F.col("text").alias("c"))
-    f = models.sports_features(F.col("c"), F.col("name"), F.lit("ORGANIZATION"), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    ner = F.element_at(F.array(*map(F.lit, ("LOCATION", "None", "ORGANIZATION", "PERSON"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    f = models.sports_features(F.col("c"), F.col("name"), ner, (F.col("doc_id") % 10) / 10.0, (F.col("doc_id") % 3).cast("double"), (F.col("doc_id") % 2).cast("double"))
     p = candidates.logistic(models.SPORTS_WEIGHTS, f, models.SPORTS_INTERCEPT)
-    return m.select("doc_id", f["in_proximity"].alias("in_proximity"), f["context_length"].alias("context_length"), F.round(p, 6).alias("p"))
+    label = models.sports_sense(ner != "PERSON", p)
+    return m.select("doc_id", f["in_proximity"].alias("in_proximity"), f["context_length"].alias("context_length"), F.round(p, 6).alias("p"), label.alias("sports"))
 
 
 @query("with b as (select *, case when lag(role) over w is distinct from role then 1 else 0 end as brk from conversations window w as (partition by conv_id order by turn, role, text)), i as (select *, sum(brk) over (partition by conv_id order by turn, role, text rows unbounded preceding) as island from b) select conv_id, island::bigint as island, min(role) as role, count(*) as n, min(turn) as first_turn, max(turn) as last_turn from i group by conv_id, island")
@@ -266,10 +293,15 @@ ABBR = "array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(l
 PAIR = NAMES + f", f as (select x.name as a, y.name as b, (case when {ABBR.format(x='x.name')} = upper(y.name) or {ABBR.format(x='y.name')} = upper(x.name) then 1.0 else 0.0 end)::double as abbreviation, (case when contains(lower(x.name), lower(y.name)) or contains(lower(y.name), lower(x.name)) then 1.0 else 0.0 end)::double as contains, (case when starts_with(lower(x.name), lower(y.name)) or starts_with(lower(y.name), lower(x.name)) then 1.0 else 0.0 end)::double as prefix, jaro_winkler_similarity(x.name, y.name) as jw from n x join n y on x.name < y.name)"
 
 
-@query(PAIR + " select a, b, abbreviation, contains, prefix, 0.0::double as common_surname from f")
+@query(PAIR + " select a, b, abbreviation, contains, prefix, 0.0::double as common_surname from f union all select name, upper(name), (upper(left(name, 1)) || upper(left(string_split(name, ' ')[2], 1)) = upper(name))::int::double, 1.0, 1.0, starts_with(name, 'red')::int::double from n")
 def pair_features(spark, sf_dir):
-    f = sim.name_features(F.col("a"), F.col("b"))
-    return name_pairs(spark, sf_dir).select("a", "b", *[c.alias(k) for k, c in f.items()])
+    """Features of all pairs of distinct names, and of each name with its capitals, of which those on a list of surnames count as such."""
+    both = name_pairs(spark, sf_dir)
+    own = both.select("a").union(both.select("b")).distinct()
+    surnames = [r[0] for r in own.where("a like 'red%'").collect()]  # a list of surnames is given as a file of a few thousand
+    both = both.union(own.select("a", F.upper("a")))
+    f = sim.name_features(F.col("a"), F.col("b"), surnames)
+    return both.select("a", "b", *[c.alias(k) for k, c in f.items()])
 
 
 @query(PAIR + " select a, b, round(1 / (1 + exp(-(0.5 * abbreviation + 1.5 * contains + 2.0 * prefix + 4.0 * jw - 3.0))), 6) as p from f")
@@ -324,9 +356,9 @@ def cross_validation(spark, sf_dir):
     return models.cross_validate(f, ["chars", "lines"], "quality", "doc_id")
 
 
-@query("select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: case when contains(w, '.') then w when starts_with(lower(w), 'ß') then lower(w) else upper(substring(w, 1, 1)) || lower(substring(w, 2)) end), ' ') as cased from documents where lang = 'en'")
+@query("select doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: case when contains(w, '.') then w when starts_with(lower(w), 'ß') then lower(w) else upper(substring(w, 1, 1)) || lower(substring(w, 2)) end), ' ') as cased from documents")
 def location_casing(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", tx.location_casing("text").alias("cased"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.location_casing("text").alias("cased"))
 
 
 @query(f"with m as ({MENTION}) select doc_id, ((length(text) - length(replace(text, name, ''))) / length(name))::bigint as n, instr(text, name) - 1 as first from m")
@@ -335,16 +367,35 @@ def name_occurrences(spark, sf_dir):
     return m.select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", F.lit(0)).cast("long").alias("first"))
 
 
-LINKED = "with t as (select p_name as title, max(p_partkey) as kb_id from part group by 1), q as (select o_orderkey as pos, p_name as name, case when o_orderkey % 6 = 0 then p_name || ' (x)' else p_name end as top, (o_orderkey % 100) / 100.0::double as score from orders join part on p_partkey = o_orderkey % 200 + 1), d as (select q.*, kb_id, score > 0.93 as high from q left join t on t.title = q.top), u as (select *, case when high and kb_id is not null then 0 else 1 end as used from d), r as (select *, sum(used) over (order by pos rows unbounded preceding)::bigint - 1 as n from u)"
+#: Eight kinds of mentions by order: over the threshold, the same but unknown to the knowledge base, the exact title, a
+#: back-off string, nothing, no annotation, and a location with the sports sense with and without a team.
+LINKED = """with k as (select p_name as title, max(p_partkey) as kb_id, length(p_name) % 2 = 0 as is_city from part group by 1),
+q as (select o_orderkey as pos, o_orderkey % 8 as kind, p_name from orders join part on p_partkey = o_orderkey % (select count(*) from part)),
+d as (select q.*, case when kind in (1, 4, 5) or kind = 7 and is_city then null when kind = 6 and is_city then 'T' || kb_id else 'E' || kb_id end as kb_id, is_city from q join k on k.title = q.p_name),
+r as (select *, sum(case when kb_id is null then 1 else 0 end) over (order by pos rows unbounded preceding)::bigint - 1 as n from d)"""
 
 
-@query(LINKED + " select pos, name, case when high and kb_id is null then name else name end as entity, case when used = 0 then 'E' || kb_id else 'NIL' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end end as kb_link, round(case when high then (trunc(100 * score - 100 * 0.93::double)::double * (20 / ((1 - 0.93::double) * 100)) + 80) / 100 else 0.55 end, 6) as confidence, case when high then 'candidate' else 'none' end as path from r")
+@query(LINKED + """ select pos, case when kind in (2, 3) then string_split(p_name, ' ')[1] else p_name end as name, p_name as entity,
+coalesce(kb_id, 'NIL' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end) as kb_link,
+round(case when kind = 5 then 0.1 when kind = 4 then 0.55 when kind = 2 then 0.8 when kind in (6, 7) and is_city then case when kind = 6 then 0.7 else 0.5 end when kind = 3 then (2 * 20 / 7.0::double + 80) / 100 else (4 * 20 / 7.0::double + 80) / 100 end::double, 6) as confidence,
+case kind when 5 then 'error' when 4 then 'none' when 2 then 'title' when 3 then 'backoff' else 'candidate' end as path from r""")
 def link_cascade(spark, sf_dir):
-    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
-    q = orders.join(part, F.col("p_partkey") == F.col("o_orderkey") % 200 + 1).select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("query_id"), F.col("p_name").alias("name"), F.when(F.col("o_orderkey") % 6 == 0, F.concat("p_name", F.lit(" (x)"))).otherwise(F.col("p_name")).alias("top"), ((F.col("o_orderkey") % 100) / 100.0).alias("score"))
-    m = q.select("pos", "query_id", "name", F.col("name").alias("entity"), F.lit(None).cast("boolean").alias("sports"), F.lit(None).cast("string").alias("error_reason"))
-    c = q.select("query_id", F.col("name").alias("surface"), F.col("top").alias("kb_name"), "score", F.lit(1).alias("rank"))
-    kb = part.select(F.concat(F.lit("E"), "p_partkey").alias("kb_id"), F.col("p_name").alias("title"), F.lit("").alias("wiki_type"), F.lit("").alias("structured_type"), F.col("p_partkey").alias("line_no"))
+    """Every path of the cascade, and the move from a place to its team."""
+    part = table(spark, sf_dir, "part")
+    kind = F.col("pos") % 8
+    q = ordered_names(spark, sf_dir).withColumns({"kind": kind, "query_id": F.col("pos").cast("string"), "word": F.get(F.split("p_name", " "), F.lit(0))})
+    m = q.select(
+        "pos", "query_id", F.when(F.col("kind").isin(2, 3), F.col("word")).otherwise(F.col("p_name")).alias("name"),
+        F.when(F.col("kind") == 3, F.concat(F.lit("The "), "p_name", F.lit(" Works"))).otherwise(F.col("p_name")).alias("entity"),
+        (F.col("kind") >= 6).alias("sports"), F.when(F.col("kind") == 5, "no annotation").alias("error_reason"),
+    )
+    score = F.when(F.col("kind").isin(2, 4), 0.3).when(F.col("kind") == 3, 0.95).otherwise(0.97)
+    top = F.when(F.col("kind") == 1, F.concat("p_name", F.lit(" (unknown)"))).otherwise(F.col("p_name"))
+    c = q.select("query_id", F.col("p_name").alias("surface"), top.alias("kb_name"), score.alias("score"), F.lit(1).alias("rank"))
+    c = c.union(q.where("kind = 6").select("query_id", "p_name", F.concat("p_name", F.lit(" FC")), F.lit(0.94), F.lit(2)))
+    places = F.when(F.length("p_name") % 2 == 0, "City of the region").otherwise("person")
+    kb = part.select(F.concat(F.lit("E"), "p_partkey").alias("kb_id"), F.col("p_name").alias("title"), places.alias("wiki_type"), F.lit("").alias("structured_type"), F.col("p_partkey").alias("line_no"))
+    kb = kb.union(part.select(F.concat(F.lit("T"), "p_partkey"), F.concat("p_name", F.lit(" FC")), F.lit("Football club"), F.lit("ORG"), "p_partkey"))
     return rounded(linking.link(m, c, kb), "confidence").select("pos", "name", "entity", "kb_link", "confidence", "path")
 
 
