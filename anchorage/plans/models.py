@@ -10,11 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: The names of the sports features in model files, and the columns that hold them here.
+SPORTS_NAMES = {
+    "If the context includes a fully specified location string": "context_has_full_location",
+    "Length of source context": "context_length",
+    "NER location": "ner_location",
+    "NER none": "ner_none",
+    "NER organization": "ner_organization",
+    "NER person": "ner_person",
+    "Ratio of Organizations With Locations to Other Organizations": "organizations_with_locations",
+    "docsim score": "text_score",
+    "proximity of preposition in": "in_proximity",
+    "score pattern matches": "score_pattern",
+}
 #: The weights of the sports sense, by feature.
 SPORTS_WEIGHTS = {
-    "context_has_full_location": -0.08958264997927144, "context_length": 1.1828456228513275, "ner_location": -0.48613314276987957, "ner_none": -1.1565646512614067e-4,
-    "ner_organization": 0.39228958794133695, "ner_person": 0.0, "organizations_with_locations": -2.2565991340662322e-4, "text_score": 2.080317448941906, "in_proximity": 0.3265555462107808, "score_pattern": 0.0,
-}
+    "context_has_full_location": -0.08958264997927144,
+    "context_length": 1.1828456228513275,
+    "ner_location": -0.48613314276987957,
+    "ner_none": -1.1565646512614067e-4,
+    "ner_organization": 0.39228958794133695,
+    "ner_person": 0.0,
+    "organizations_with_locations": -2.2565991340662322e-4,
+    "text_score": 2.080317448941906,
+    "in_proximity": 0.3265555462107808,
+    "score_pattern": 0.0,
+}
 SPORTS_INTERCEPT, SPORTS_THRESHOLD = 0.0, 0.15
 
 
@@ -34,6 +55,13 @@ def sports_features(context: Column, name: Column, ner_type: Column, text_score:
     }
 
 
+def by_column(weights: Mapping[str, float], names: Mapping[str, str] = SPORTS_NAMES) -> dict[str, float]:
+    """The weights of a model file by the columns of their features; an unknown name is an error."""
+    if unknown := sorted(set(weights) - set(names) - set(names.values())):
+        raise ValueError(f"unknown features: {', '.join(unknown)}")
+    return {names.get(k, k): v for k, v in weights.items()}
+
+
 def sports_sense(candidate: Column, probability: Column, threshold: float = SPORTS_THRESHOLD) -> Column:
     """Null where the mention is no candidate, else whether it is over the threshold."""
     return F.when(candidate, probability > threshold)

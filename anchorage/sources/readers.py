@@ -166,3 +166,26 @@ def extractions_near(queries: DataFrame, extractions: DataFrame, reach: int = 50
     e = e.select("doc_id", (F.col("sentence_start") + F.get("arg_tokens", F.lit(0))["start"]).alias("at"), F.array_join(F.transform(proper, lambda t: t["string"]), " ").alias("arg")).where("arg <> ''")
     met = queries.select("query_id", "doc_id", "beg", "entity").join(e, "doc_id").where((F.abs(F.col("beg") - F.col("at")) < reach) & (F.lower("arg") != F.lower("entity")))
     return met.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "arg"))), lambda x: x["arg"]).alias("args"))
+
+
+#: Fields of an extraction, in the order of a line.
+EXTRACTION = "doc_id string, sentence_start int, arg1 string, rel string, arg2 string, arg1_node string, arg2_node string, confidence double"
+
+
+def extractions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of eight fields, parted by TAB -> EXTRACTION; a field that is empty or no number is null, lines of another length are passed over."""
+    f = _fields(spark, path).where(F.size("f") == 8)
+    names = [x.strip().split(" ") for x in EXTRACTION.split(",")]
+    return f.select(*[F.expr(f"try_cast(nullif(f[{i}], '') as {kind})").alias(name) for i, (name, kind) in enumerate(names)])
+
+
+def corpus_documents(queries: DataFrame, corpora: dict[str, DataFrame]) -> DataFrame:
+    """with_documents() of the corpus that each query's year picks; corpora: year -> documents(doc_id, text). A year without a corpus is an error."""
+    years = {r["year"] for r in queries.select("year").distinct().collect()}
+    if unknown := sorted(str(y) for y in years - set(corpora)):
+        raise ValueError(f"no documents for {', '.join(unknown)}")
+    out = None
+    for year in sorted(years):
+        one = with_documents(queries.where(F.col("year") == year), corpora[year])
+        out = one if out is None else out.union(one)
+    return queries.withColumn("text", F.lit("")) if out is None else out
