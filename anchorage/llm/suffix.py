@@ -88,13 +88,14 @@ def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def _digits(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, once, more): the sampled digits that a text holds once, and more often."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [sampled_digits(_raw(t)) for t in b["text"]]
-            n = [len(p) for p, _ in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"].repeat(n), "th": b["th"].repeat(n), "pos": np.concatenate([p for p, _ in found]), "h": np.concatenate([h for _, h in found])})
+            found = [np.unique(sampled_digits(_raw(t))[1], return_counts=True) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "once": [h[n == 1] for h, n in found], "more": [h[n > 1] for h, n in found]})
 
-    return _identified(docs).drop("own").mapInPandas(run, "doc_id long, th long, pos int, h long")
+    return _identified(docs).drop("own").mapInPandas(run, "doc_id long, th long, once array<long>, more array<long>")
 
 
 def _segments(raw: bytes, marks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +111,7 @@ def _segments(raw: bytes, marks: np.ndarray, window: int) -> tuple[np.ndarray, n
     pos, h = sampled_digits(raw)
     end = len(raw) + window
     p, g = np.append(pos, end), np.append(h, 0)
-    lone = np.append(pos[~np.isin(pos, marks)], end)
+    lone = np.append(pos[~np.isin(h, marks)], end)
     # A lone digit at u rules out the starts from u - reach to u, so of those before p only the ones to its left remain.
     free = np.minimum(lone[np.searchsorted(lone, p)] - reach, starts)
     before = np.append(-1, pos) + 1
@@ -124,15 +125,16 @@ def _segments(raw: bytes, marks: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _classes(scratch: Scratch, runs: DataFrame) -> DataFrame:
-    """runs with `n`, how many equal ones there are, and `rep`, whether it is the first of several.
+    """runs with `done`, whether there are several equal ones, and `rep`, whether it is the one of them that stands for all.
 
     What is known of each class is written before it is joined, so that the join can split one with very many runs.
     """
-    first = F.struct("doc_id", "th", "lo")
-    known = scratch.put(runs.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(first).alias("first")).where("n > 1"))
+    place = F.xxhash64("doc_id", "th", "lo")
+    known = scratch.put(runs.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
     out = runs.join(known, ["c1", "c2"], "left")
-    several = F.col("n").isNotNull()
-    return out.withColumns({"done": several, "rep": F.coalesce(several & (F.col("first") == first), F.lit(False))}).drop("c1", "c2", "n", "first")
+    out = scratch.put(out.withColumns({"done": F.col("first").isNotNull(), "rep": F.coalesce(F.col("first") == place, F.lit(False))}).drop("c1", "c2", "first"))
+    scratch.drop(known)
+    return out
 
 
 def _lists(df: DataFrame, *cols: str) -> DataFrame:
@@ -182,9 +184,13 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     Of each class of equal runs one goes on to the next pass where an open run has the same first digit (and distance),
     as an equal window has to have: so each window meets an equal one if there is any. Runs are compared as 128-bit hashes.
     """
-    digits = _digits(docs)
-    twice = scratch.put(digits.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    marks = scratch.put(digits.join(twice, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("marks")))
+    digits = scratch.put(_digits(docs))
+    counted = digits.select(F.explode("once").alias("h"), F.lit(1).alias("n")).union(digits.select(F.explode("more").alias("h"), F.lit(2).alias("n")))
+    twice = scratch.put(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    each = digits.select("doc_id", "th", F.explode(F.concat("once", "more")).alias("h"))
+    marks = scratch.put(each.join(twice, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("h").alias("marks")))
+    for used in (digits, twice):
+        scratch.drop(used)
 
     def by_digit(raw, found):
         lo, hi, p, g = _segments(raw, np.asarray(found, dtype=np.int64), window)
@@ -225,7 +231,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     segs = _with_text(docs, marks, "left").mapInPandas(lambda it: _each(it, "marks", by_digit), f"{key}, hi int, p int, g long, c1 long, c2 long")
     segs = scratch.put(segs)
     scratch.drop(marks)
-    at = scratch.put(_classes(scratch, segs.where("p >= 0")))
+    at = _classes(scratch, segs.where("p >= 0"))
     bare = scratch.put(segs.where("p < 0").select("doc_id", "th", "lo", "hi", F.lit(None).cast("long").alias("g"), F.lit(None).cast("int").alias("j"), F.lit(True).alias("mine")))
     scratch.drop(segs)
     runs = at.where("not done")
@@ -233,18 +239,21 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     runs = runs.union(at.where("rep").join(gs, "g", "left_semi").select(*at.columns))
     parts = _with_text(docs, _lists(runs, "lo", "hi", "p", "g", "rep"), "inner").mapInPandas(lambda it: _each(it, "runs", by_distance), f"{key}, hi int, g long, j int, stood boolean, c1 long, c2 long")
     parts = scratch.put(parts)
-    sub = scratch.put(_classes(scratch, parts))
-    scratch.drop(parts)
+    sub = _classes(scratch, parts)
+    for used in (parts, gs):
+        scratch.drop(used)
     alone = sub.where("not done and not stood").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(True).alias("mine"))
-    met = sub.where("rep or (stood and not done)").join(scratch.put(alone.select("g", "j").distinct()), ["g", "j"], "left_semi").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(False).alias("mine"))
+    gj = scratch.put(alone.select("g", "j").distinct())
+    met = sub.where("rep or (stood and not done)").join(gj, ["g", "j"], "left_semi").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(False).alias("mine"))
     todo = _lists(alone.union(met).union(bare), "lo", "hi", "mine")
     single = scratch.put(_with_text(docs, todo, "inner").mapInPandas(lambda it: _each(it, "runs", by_start), f"{key}, hi int, mine boolean, settled boolean, c1 long, c2 long"))
+    scratch.drop(gj)
     again = scratch.put(single.where("not settled").groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"))
     span = lambda df, end: df.select("doc_id", "th", F.col("lo").alias("start"), (end - 1 + window).alias("end"))
     found = span(single.where("mine").join(again, ["c1", "c2"], "left_semi"), F.col("hi"))
     found = found.union(span(single.where("settled"), F.col("hi"))).union(span(at.where("done"), F.col("hi"))).union(span(sub.where("done"), F.col("hi")))
     out = scratch.put(found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
-    for used in (single, at, sub, bare):
+    for used in (single, again, at, sub, bare):
         scratch.drop(used)
     return out
 
