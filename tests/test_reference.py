@@ -90,6 +90,18 @@ def test_average_link_by_components(spark, seed):
     links = spark.createDataFrame([(i, i) for i in ids], "query_id string, kb_link string")
     got = nil.cluster_average_link(links, spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a string, b string, sim double"), 0.7)
     assert {r.query_id: r.kb_link for r in got.collect()} == whole
+    # The same in rounds over the table, and by the plain rule: the best pair of all, again and again.
+    scores = spark.createDataFrame([(a, b, s) for (a, b), s in pairs.items()], "a string, b string, sim double")
+    assert {r.query_id: r.kb_link for r in nil.cluster_average_link(links, scores, 0.7, task_pairs=0).collect()} == whole
+    clusters = {i: [i] for i in ids}
+    while True:
+        mean = lambda x, y: sum(pairs.get((a, b), pairs.get((b, a))) for a in clusters[x] for b in clusters[y]) / len(clusters[x]) / len(clusters[y])
+        best = max(((mean(x, y), x, y) for x in clusters for y in clusters if x < y and (x[0] == "N" or y[0] == "N")), default=(0, "", ""))
+        if best[0] < 0.7:
+            break
+        keep, lose = (best[2], best[1]) if best[2][0] == "E" else best[1:]
+        clusters[keep] += clusters.pop(lose)
+    assert {i: k for k, own in clusters.items() for i in own} == whole
 
 
 def test_link_cascade(spark):
