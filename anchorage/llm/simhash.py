@@ -142,7 +142,7 @@ def _levels(n: int, leaf: int) -> int:
     return max(0, math.ceil(math.log(max(n, 1) / leaf) / -math.log(0.37)))
 
 
-def links(scratch: Scratch, points: DataFrame, radius: int = 3, trees: int = 2, leaf: int = 8192) -> DataFrame:
+def links(scratch: Scratch, points: DataFrame, radius: int = 3, trees: int = 2, leaf: int = 2048) -> DataFrame:
     """points(fp, id), distinct fingerprints -> links(a, b) that join all pairs within the radius; a spanning forest of each shard.
 
     The distributed levels are shards(), as many as the number of points asks for. (One tree over all 64 bits would do
