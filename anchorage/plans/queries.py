@@ -52,7 +52,10 @@ def benchmark_report(spark, sf_dir):
     return evaluate.report(*answers(spark, sf_dir))
 
 
-@query(ANSWERS + ", m as (select unnest(['CORRECT','WRONG KB ID','EXP KB ID','EXP NIL','WRONG NIL ID','NIL OK']) as metric) select metric, round(coalesce(n, 0)::double, 6) as value from m left join (select outcome, count(*) as n from o group by outcome) c on c.outcome = m.metric union all select 'over_clustered', count(*)::double from (select sys from a group by sys having count(distinct gold) > 1) union all select unnest(['precision', 'recall', 'f1']), unnest([round(p, 6), round(r, 6), round(2 * p * r / nullif(p + r, 0), 6)]) from (select avg(ok * nb / ns) as p, avg(ok * nb / ng) as r from o)")
+SUMMARY = ", m as (select unnest(['CORRECT','WRONG KB ID','EXP KB ID','EXP NIL','WRONG NIL ID','NIL OK']) as metric) select metric, round(coalesce(n, 0)::double, 6) as value from m left join (select outcome, count(*) as n from o group by outcome) c on c.outcome = m.metric union all select 'over_clustered', count(*)::double from (select sys from a group by sys having count(distinct gold) > 1) union all select unnest(['precision', 'recall', 'f1']), unnest([round(p, 6), round(r, 6), round(2 * p * r / nullif(p + r, 0), 6)]) from (select avg(ok * nb / ns) as p, avg(ok * nb / ng) as r from o)"
+
+
+@query(ANSWERS + SUMMARY)
 def evaluation_summary(spark, sf_dir):
     return rounded(evaluate.summary(*answers(spark, sf_dir)), "value")
 
@@ -207,7 +210,7 @@ def candidate_ranking(spark, sf_dir):
 @query("select doc_id, lang, case when used > 0 then 'NIL' || case when n < 10000 then lpad(n::varchar, 4, '0') else n::varchar end end as nil_id from (select doc_id, lang, used, sum(used) over (order by doc_id rows unbounded preceding)::bigint - 1 as n from (select doc_id, lang, case when doc_id % 4 = 0 then 0 when doc_id % 5 = 0 then 2 else 1 end as used from documents))")
 def nil_allocate(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("doc_id").alias("pos"), F.expr("case when doc_id % 4 = 0 then 0 when doc_id % 5 = 0 then 2 else 1 end").alias("consumed"))
-    return nil.allocate(d, width=128).select("doc_id", "lang", "nil_id")
+    return nil.allocate(d).select("doc_id", "lang", "nil_id")
 
 
 NILS = "select doc_id as pos, doc_id as query_id, case when doc_id % 3 = 0 then text else source end as name, text as entity, case when doc_id % 4 = 0 then 'E' else 'NIL' end || doc_id as kb_link, 0.55::double as confidence from documents"
@@ -280,6 +283,7 @@ NAMES = "with n as (select distinct p_name as name from part)"
 
 
 def name_pairs(spark, sf_dir):
+    """All pairs of distinct names: what is asked for grows with the square of their number, which the list of products bounds and not the rows."""
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     return n.toDF("a").join(n.toDF("b"), F.expr("a < b"))
 
@@ -399,6 +403,35 @@ def link_cascade(spark, sf_dir):
     return rounded(linking.link(m, c, kb), "confidence").select("pos", "name", "entity", "kb_link", "confidence", "path")
 
 
+PLACES = """with n as (select n_nationkey, upper(n_name[1]) || lower(n_name[2:]) as city, array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as region from nation join region on r_regionkey = n_regionkey)"""
+
+
+@query(PLACES + """ select c_custkey, case c_custkey % 7 when 0 then 'UNB' when 1 then 'Ford' when 4 then 'Acme' when 5 then 'Acme' when 6 then 'Bank' else city end as name,
+case c_custkey % 7 when 0 then 'United Northern Bank' when 1 then 'Gerald Ford' when 2 then city || ', ' || region when 3 then case when contains(region, ' ') then city else city || ', ' || region end
+  when 4 then 'The Acme Group' when 5 then 'Acme' else 'Bankers' end as entity, case when c_custkey % 7 = 5 and c_custkey % 2 = 0 then 'no annotation' when c_custkey % 7 = 5 then 'unknown entity type' end as error_reason
+from customer join n on n_nationkey = c_nationkey""")
+def surface_rules(spark, sf_dir):
+    """A mention for each rule: initials, a longer name, a container among the places and in the text, the chain, a longer word, and what no rule takes."""
+    cased = lambda c: tx.location_casing(c)
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", cased("n_name").alias("city"), cased("r_name").alias("region"))
+    within = {r["region"]: frozenset(r["cities"]) for r in n.groupBy("region").agg(F.collect_set("city").alias("cities")).collect()}
+    gaz = surface.Gazetteer(frozenset(x.lower() for c in within.values() for x in c), frozenset(), frozenset(x.lower() for x in within), within)
+    m = table(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).withColumn("kind", F.col("c_custkey") % 7)
+    by = lambda other, **cases: F.coalesce(*[F.when(F.col("kind") == int(k[1:]), v) for k, v in cases.items()], other)
+    strings = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x]).cast("array<string>")
+    city, region = F.col("city"), F.col("region")
+    m = m.select(
+        "c_custkey", by(city, k0=F.lit("UNB"), k1=F.lit("Ford"), k4=F.lit("Acme"), k5=F.lit("Acme"), k6=F.lit("Bank")).alias("name"),
+        by(F.lit("The Acme Group grew. It is Acme."), k0=F.lit("The United Northern Bank (UNB) grew."), k1=F.lit("Gerald Ford spoke. Then Ford left."), k2=F.concat(F.lit("From "), region, F.lit(" he went to "), city), k3=F.concat(F.lit("He saw "), city, F.lit(", "), region, F.lit(".")), k6=F.lit("Bankers met at the Bank")).alias("text"),
+        F.when((F.col("kind") == 5) & (F.col("c_custkey") % 2 == 0), F.lit(None)).otherwise(by(F.lit("None"), k0=F.lit("ORGANIZATION"), k1=F.lit("PERSON"), k2=F.lit("LOCATION"), k3=F.lit("LOCATION"), k5=F.lit("DATE"), k6=F.lit("ORGANIZATION"))).alias("ner_type"),
+        by(strings(), k0=strings("Acme", "United Northern Bank"), k6=strings("Bankers")).alias("orgs"), by(strings(), k2=strings(region, city)).alias("locs"), by(strings(), k1=strings("Ann Lee", "Gerald Ford")).alias("people"),
+        by(strings(), k4=strings("The Acme Group", "The Acme Group of Companies")).alias("matching"),
+        F.when(F.col("kind") == 4, F.array(F.struct(F.lit(0).alias("start"), F.lit(13).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.lit(None).cast("boolean").alias("sports"),
+    )
+    m = m.withColumn("beg", F.length("text") - F.instr(F.reverse("text"), F.reverse("name")) - F.length("name") + 1)
+    return surface.entity_strings(m, gaz).select("c_custkey", "name", "entity", "error_reason")
+
+
 @query()
 def entity_surface_rules(spark, sf_dir):
     """Mentions of documents expanded by the surface rules, with runs of capital words for entities."""
@@ -410,7 +443,11 @@ def entity_surface_rules(spark, sf_dir):
     return surface.entity_strings(m, surface.Gazetteer()).select("doc_id", "name", "entity", "error_reason")
 
 
-@query()
+PASSAGES = """with h as (select doc_id, min(item_id) as item from documents d join benchmark b on b.text <> '' and contains(d.text, b.text) group by doc_id),
+a as (select doc_id as query_id, coalesce('E' || lpad(item::varchar, 7, '0'), 'NIL' || dense_rank() over (order by text)) as sys, coalesce('E' || lpad(item::varchar, 7, '0'), 'NIL' || md5(text)) as gold from documents left join h using (doc_id))"""
+
+
+@query(PASSAGES + ANSWERS[ANSWERS.index(", n as") :] + SUMMARY)
 def passage_link_evaluation(spark, sf_dir):
     """Documents linked to the benchmark passage they hold, the rest clustered by text, against the same clusters: the flagship."""
     d = table(spark, sf_dir, "documents")
