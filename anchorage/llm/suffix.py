@@ -138,15 +138,22 @@ def _classes(scratch: Scratch, runs: DataFrame) -> DataFrame:
 
 
 def _lists(df: DataFrame, *cols: str) -> DataFrame:
-    return df.groupBy("doc_id", "th").agg(F.collect_set(F.struct(*cols)).alias("runs"))
+    """For each text the runs, as an array for each of their columns: these pass into numpy as they are."""
+    runs = df.groupBy("doc_id", "th").agg(F.collect_set(F.struct(*cols)).alias("runs"))
+    return runs.select("doc_id", "th", *[F.col(f"runs.{c}").alias(c) for c in cols])
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... n[0] numbers, then those of the next."""
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 def _columns(c: np.ndarray, **cols) -> dict[str, np.ndarray]:
     return {k: np.asarray(v) for k, v in cols.items()} | {"c1": c[:, 0], "c2": c[:, 1]}
 
 
-def _each(batches: Iterator[pd.DataFrame], column: str, work) -> Iterator[pd.DataFrame]:
-    """work(raw, list) -> columns, for each row; gathered into frames of bounded length."""
+def _each(batches: Iterator[pd.DataFrame], columns: list[str], work) -> Iterator[pd.DataFrame]:
+    """work(raw, arrays) -> columns, for each row; gathered into frames of bounded length. Rows that no list was found for have empty arrays."""
     keys: list[tuple[int, int, int]] = []
     parts: list[dict[str, np.ndarray]] = []
     rows = 0
@@ -157,8 +164,8 @@ def _each(batches: Iterator[pd.DataFrame], column: str, work) -> Iterator[pd.Dat
         return pd.DataFrame(own | {k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
 
     for b in batches:
-        for doc_id, th, text, found in zip(b["doc_id"], b["th"], b["text"], b[column], strict=True):
-            out = work(_raw(text), [] if found is None else found)
+        for doc_id, th, text, *found in zip(b["doc_id"], b["th"], b["text"], *[b[c] for c in columns], strict=True):
+            out = work(_raw(text), *[np.zeros(0, dtype=np.int64) if x is None else np.asarray(x) for x in found])
             if n := len(out["lo"]):
                 keys.append((doc_id, th, n))
                 parts.append(out)
@@ -193,24 +200,21 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
         scratch.drop(used)
 
     def by_digit(raw, found):
-        lo, hi, p, g = _segments(raw, np.asarray(found, dtype=np.int64), window)
+        lo, hi, p, g = _segments(raw, found.astype(np.int64), window)
         return _columns(_h128(raw, zip(lo.tolist(), (hi - 1 + window).tolist(), strict=True)), lo=lo, hi=hi, p=p, g=g)
 
-    def by_distance(raw, found):
-        rows = []
-        for x in found:
-            s = x["lo"]
-            while s < x["hi"]:
-                e = min(x["hi"], x["p"] - ((x["p"] - s) // STRIDE) * STRIDE + 1)
-                rows.append((s, e, x["g"], (x["p"] - s) // STRIDE, x["rep"]))
-                s = e
-        c = _h128(raw, [(r[0], r[1] - 1 + window) for r in rows])
-        lo, hi, g, j, stood = zip(*rows, strict=True)
-        return _columns(c, lo=lo, hi=hi, g=g, j=j, stood=stood)
-
-    def by_start(raw, found):
-        mine = {s for x in found if x["mine"] for s in range(x["lo"], x["hi"])}
-        starts = np.array(sorted(mine.union(*[range(x["lo"], x["hi"]) for x in found])))
+    def by_distance(raw, lo, hi, p, g, rep):
+        far, near = (p - lo) // STRIDE, (p - hi + 1) // STRIDE
+        n = far - near + 1
+        j, of = _spread(near, n), np.repeat(np.arange(len(lo)), n)
+        a, z = np.maximum(lo[of], p[of] - j * STRIDE - STRIDE + 1), np.minimum(hi[of], p[of] - j * STRIDE + 1)
+        c = _h128(raw, zip(a.tolist(), (z - 1 + window).tolist(), strict=True))
+        return _columns(c, lo=a, hi=z, g=g[of], j=j, stood=rep[of])
+
+    def by_start(raw, lo, hi, own):
+        every = _spread(lo, hi - lo)
+        starts = np.unique(every)
+        is_mine = np.isin(starts, every[np.repeat(own.astype(bool), hi - lo)])
         c = _h128(raw, [(s, s + window) for s in starts.tolist()])
         order = np.lexsort((starts, c[:, 1], c[:, 0]))
         same = (c[order][1:] == c[order][:-1]).all(axis=1)
@@ -221,14 +225,14 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
         # word over and over sends a row for each letter of the word and not for each of its own.
         runs = np.flatnonzero(np.diff(starts[several]) > 1)
         lows, highs = (starts[several][np.append(0, runs + 1)], starts[several][np.append(runs, -1)] + 1) if several.any() else (starts[:0], starts[:0])
-        own, one = starts[first], np.isin(starts[first], list(mine)) & ~several[first]
+        alone, one = starts[first], is_mine[first] & ~several[first]
         return _columns(
-            np.concatenate([c[first], np.zeros((len(lows), 2), dtype=np.int64)]), lo=np.append(own, lows), hi=np.append(own + 1, highs),
-            mine=np.append(one, np.zeros(len(lows), dtype=bool)), settled=np.append(np.zeros(len(own), dtype=bool), np.ones(len(lows), dtype=bool)),
+            np.concatenate([c[first], np.zeros((len(lows), 2), dtype=np.int64)]), lo=np.append(alone, lows), hi=np.append(alone + 1, highs),
+            mine=np.append(one, np.zeros(len(lows), dtype=bool)), settled=np.append(np.zeros(len(alone), dtype=bool), np.ones(len(lows), dtype=bool)),
         )
 
     key = "doc_id long, th long, lo int"
-    segs = _with_text(docs, marks, "left").mapInPandas(lambda it: _each(it, "marks", by_digit), f"{key}, hi int, p int, g long, c1 long, c2 long")
+    segs = _with_text(docs, marks, "left").mapInPandas(lambda it: _each(it, ["marks"], by_digit), f"{key}, hi int, p int, g long, c1 long, c2 long")
     segs = scratch.put(segs)
     scratch.drop(marks)
     at = _classes(scratch, segs.where("p >= 0"))
@@ -237,7 +241,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     runs = at.where("not done")
     gs = scratch.put(runs.select("g").distinct())
     runs = runs.union(at.where("rep").join(gs, "g", "left_semi").select(*at.columns))
-    parts = _with_text(docs, _lists(runs, "lo", "hi", "p", "g", "rep"), "inner").mapInPandas(lambda it: _each(it, "runs", by_distance), f"{key}, hi int, g long, j int, stood boolean, c1 long, c2 long")
+    parts = _with_text(docs, _lists(runs, "lo", "hi", "p", "g", "rep"), "inner").mapInPandas(lambda it: _each(it, ["lo", "hi", "p", "g", "rep"], by_distance), f"{key}, hi int, g long, j int, stood boolean, c1 long, c2 long")
     parts = scratch.put(parts)
     sub = _classes(scratch, parts)
     for used in (parts, gs):
@@ -246,7 +250,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, window: int = 200) -> Data
     gj = scratch.put(alone.select("g", "j").distinct())
     met = sub.where("rep or (stood and not done)").join(gj, ["g", "j"], "left_semi").select("doc_id", "th", "lo", "hi", "g", "j", F.lit(False).alias("mine"))
     todo = _lists(alone.union(met).union(bare), "lo", "hi", "mine")
-    single = scratch.put(_with_text(docs, todo, "inner").mapInPandas(lambda it: _each(it, "runs", by_start), f"{key}, hi int, mine boolean, settled boolean, c1 long, c2 long"))
+    single = scratch.put(_with_text(docs, todo, "inner").mapInPandas(lambda it: _each(it, ["lo", "hi", "mine"], by_start), f"{key}, hi int, mine boolean, settled boolean, c1 long, c2 long"))
     scratch.drop(gj)
     again = scratch.put(single.where("not settled").groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"))
     span = lambda df, end: df.select("doc_id", "th", F.col("lo").alias("start"), (end - 1 + window).alias("end"))

@@ -246,19 +246,3 @@ def test_pii_bootstrap_crosses_shapes(docs):
 def test_no_python_on_the_main_path(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
-
-
-def test_a_line_of_every_document_is_split(spark):
-    """The join on a line that all documents have is dealt over several tasks."""
-    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
-    before = {k: spark.conf.get(k) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        table = spark.range(20000).selectExpr("id as doc_id", "concat('one line that all have\\nown line number ', id, '\\nline of two ', id div 2) as text").repartition(8)
-        out = lines.dropped_lines(table)
-        assert len(out.collect()) == 19999
-        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
