@@ -79,8 +79,9 @@ def _anchors(w: Words) -> tuple[np.ndarray, ...]:
     if len(w.h) < PASSAGE:
         return none, none, none, none
     g = rolled(w.h, GRAM)
-    anchor = sliding_window_view(g, PASSAGE - GRAM + 1).argmin(axis=1)
-    anchor += np.arange(len(anchor))
+    windows = sliding_window_view(g, PASSAGE - GRAM + 1)
+    # In blocks, as argmin copies what it is given.
+    anchor = np.concatenate([windows[i : i + 8192].argmin(axis=1) + np.arange(i, min(i + 8192, len(windows))) for i in range(0, len(windows), 8192)])
     # Windows must end in the text where they begin.
     text_end = np.repeat(w.first[1:], np.diff(w.first))[: len(anchor)]
     at = np.flatnonzero(np.arange(len(anchor)) + PASSAGE <= text_end)
@@ -141,15 +142,17 @@ def components(scratch: Scratch, docs: DataFrame, pars: DataFrame, least: float
     sizes = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = scratch.put(keys.join(sizes, "key"))
     scratch.drop(sizes)
-    source = signed.join(met.select("id").distinct(), "id", "left_semi").groupBy("f.doc_id", "f.th").agg(F.collect_list(F.struct("f.w0", "f.w1", "id")).alias("pars"))
+    source = signed.join(met.select("id").distinct(), "id", "left_semi").groupBy("f.doc_id", "f.th").agg(F.collect_list(F.struct("f.w0", "f.w1", "id")).alias("p")).select("doc_id", "th", "p.w0", "p.w1", "p.id")
 
     def reread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, found = b["text"].tolist(), b["pars"].tolist()
+            texts, lists = b["text"].tolist(), [b[c].tolist() for c in ("w0", "w1", "id")]
             for a, z in slices(texts):
                 w, rows = scan(texts[a:z]), []
-                for first, some in zip(w.first[:-1].tolist(), found[a:z], strict=True):
-                    rows += [(p["id"], np.unique(rolled(w.h[first + p["w0"] : first + p["w1"]], SHINGLE)).tobytes()) for p in some]
+                for i in range(a, z):
+                    first = int(w.first[i - a])
+                    for lo, hi, n in zip(*[x[i].tolist() for x in lists], strict=True):
+                        rows.append((n, np.unique(rolled(w.h[first + lo : first + hi], SHINGLE)).tobytes()))
                 yield pd.DataFrame(rows, columns=["id", "shingles"])
 
     sets = scratch.put(_with_text(docs, source, "inner").mapInPandas(reread, "id long, shingles binary"))
@@ -284,20 +287,23 @@ def dedup_paragraphs(docs: DataFrame, least: float = 0.8, least_words: int = 20)
     scratch.drop(named)
     passages = repeated_passages(scratch, named_docs, every.select("doc_id", "th", "grams"), lists)
     scratch.drop(every)
-    lists = lists.join(passages, ["doc_id", "th"], "full")
+    none = F.array().cast("array<struct<w0:int,w1:int,gone:boolean,class:bigint>>")
+    lists = lists.join(passages, ["doc_id", "th"], "full").select("doc_id", "th", F.concat(F.coalesce("pars", none), F.coalesce("passages", none)).alias("p"))
+    lists = lists.select("doc_id", "th", "p.w0", "p.w1", "p.gone", "p.class")
 
     @F.pandas_udf("n_linked long, n_removed long, n_chars_removed long, class_ids array<long>, kept_sha256 string, kept string")
-    def rest(texts: pd.Series, pars: pd.Series, passages: pd.Series) -> pd.DataFrame:
+    def rest(texts: pd.Series, w0: pd.Series, w1: pd.Series, gone: pd.Series, classes: pd.Series) -> pd.DataFrame:
         rows, every = [], texts.tolist()
-        lists = [[p for x in both if x is not None for p in x] for both in zip(pars, passages, strict=True)]
+        empty = np.zeros(0, dtype=np.int64)
+        w0, w1, gone, classes = ([empty if x is None else np.asarray(x) for x in c] for c in (w0, w1, gone, classes))
         for a, z in slices(every):
-            cut = [_runs([(p["w0"], p["w1"]) for p in found if p["gone"]]) for found in lists[a:z]]
-            w = scan([t if gone else None for t, gone in zip(every[a:z], cut, strict=True)])
-            for i, gone in enumerate(cut):
-                text, found, first = every[a + i] or "", lists[a + i], int(w.first[i])
-                kept = _without(text, [(int(w.start[first + lo]), int(w.end[first + hi - 1])) for lo, hi in gone]) if gone else text
-                linked = _runs([(p["w0"], p["w1"]) for p in found])
-                rows.append((len(linked), len(gone), len(text) - len(kept), sorted({p["class"] for p in found}), hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), kept))
+            cut = [_runs(zip(w0[i][gone[i].astype(bool)].tolist(), w1[i][gone[i].astype(bool)].tolist(), strict=True)) for i in range(a, z)]
+            w = scan([t if c else None for t, c in zip(every[a:z], cut, strict=True)])
+            for i in range(a, z):
+                text, runs, first = every[i] or "", cut[i - a], int(w.first[i - a])
+                kept = _without(text, [(int(w.start[first + lo]), int(w.end[first + hi - 1])) for lo, hi in runs]) if runs else text
+                linked = _runs(zip(w0[i].tolist(), w1[i].tolist(), strict=True))
+                rows.append((len(linked), len(runs), len(text) - len(kept), np.unique(classes[i]).tolist(), hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest(), kept))
         return pd.DataFrame(rows, columns=["n_linked", "n_removed", "n_chars_removed", "class_ids", "kept_sha256", "kept"])
 
-    return _with_text(docs, lists, "left").select(F.col("own").alias("doc_id"), rest("text", "pars", "passages").alias("r")).select("doc_id", "r.*")
+    return _with_text(docs, lists, "left").select(F.col("own").alias("doc_id"), rest("text", "w0", "w1", "gone", "class").alias("r")).select("doc_id", "r.*")

@@ -49,15 +49,15 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, anchored: DataFrame, pa
     open_runs = met.where("class is null")
     anchors = scratch.put(open_runs.select("h").distinct())
     firsts = met.where("class = doc_id").join(anchors, "h", "left_semi")
-    todo = open_runs.union(firsts.select(open_runs.columns)).groupBy("doc_id", "th").agg(F.collect_set(F.struct("w0", "w1", "h")).alias("runs"))
+    todo = open_runs.union(firsts.select(open_runs.columns)).groupBy("doc_id", "th").agg(F.collect_set(F.struct("w0", "w1", "h")).alias("r")).select("doc_id", "th", "r.w0", "r.w1", "r.h")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].tolist()
+            texts, lists = b["text"].tolist(), [b[c].tolist() for c in ("w0", "w1", "h")]
             for a, z in slices(texts):
-                w, lists = scan(texts[a:z]), b["runs"].iloc[a:z]
-                some = np.array([(r["w0"], r["w1"], r["h"]) for found in lists for r in found], dtype=np.int64).reshape(-1, 3)
-                owner = np.repeat(np.arange(a, z), [len(found) for found in lists])
+                w = scan(texts[a:z])
+                some = np.stack([np.concatenate(x[a:z]).astype(np.int64) for x in lists], axis=1)
+                owner = np.repeat(np.arange(a, z), [len(x) for x in lists[0][a:z]])
                 n = some[:, 1] - some[:, 0] - PASSAGE + 1
                 # Each run's windows, one after another.
                 at = np.repeat(some[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum())

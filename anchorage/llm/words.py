@@ -11,7 +11,7 @@ import numpy as np
 #: Code points worked on at a time; longer texts are cut at white space.
 CHUNK = 1 << 20
 #: Code points of texts that go together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Odd numbers, so that they have inverses modulo 2^64: a run's hash is a difference of prefix sums, moved back to power 0.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
