@@ -68,7 +68,8 @@ def mention_chains(spark, sf_dir):
     return out.select("query_id", F.array_join("mentions", "|").alias("mentions"), spans.alias("spans"), "representative")
 
 
-@query(CHAINS + ", k as (select doc_id, count(*) as n from c group by doc_id) select 'Q' || d.doc_id as query_id, coalesce(n, 0) as n_spans, n is not null as strict from documents d left join k using (doc_id)")
+@query(CHAINS + """, k as (select doc_id, count(*) as n from c group by doc_id) select 'Q' || d.doc_id as query_id, coalesce(n, 0) as n_spans, n is not null as strict
+from documents d left join k using (doc_id)""")
 def coref_join(spark, sf_dir):
     """Queries with the spans of their chain, and whether the strict join keeps them."""
     q, c = chains(spark, sf_dir)
@@ -87,7 +88,8 @@ def entity_join(spark, sf_dir):
     return annotations.with_entities(q, e).select("query_id", F.when(F.col("orgs").isNull(), -1).otherwise(F.size("orgs")).cast("long").alias("n_orgs"), "error_reason")
 
 
-@query(TOKENS + ", o as (select doc_id, token, min(case when b < 500 then 500 - b end) as distance from t where type = 'PERSON' group by doc_id, token) select doc_id, token, distance::bigint as distance, row_number() over (partition by doc_id order by distance nulls last, token) as rank from o")
+@query(TOKENS + """, o as (select doc_id, token, min(case when b < 500 then 500 - b end) as distance from t where type = 'PERSON' group by doc_id, token)
+select doc_id, token, distance::bigint as distance, row_number() over (partition by doc_id order by distance nulls last, token) as rank from o""")
 def nearest_mentions(spark, sf_dir):
     """How far before an offset each person last stands, the nearest first."""
     t = tokens(spark, sf_dir).where("type = 'PERSON'").withColumn("beg", F.lit(500))
@@ -131,7 +133,8 @@ def sports_training_rows(spark, sf_dir):
     return learning.sports_rows(m, kb).select("pos", "wiki_type", "label")
 
 
-@query("select user_id as doc_id, string_agg(event_type || ':' || n, ' ' order by event_type) as nodes from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1")
+@query("""select user_id as doc_id, string_agg(event_type || ':' || n, ' ' order by event_type) as nodes from (select user_id, event_type, count(*) as n
+from events group by 1, 2) group by 1""")
 def node_frequency(spark, sf_dir):
     out = annotations.node_frequency(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("node")))
     return out.select("doc_id", F.array_join(F.transform(F.map_entries("nodes"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), " ").alias("nodes"))
@@ -176,13 +179,17 @@ def training_rows(spark, sf_dir):
     return training, learning.labelled_candidates(training, queries, candidates.anchor_priors(anchors))
 
 
-@query(TRAINING + " select o_orderkey::varchar as query_id, o_orderkey % 2 = 0 as label, kb_name, round(n / t, 6) as candidate_score from q join (select *, sum(n) over (partition by surface) as t from a) a on surface = p_name and kb_name = expected where o_orderkey % 4 > 0")
+@query(TRAINING + """ select o_orderkey::varchar as query_id, o_orderkey % 2 = 0 as label, kb_name, round(n / t, 6) as candidate_score from q join (select *,
+sum(n) over (partition by surface) as t from a) a on surface = p_name and kb_name = expected where o_orderkey % 4 > 0""")
 def link_training_rows(spark, sf_dir):
     """Training lines joined to their queries and to the candidate they expect; lines without either are left out."""
     return rounded(training_rows(spark, sf_dir)[1].select("query_id", "label", "kb_name", "candidate_score"), "candidate_score")
 
 
-@query(TRAINING + ", k as (select name, count(distinct p_partkey) as n from (select distinct p_name as name from q) left join part on contains(lower(p_name), lower(name)) group by name) select case when o_orderkey % 2 = 0 then 'CORRECT' else 'WRONG' end || chr(9) || o_orderkey || chr(9) || p_name || chr(9) || expected || chr(9) || n as line from q join k on name = p_name")
+@query(TRAINING + """, k as (select name, count(distinct p_partkey) as n from (select distinct p_name as name from q) left
+join part on contains(lower(p_name), lower(name)) group by name)
+select case when o_orderkey % 2 = 0 then 'CORRECT' else 'WRONG' end || chr(9) || o_orderkey || chr(9) || p_name || chr(9) || expected || chr(9) || n as line
+from q join k on name = p_name""")
 def augmented_training_file(spark, sf_dir):
     """Training lines with the number of titles that hold their string, written and read."""
     training = training_rows(spark, sf_dir)[0]
@@ -191,7 +198,9 @@ def augmented_training_file(spark, sf_dir):
     return spark.read.text(written(spark, lines)).select(F.col("value").alias("line"))
 
 
-@query(TOKENS + " select 'E' || doc_id as kb_id, concat_ws('|', string_agg(entity, '|' order by sent, first) filter (type = 'PERSON'), string_agg(entity, '|' order by sent, first) filter (type = 'ORGANIZATION'), string_agg(entity, '|' order by sent, first) filter (type = 'LOCATION')) as entities from documents left join e using (doc_id) where not contains(text, chr(10)) and not contains(text, chr(9)) group by doc_id")
+@query(TOKENS + """ select 'E' || doc_id as kb_id, concat_ws('|', string_agg(entity, '|' order by sent, first) filter (type = 'PERSON'), string_agg(entity, '|'
+order by sent, first) filter (type = 'ORGANIZATION'), string_agg(entity, '|' order by sent, first) filter (type = 'LOCATION')) as entities
+from documents left join e using (doc_id) where not contains(text, chr(10)) and not contains(text, chr(9)) group by doc_id""")
 def entry_entity_file(spark, sf_dir):
     """Each entry's people, organizations and places, for texts of one line."""
     d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[\\n\\t]"))
@@ -201,7 +210,8 @@ def entry_entity_file(spark, sf_dir):
     return got.select("kb_id", F.array_join("entities", "|").alias("entities"))
 
 
-@query("select 'd' || event_id as doc_id, case when event_id % 5 > 0 then user_id::int end as sentence_start, event_type as arg1, 'does' as rel, case when event_id % 2 = 0 then 'x' end as arg2, round(value, 6) as confidence from events where event_id % 9 > 0")
+@query("""select 'd' || event_id as doc_id, case when event_id % 5 > 0 then user_id::int end as sentence_start, event_type as arg1, 'does' as rel,
+case when event_id % 2 = 0 then 'x' end as arg2, round(value, 6) as confidence from events where event_id % 9 > 0""")
 def extraction_file(spark, sf_dir):
     """Extractions with empty fields and fields that are no numbers; lines of another length are passed over."""
     e = table(spark, sf_dir, "events")

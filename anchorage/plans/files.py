@@ -27,7 +27,8 @@ def capitals(n: int = 5):
 CAPITALS = "regexp_extract_all(text, '[A-Z][a-z]+')[1:5]"
 
 
-@query("select 'EL' || doc_id as query_id, source as name, lang || doc_id as doc_id, case when doc_id % 5 = 0 then -1 else (doc_id % 90)::int end as beg, case when doc_id % 5 = 0 then -1 else (doc_id % 90 + 7)::int end as end from documents")
+@query("""select 'EL' || doc_id as query_id, source as name, lang || doc_id as doc_id, case when doc_id % 5 = 0 then -1 else (doc_id % 90)::int end as beg,
+case when doc_id % 5 = 0 then -1 else (doc_id % 90 + 7)::int end as end from documents""")
 def query_file(spark, sf_dir):
     """Queries in XML; every fifth lacks an offset or has one that is no number."""
     d = table(spark, sf_dir, "documents")
@@ -37,7 +38,8 @@ def query_file(spark, sf_dir):
     return readers.queries_xml(spark, written(spark, d.select(F.col("doc_id").alias("ord"), text.alias("value")).union(ends), "ord")).select("query_id", "name", "doc_id", "beg", "end")
 
 
-@query("select doc_id::varchar as query_id, 'E' || source as kb_link, case when doc_id % 3 > 0 then lang end as entity_type, case when doc_id % 3 > 1 then 'web' end as genre, 0.0::double as confidence from documents where doc_id % 7 > 0")
+@query("""select doc_id::varchar as query_id, 'E' || source as kb_link, case when doc_id % 3 > 0 then lang end as entity_type,
+case when doc_id % 3 > 1 then 'web' end as genre, 0.0::double as confidence from documents where doc_id % 7 > 0""")
 def answer_file(spark, sf_dir):
     """Answers with two to four fields; a line of one field is none."""
     d = table(spark, sf_dir, "documents")
@@ -46,7 +48,8 @@ def answer_file(spark, sf_dir):
     return readers.answers_tsv(spark, written(spark, d.select(value.alias("value")))).select("query_id", "kb_link", "entity_type", "genre", "confidence")
 
 
-@query("select doc_id::varchar as query_id, kb_link from (select doc_id, case when doc_id % 2 = 0 then 'E' || source else 'NIL' || lpad(doc_id::varchar, 4, '0') end as kb_link from documents)")
+@query("""select doc_id::varchar as query_id, kb_link from (select doc_id,
+case when doc_id % 2 = 0 then 'E' || source else 'NIL' || lpad(doc_id::varchar, 4, '0') end as kb_link from documents)""")
 def submission_file(spark, sf_dir):
     """Answers as they are submitted, in the order of their queries."""
     link = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("E"), "source")).otherwise(F.concat(F.lit("NIL"), F.expr("lpad(cast(doc_id as string), greatest(4, length(cast(doc_id as string))), '0')")))
@@ -54,7 +57,8 @@ def submission_file(spark, sf_dir):
     return readers.answers_tsv(spark, written(spark, writers.submission(a))).select("query_id", "kb_link")
 
 
-@query("select doc_id::varchar || chr(9) || source || chr(9) || lang || ' ' || source || chr(9) || 'd' || doc_id || chr(9) || n_chars || chr(9) || coalesce('E' || p_partkey, 'NIL' || doc_id) || chr(9) || coalesce(p_name, 'None') || chr(9) || coalesce(p_type, 'None') as line from documents left join part on p_partkey = doc_id and doc_id % 3 > 0")
+@query("""select doc_id::varchar || chr(9) || source || chr(9) || lang || ' ' || source || chr(9) || 'd' || doc_id || chr(9) || n_chars || chr(9) || coalesce('E' || p_partkey, 'NIL' || doc_id) || chr(9) || coalesce(p_name, 'None') || chr(9) || coalesce(p_type, 'None') as line
+from documents left join part on p_partkey = doc_id and doc_id % 3 > 0""")
 def readable_file(spark, sf_dir):
     """Answers with their context and what the knowledge base says of their link."""
     d = table(spark, sf_dir, "documents")
@@ -127,14 +131,17 @@ def coref_span_file(spark, sf_dir):
     return got.select("query_id", F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), " ").alias("spans"))
 
 
-@query(f"select doc_id::varchar as query_id, array_to_string(list_transform(list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'i': i, 'w': w[i]}}), lambda x: list_position(w, x.w) = x.i), lambda x: x.w), ' ') as mentions from (select doc_id, {CAPITALS} as w from documents)")
+@query(f"""select doc_id::varchar as query_id, array_to_string(list_transform(list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'i': i, 'w': w[i]}}), lambda x: list_position(w, x.w) = x.i), lambda x: x.w), ' ') as mentions
+from (select doc_id, {CAPITALS} as w from documents)""")
 def coref_string_file(spark, sf_dir):
     """Distinct mentions of a query's chain, in their order."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), capitals().alias("mentions"))
     return readers.string_lists(spark, written(spark, writers.mention_lines(d))).select("query_id", F.array_join("mentions", " ").alias("mentions"))
 
 
-@query(f"select doc_id::varchar as query_id, coalesce(case when doc_id % 3 > 0 then 'PERSON' end, 'None') as ner_type, array_to_string(w[5:5], ' ') as matching, array_to_string(w[1:2], ' ') as orgs, array_to_string(w[3:3], ' ') as locs, array_to_string(w[4:4], ' ') as people from (select doc_id, {CAPITALS} as w from documents)")
+@query(f"""select doc_id::varchar as query_id,
+coalesce(case when doc_id % 3 > 0 then 'PERSON' end, 'None') as ner_type, array_to_string(w[5:5], ' ') as matching, array_to_string(w[1:2], ' ') as orgs, array_to_string(w[3:3], ' ') as locs, array_to_string(w[4:4], ' ') as people
+from (select doc_id, {CAPITALS} as w from documents)""")
 def named_entity_file(spark, sf_dir):
     """Records of four lines: a query's type and matching entities, then its organizations, locations and people."""
     w = capitals()
@@ -146,13 +153,15 @@ def named_entity_file(spark, sf_dir):
     return got.select("query_id", "ner_type", *[F.array_join(c, " ").alias(c) for c in ("matching", "orgs", "locs", "people")])
 
 
-@query(f"select doc_id::varchar as query_id, array_to_string(list_concat([case when doc_id % 3 = 0 then 'None' else 'ORGANIZATION' end], w[1:2]), ' ') as fields from (select doc_id, {CAPITALS} as w from documents)")
+@query(f"""select doc_id::varchar as query_id, array_to_string(list_concat([case when doc_id % 3 = 0 then 'None' else 'ORGANIZATION' end], w[1:2]), ' ') as fields
+from (select doc_id, {CAPITALS} as w from documents)""")
 def entity_type_file(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, "None").otherwise("ORGANIZATION").alias("ner_type"), F.slice(capitals(), 1, 2).alias("matching"))
     return readers.string_lists(spark, written(spark, writers.type_lines(d)), values="fields").select("query_id", F.array_join("fields", " ").alias("fields"))
 
 
-@query(f"select doc_id::varchar as query_id, coalesce(list_sort(list_transform(w, lambda x: {{'n': -length(x), 'x': x}}))[1].x, '') as mention from (select doc_id, {CAPITALS} as w from documents)")
+@query(f"""select doc_id::varchar as query_id, coalesce(list_sort(list_transform(w, lambda x: {{'n': -length(x), 'x': x}}))[1].x, '') as mention
+from (select doc_id, {CAPITALS} as w from documents)""")
 def representative_file(spark, sf_dir):
     """The longest mention of a chain; of several the first by text."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), capitals().alias("mentions"))
@@ -166,7 +175,11 @@ def alternate_name_file(spark, sf_dir):
     return readers.string_lists(spark, written(spark, writers.alternate_lines(d)), values="fields").select("query_id", F.array_join("fields", " ").alias("fields"))
 
 
-@query("select lower('Ä' || n_name) as name, case when n_regionkey = 0 then 'city' when n_regionkey = 1 then 'state' else 'country' end as kind, 'places' as part from nation union all select 'É' || r_name, case when r_regionkey % 2 = 0 then 'state' else 'country' end || ': Ä' || n_name, 'within' from nation join region on r_regionkey = n_regionkey where n_regionkey = 0 union select lower('É' || r_name), case when r_regionkey % 2 = 0 then 'state' else 'country' end, 'places' from nation join region on r_regionkey = n_regionkey")
+@query("""select lower('Ä' || n_name) as name,
+case when n_regionkey = 0 then 'city' when n_regionkey = 1 then 'state' else 'country' end as kind, 'places' as part from nation union all
+select 'É' || r_name, case when r_regionkey % 2 = 0 then 'state' else 'country' end || ': Ä' || n_name, 'within' from nation
+join region on r_regionkey = n_regionkey where n_regionkey = 0 union select lower('É' || r_name),
+case when r_regionkey % 2 = 0 then 'state' else 'country' end, 'places' from nation join region on r_regionkey = n_regionkey""")
 def gazetteer_file(spark, sf_dir):
     """Places by kind and cities within them, from a file in ISO-8859-1."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
@@ -179,7 +192,8 @@ def gazetteer_file(spark, sf_dir):
     return places.select(F.col("name_lc").alias("name"), "kind", F.lit("places").alias("part")).union(within.select("container", F.concat_ws(": ", "kind", "city"), F.lit("within")))
 
 
-@query("select 'E' || p_partkey as kb_id, p_name as title, substring(p_type, 1, 3) as entity_type, p_brand as wiki_type, p_name || chr(10) || chr(10) || p_type as text from part")
+@query("""select 'E' || p_partkey as kb_id, p_name as title, substring(p_type, 1, 3) as entity_type, p_brand as wiki_type, p_name || chr(10) || chr(10) || p_type as text
+from part""")
 def kb_xml_files(spark, sf_dir):
     """Entities in XML files of folders below one another."""
     p = table(spark, sf_dir, "part")
@@ -223,7 +237,8 @@ def linear_model_file(spark, sf_dir):
     return spark.createDataFrame([*weights.items(), ("Intercept", intercept)], "feature string, weight double").withColumn("weight", F.round("weight", 6))
 
 
-@query("select case when doc_id % 2 = 0 then 'CORRECT' else 'EXP NIL' end as outcome, doc_id::varchar as query_id, source as name, lang as entity, 'E' || source as kb_title from documents where doc_id % 4 > 0")
+@query("""select case when doc_id % 2 = 0 then 'CORRECT' else 'EXP NIL' end as outcome, doc_id::varchar as query_id, source as name, lang as entity, 'E' || source as kb_title
+from documents where doc_id % 4 > 0""")
 def benchmark_report_file(spark, sf_dir):
     """Report lines of ten fields; shorter ones are passed over."""
     d = table(spark, sf_dir, "documents")
@@ -232,7 +247,8 @@ def benchmark_report_file(spark, sf_dir):
     return readers.benchmark_report(spark, written(spark, d.select(F.concat_ws("\t", *fields, some(F.concat(F.lit("E"), "source"))).alias("value"))))
 
 
-@query("select o_orderkey, coalesce(case when n = 1 then t end, '') as text from orders left join (select n_chars as k, count(*) as n, min(text) as t from documents group by n_chars) d on k = o_orderkey % 3000")
+@query("""select o_orderkey, coalesce(case when n = 1 then t end, '') as text from orders left join (select n_chars as k, count(*) as n, min(text) as t
+from documents group by n_chars) d on k = o_orderkey % 3000""")
 def document_lookup(spark, sf_dir):
     """Queries with the text of their document: none where the document is missing or there are several."""
     q = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3000).alias("doc_id"))

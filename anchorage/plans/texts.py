@@ -13,7 +13,9 @@ def cat(*parts):
     return F.concat(*[F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts])
 
 
-@query("select doc_id, case doc_id % 3 when 0 then 'Beta ' || lang || doc_id || ' two.' when 1 then 'Gamma ' || lang || doc_id || ' here.' else 'bbb Mr. Z' || doc_id || ' ccc' end as context from documents")
+@query("""select doc_id,
+case doc_id % 3 when 0 then 'Beta ' || lang || doc_id || ' two.' when 1 then 'Gamma ' || lang || doc_id || ' here.' else 'bbb Mr. Z' || doc_id || ' ccc' end as context
+from documents""")
 def context_cascade(spark, sf_dir):
     """The sentence of the paragraph, else of what tags bound, else the words round the mention."""
     d = table(spark, sf_dir, "documents")
@@ -57,7 +59,10 @@ def kb_first_paragraphs(spark, sf_dir):
 STATES = "(values " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(gazetteer.STATES.items())) + ") as s(i, code, state)"
 
 
-@query(f"select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 60 >= 50 then p_name || ', zz' else string_split(p_name, ' ')[-1] || ', ' || state end as place, case when p_partkey % 3 <> 1 then null when p_partkey % 60 < 50 then (select min(t.state) from {STATES.replace('as s(', 'as t(')} where starts_with(t.state, substring(s.state, 1, 4))) end as expanded from part left join {STATES} on i = p_partkey % 60")
+@query(f"""select p_partkey,
+case when p_partkey % 3 = 0 then p_name when p_partkey % 60 >= 50 then p_name || ', zz' else string_split(p_name, ' ')[-1] || ', ' || state end as place,
+case when p_partkey % 3 <> 1 then null when p_partkey % 60 < 50 then (select min(t.state) from {STATES.replace('as s(', 'as t(')}
+where starts_with(t.state, substring(s.state, 1, 4))) end as expanded from part left join {STATES} on i = p_partkey % 60""")
 def state_expansion(spark, sf_dir):
     """City and postal code to city and state, and the beginning of a state's name to the state."""
     states = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(gazetteer.STATES.items())], "i int, code string, state string")
@@ -69,7 +74,8 @@ def state_expansion(spark, sf_dir):
     return gazetteer.expand_prefix(p, "short", states.select("state")).select("p_partkey", "place", "expanded")
 
 
-@query("select c_custkey, n_name, r_name, n_regionkey = r_regionkey as held, (n_regionkey < 2) = (r_regionkey < 2) and (n_regionkey = 2) = (r_regionkey = 2) as same_kind from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = c_custkey % 5")
+@query("""select c_custkey, n_name, r_name, n_regionkey = r_regionkey as held, (n_regionkey < 2) = (r_regionkey < 2) and (n_regionkey = 2) = (r_regionkey = 2) as same_kind
+from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = c_custkey % 5""")
 def place_pairs(spark, sf_dir):
     """Pairs of places: whether the gazetteer has one in the other, and whether both are of one kind."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
