@@ -18,22 +18,25 @@ KINDS = {
 }
 #: Matches of a text that are placed at a time.
 STRETCH = 128
-#: What a text must hold for a kind to be looked for at all.
-NEEDED = {"email": "%@%", "ip": "%.%.%.%", "card": None, "phone": "%+%"}
+#: What a text must hold for a kind to be looked for at all, as a pattern.
+NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Tokens that may identify somebody: with a digit or @, and the groups of digits that follow one.
 MENTION = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9().-]++(?!\S))*+"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, s>> of the leftmost non-overlapping matches; code points, end exclusive.
+def paired(found: Column, gaps: Column) -> Column:
+    """Each match of a text with the length of what lies before it; found and gaps: all that a pattern extracts, and what it splits off."""
+    return F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda s, g: F.struct(s.alias("s"), F.length(g).alias("g")))
 
-    What lies between the matches is split off by the same pattern, so the lengths of both give the places.
+
+def located(pairs: Column) -> Column:
+    """array<struct<start, end, s>> of the leftmost non-overlapping matches, from paired(); code points, end exclusive.
+
+    What lies between the matches is split off by the same pattern, so the lengths of both give the places. pairs should
+    be a column of its own, as lambdas work out an expression anew wherever it stands.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda s, g: F.struct(s.alias("s"), F.length(g).alias("g")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
@@ -41,11 +44,11 @@ def located(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("out"))
 
     # Arrays grow by copies, so places are found within stretches of matches first, and then those of the stretches.
-    last = F.greatest(F.ceil(F.size(found) / STRETCH).cast("int") - 1, F.lit(0))
+    last = F.greatest(F.ceil(F.size(pairs) / STRETCH).cast("int") - 1, F.lit(0))
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(pairs, i * STRETCH + 1, F.lit(STRETCH)), zero, step))
     bases = F.aggregate(parts, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
     moved = F.zip_with(parts, F.slice(bases, 1, F.size(parts)), lambda c, b: F.transform(c["out"], lambda x: F.struct((x["start"] + b).alias("start"), (x["end"] + b).alias("end"), x["s"].alias("s"))))
-    return F.when(F.size(found) <= STRETCH, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.flatten(moved))
+    return F.when(F.size(pairs) <= STRETCH, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.flatten(moved))
 
 
 def _digits(s: Column) -> Column:
@@ -69,12 +72,23 @@ def valid(kind: str, s: Column) -> Column:
     }[kind]
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, s>> of a kind; [] for texts that cannot hold any."""
-    empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    may = text.like(NEEDED[kind]) if NEEDED[kind] else text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")
-    found = F.filter(located(text, KINDS[kind]), lambda x: valid(kind, x["s"]))
-    return F.transform(F.when(may, found).otherwise(empty), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s")))
+def with_base(docs: DataFrame) -> DataFrame:
+    """docs(text, ...) with `base`, array<struct<kind, start, end, s>> by kind; [] for texts that cannot hold any."""
+    text = F.col("text")
+    may = {k: text.rlike(NEEDED[k]) for k in KINDS}
+    none = F.array().cast("array<string>")
+    out = docs.withColumns({f"__f_{k}": F.when(may[k], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, p in KINDS.items()})
+    out = out.withColumns({f"__p_{k}": paired(F.col(f"__f_{k}"), F.when(F.size(f"__f_{k}") > 0, F.split(text, p, -1)).otherwise(none)) for k, p in KINDS.items()})
+    spans = [F.transform(F.filter(located(F.col(f"__p_{k}")), _valid_of(k)), _of(k)) for k in KINDS]
+    return out.withColumn("base", F.concat(*spans)).drop(*[f"__{c}_{k}" for c in "fp" for k in KINDS])
+
+
+def _valid_of(kind: str):
+    return lambda x: valid(kind, x["s"])
+
+
+def _of(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"))
 
 
 def listed(spans: Column) -> Column:
@@ -87,7 +101,8 @@ def listed(spans: Column) -> Column:
 def mentions(marked: DataFrame) -> DataFrame:
     """One row for each identifier-like mention: (doc_id, text_hash, start, end, instance, context, kinds that the base gave it)."""
     text = F.col("text")
-    at = marked.where(text.rlike("[0-9@]")).withColumn("gaps", F.split(text, MENTION, -1)).withColumn("found", located(text, MENTION))
+    at = marked.where(text.rlike("[0-9@]")).withColumns({"gaps": F.split(text, MENTION, -1), "found": F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))})
+    at = at.withColumn("pairs", paired(F.col("found"), F.col("gaps"))).withColumn("found", located(F.col("pairs")))
     # The outer explode keeps the optimizer from looking for mentions once more to filter on them first.
     at = at.select("doc_id", "text_hash", "base", "gaps", F.posexplode_outer("found").alias("i", "m")).where("i is not null")
     before = F.element_at("gaps", F.col("i") + 1)
@@ -159,9 +174,8 @@ def detect(docs: DataFrame, rounds: int = 3, support: int = 5, confident: float
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     marked = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    marked = marked.withColumn("base", F.when(F.col("text").rlike("[0-9]|@"), F.concat(*[base_spans(F.col("text"), k) for k in KINDS])))
+    marked = with_base(marked)
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,s:string>>")
-    marked = marked.withColumn("base", F.coalesce("base", empty))
     found = scratch.put(mentions(marked))
     trusted = bootstrap(scratch, found, rounds, support, confident)
     new = found.where(F.size("known") == 0).select("doc_id", "text_hash", "start", "end", "instance", F.explode("contexts").alias("word"))
