@@ -10,10 +10,13 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds between two clearings; passes that take less leave little to clear.
+TIDY = 2.0
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -38,6 +41,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        self.tidied = time.monotonic()
         atexit.register(self._end)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -52,9 +56,11 @@ class Scratch:
         return out
 
     def tidy(self) -> None:
-        """Lets the context cleaner remove the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Lets the context cleaner remove the shuffle files of plans that nothing refers to any more, some seconds' worth at a time."""
+        if time.monotonic() - self.tidied > TIDY:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            self.tidied = time.monotonic()
 
     def drop(self, df: DataFrame) -> None:
         """Deletes what put() wrote for df. No later plan may read it."""
