@@ -41,23 +41,17 @@ def cluster_exact(answers: DataFrame) -> DataFrame:
     return out.withColumns({"kb_link": F.when(hit, F.col("__first")).otherwise(F.col("kb_link")), "confidence": F.when(hit, F.lit(0.6)).otherwise(F.col("confidence"))}).drop("__first").select(answers.columns)
 
 
-def _written(df: DataFrame, root: str, name: str) -> DataFrame:
-    """df, written and read again: its lineage is cut, and a lost executor costs its running tasks."""
-    df.write.mode("overwrite").parquet(f"{root}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, component): least reachable node, by min labels with pointer jumping; each round is written to the shared folder."""
     root = store.folder(edges.sparkSession)
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("n", "m").distinct()
-    both = _written(both, root, "edges")
-    label, step = _written(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("c")), root, "0"), 0
+    both = store.written(both, root, "edges")
+    label, step = store.written(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("c")), root, "0"), 0
     while True:
         step += 1
-        near = _written(both.join(label.toDF("m", "c"), "m").groupBy("n").agg(F.min("c").alias("x")), root, f"near{step}")
+        near = store.written(both.join(label.toDF("m", "c"), "m").groupBy("n").agg(F.min("c").alias("x")), root, f"near{step}")
         new = label.join(near, "n").select("n", F.least("c", "x").alias("c"))
-        jump = _written(new.join(new.toDF("__n", "__c"), F.col("c") == F.col("__n"), "left").select("n", F.coalesce("__c", "c").alias("c")), root, str(step))
+        jump = store.written(new.join(new.toDF("__n", "__c"), F.col("c") == F.col("__n"), "left").select("n", F.coalesce("__c", "c").alias("c")), root, str(step))
         if jump.join(label.toDF("n", "old"), "n").where("c <> old").isEmpty():
             return jump.toDF("node", "component")
         label = jump
@@ -108,8 +102,8 @@ def merge_in_rounds(sums: DataFrame, cutoff: float) -> DataFrame:
     """
     spark = sums.sparkSession
     root, step = store.folder(spark), 0
-    sums = _written(sums, root, "sums0")
-    names = _written(sums.select(F.col("a").alias("old")).union(sums.select("b")).distinct().withColumn("new", F.col("old")), root, "names0")
+    sums = store.written(sums, root, "sums0")
+    names = store.written(sums.select(F.col("a").alias("old")).union(sums.select("b")).distinct().withColumn("new", F.col("old")), root, "names0")
     while True:
         open_ = sums.where((F.col("s") / F.col("n") >= cutoff) & (F.startswith("a", F.lit("NIL")) | F.startswith("b", F.lit("NIL"))))
         open_ = open_.select("a", "b", F.struct((-F.col("s") / F.col("n")).alias("o"), "a", "b").alias("p"))
@@ -117,15 +111,15 @@ def merge_in_rounds(sums: DataFrame, cutoff: float) -> DataFrame:
         step += 1
         mutual = best.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where("n = 2")
         second = F.startswith("b", F.lit("E"))
-        moved = _written(mutual.select(F.when(second, F.col("a")).otherwise(F.col("b")).alias("lose"), F.when(second, F.col("b")).otherwise(F.col("a")).alias("keep")), root, f"moved{step}")
+        moved = store.written(mutual.select(F.when(second, F.col("a")).otherwise(F.col("b")).alias("lose"), F.when(second, F.col("b")).otherwise(F.col("a")).alias("keep")), root, f"moved{step}")
         if moved.isEmpty():
             return names
         at = sums
         for c in ("a", "b"):
             at = at.join(moved.toDF(c, "__k"), c, "left").withColumn(c, F.coalesce("__k", c)).drop("__k")
         at = at.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "n").groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        sums = _written(at, root, f"sums{step}")
-        names = _written(names.join(moved.toDF("new", "__k"), "new", "left").select("old", F.coalesce("__k", "new").alias("new")), root, f"names{step}")
+        sums = store.written(at, root, f"sums{step}")
+        names = store.written(names.join(moved.toDF("new", "__k"), "new", "left").select("old", F.coalesce("__k", "new").alias("new")), root, f"names{step}")
 
 
 def cluster_average_link(links: DataFrame, scores: DataFrame, cutoff: float = 0.9999821007, task_pairs: int = 1_000_000) -> DataFrame:
@@ -139,11 +133,11 @@ def cluster_average_link(links: DataFrame, scores: DataFrame, cutoff: float = 0.
     pair = scores.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb")
     pair = pair.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "sim")
     root = store.folder(links.sparkSession)
-    sums = _written(pair.groupBy("a", "b").agg(F.sum("sim").alias("s"), F.count("*").alias("n"), F.max("sim").alias("best")), root, "sums")
+    sums = store.written(pair.groupBy("a", "b").agg(F.sum("sim").alias("s"), F.count("*").alias("n"), F.max("sim").alias("best")), root, "sums")
     comp = components(sums.where(F.col("best") >= cutoff).select("a", "b"))
     inside = sums.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca = cb").select(F.col("ca").alias("component"), "a", "b", "s", "n")
-    inside = _written(inside, root, "inside")
-    large = _written(inside.groupBy("component").agg(F.count("*").alias("pairs")).where(F.col("pairs") > task_pairs).select("component"), root, "large")
+    inside = store.written(inside, root, "inside")
+    large = store.written(inside.groupBy("component").agg(F.count("*").alias("pairs")).where(F.col("pairs") > task_pairs).select("component"), root, "large")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = {(r.a, r.b): (r.s, r.n) for r in pdf.itertuples()}

@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,6 +25,12 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, root: str, name: str) -> DataFrame:
+    """df, written to a folder() and read again: its lineage is cut, a lost executor costs its running tasks, and a join with it can be split for skew."""
+    df.write.mode("overwrite").parquet(f"{root}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm
