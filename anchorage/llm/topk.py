@@ -115,7 +115,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     best, score = best[keep], score[keep]
                     order = np.lexsort(([firsts[b][0] for b in best], -score))[: 2 * k + 2]
                     best, score = best[order], score[order]
-                out += [(qid, v, int(s)) for b, s in zip(best, score, strict=True) for v in firsts[b] if v != qid]
+                # Of a block no more than k can be in a query's result, ties to the smaller vec_id.
+                found = sorted((-int(s), v) for b, s in zip(best, score, strict=True) for v in firsts[b] if v != qid)
+                out += [(qid, v, -s) for s, v in found[:k]]
             if out:
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
