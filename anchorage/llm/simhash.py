@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from .store import Scratch
 SEED = 42
 #: Shingles hashed before their bits are summed; bounds the memory a very long text takes.
 CHUNK = 1 << 16
+#: Distances of a ring round a vantage point.
+RING = 4
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -118,7 +121,7 @@ def _linked(fps: np.ndarray, ids: np.ndarray, radius: int, forest: Forest, mask:
         _blocks(fps, ids, own[inner & (d > mu - radius)], own[outer & (d <= mu + radius)], radius, forest)
 
 
-def shards(points: DataFrame, levels: int, radius: int = 3, trees: int = 2, ring: int = 3) -> DataFrame:
+def shards(points: DataFrame, levels: int, radius: int = 3, trees: int = 2, ring: int = RING) -> DataFrame:
     """points(fp, id) -> (fp, id, tree, mask, cell): each point in every shard of a tree that it has to be in.
 
     A tree's metric is the Hamming distance over one of `trees` stretches of bits. Two fingerprints within the radius differ
@@ -137,9 +140,18 @@ def shards(points: DataFrame, levels: int, radius: int = 3, trees: int = 2, ring
     return at
 
 
-def _levels(n: int, leaf: int) -> int:
-    """Levels after which a shard of random fingerprints has about `leaf` points: each leaves 0.37 of a node's to a ring."""
-    return max(0, math.ceil(math.log(max(n, 1) / leaf) / -math.log(0.37)))
+def _share(bits: int, reach: int, ring: int) -> float:
+    """What share of a node's points a shard of it has, on average over the shards' points, if fingerprints are random."""
+    held: Counter = Counter()
+    for d in range(bits + 1):
+        for c in range(d // ring, (d + reach) // ring + 1):
+            held[c] += math.comb(bits, d) / 2**bits
+    return sum(q * q for q in held.values()) / sum(held.values())
+
+
+def _levels(n: int, leaf: int, radius: int = 3, trees: int = 2) -> int:
+    """Levels after which a shard of random fingerprints has about `leaf` points."""
+    return max(0, math.ceil(math.log(max(n, 1) / leaf) / -math.log(_share(64 // trees, radius // trees, RING))))
 
 
 def links(scratch: Scratch, points: DataFrame, radius: int = 3, trees: int = 2, leaf: int = 2048) -> DataFrame:
@@ -148,11 +160,11 @@ def links(scratch: Scratch, points: DataFrame, radius: int = 3, trees: int = 2,
     The distributed levels are shards(), as many as the number of points asks for. (One tree over all 64 bits would do
     with no more than the radius, but random distances crowd round 32 with a deviation of 4, so radius 3 would put some
     60 % of the points on both sides of each sphere; over 32 bits the reach is 1 and the deviation 2.8, so a level puts
-    a third of them in two rings and leaves 0.37 of a node to a shard.) A shard that still holds over 4 leaves is split
+    a fourth of them in two rings and leaves 0.44 of a node to a shard.) A shard that still holds over 4 leaves is split
     by spheres round one of its own points, see _split_crowded(). Within a shard the tree goes on in memory.
     """
     points = points.where("id is not null")
-    at = shards(points, _levels(points.count(), leaf), radius, trees)
+    placed = at = scratch.put(shards(points, _levels(points.count(), leaf, radius, trees), radius, trees).drop("mask"))
     edges = None
     crowded = at.groupBy("tree", "cell").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp").alias("h"), F.col("fp").alias("v"), F.col("id").alias("vid"))).alias("c")).where(F.col("n") > 4 * leaf)
     crowded = scratch.put(crowded.select("tree", "cell", "n", "c.v", "c.vid"))
@@ -179,9 +191,10 @@ def links(scratch: Scratch, points: DataFrame, radius: int = 3, trees: int = 2,
             if forest.links:
                 yield pd.DataFrame(forest.links, columns=["a", "b"])
 
-    at = at.select("fp", "id", "tree", "cell")
     found = at.repartition("tree", "cell").sortWithinPartitions("tree", "cell").mapInPandas(run, "a long, b long")
-    return found if edges is None else found.union(edges)
+    found = scratch.put(found if edges is None else found.union(edges))
+    scratch.drop(placed)
+    return found
 
 
 def _split_crowded(scratch: Scratch, at: DataFrame, crowded: DataFrame, radius: int, shard: int) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +203,7 @@ def _split_crowded(scratch: Scratch, at: DataFrame, crowded: DataFrame, radius:
     What resists, points all within a few bits of each other, stays one shard, whose task links it in memory."""
     done, edges = at.join(crowded.select("tree", "cell"), ["tree", "cell"], "left_anti").select("fp", "id", "tree", "cell"), None
     largest, step = crowded.agg(F.max("n")).first()[0], 0
-    hot = scratch.put(at.select("fp", "id", "tree", "cell").join(crowded.drop("n"), ["tree", "cell"]))
+    hot = scratch.put(at.join(crowded.drop("n"), ["tree", "cell"]))
     while True:
         step += 1
         d = F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))).alias("d")
@@ -232,8 +245,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, trees: int
 def grouped(scratch: Scratch, rows: DataFrame, radius: int = 3, trees: int = 2) -> DataFrame:
     """rows(doc_id, fp), written -> (doc_id, fp, component_id); doc_id of any orderable type. See near_duplicates()."""
     points = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.when(F.col("first").isNotNull(), F.monotonically_increasing_id())))
-    found = scratch.put(links(scratch, points.select("fp", "id"), radius, trees))
-    comp = connected_components(scratch, found)
+    comp = connected_components(scratch, links(scratch, points.select("fp", "id"), radius, trees))
     # Least doc_ids are taken of numbered points, as numbers keep the rows of the trees short whatever a doc_id is.
     comp = points.select("id", "first").join(comp, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("c"))
     least = scratch.put(comp.where("id is not null").groupBy("c").agg(F.min("first").alias("component_id")))

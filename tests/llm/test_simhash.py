@@ -70,7 +70,7 @@ def test_vantage_points_make_the_shards(spark):
     """Shards come from the distances alone; a pair within the radius shares one, and a random pair hardly ever does."""
     fps = clustered(600, 5)
     held = {}
-    for r in simhash.shards(frame(spark, fps), 6).collect():
+    for r in simhash.shards(frame(spark, fps), 9).collect():
         held.setdefault(r.id, set()).add((r.tree, r.cell))
     near = np.bitwise_count(np.array(fps, dtype=np.uint64)[:, None] ^ np.array(fps, dtype=np.uint64)[None, :])
     assert all(held[i] & held[j] for i, j in zip(*np.nonzero(near <= 3)))
