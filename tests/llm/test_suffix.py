@@ -70,3 +70,9 @@ def test_digits_do_not_hang_on_place():
     raw = b"0123456789" * 400_000
     pos, h = suffix.sampled_digits(raw)
     assert len(raw) > 3 * suffix.CHUNK and len({(p % 10, x) for p, x in zip(pos.tolist(), h.tolist(), strict=True)}) == len({p % 10 for p in pos.tolist()})
+
+
+def test_the_least_doc_id_is_no_null(docs):
+    text = "".join(f"{i * i % 89:02d} some text " for i in range(30))
+    got = suffix.dedup_substrings(docs([(-(1 << 63), text, "a"), (None, text, "a"), (None, "short", "a")])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in got) == sorted([(False, -(1 << 63), len(text)), (True, 0, len(text)), (True, 0, 0)])
