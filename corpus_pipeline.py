@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id, and all that have no doc_id.
 
     The SimHash operator links fingerprints of 5-word shingles that differ in at most 3 bits, which is a Jaccard similarity
-    of some 0.97. Texts at 0.8 differ in 10 bits on average, a radius at which a tree over 64 bits prunes nothing, so
+    of some 0.98. Texts at 0.8 differ in 10 bits on average, a radius at which a tree over 64 bits prunes nothing, so
     these are linked by MinHash bands and an exact similarity of 0.8 or more; groups are components of both kinds of links.
     Null and empty texts are texts without words, copies of each other. Rows with the same doc_id and different texts are
     documents each; rows equal in both are one, which stays or goes with all its rows.
