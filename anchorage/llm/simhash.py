@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -132,12 +132,17 @@ def shards(points: DataFrame, levels: int, radius: int = 3, trees: int = 2, ring
     """
     reach = radius // trees
     metric = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(m).alias("mask")) for t, m in enumerate(_masks(trees))]))
-    at = points.select("fp", "id", metric.alias("m")).select("fp", "id", "m.*", F.lit(0).cast("long").alias("cell"))
+    at = points.select("fp", "id", metric.alias("m")).select("fp", "id", "m.*")
+    cells = F.array(F.lit(0).cast("long"))
     for v in _vantage_points(levels):
         d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.col("mask")))
-        rings = F.explode(F.sequence(F.floor(d / ring), F.floor((d + reach) / ring)))
-        at = at.select("fp", "id", "tree", "mask", "cell", rings.alias("ring")).withColumn("cell", F.xxhash64("cell", "ring")).drop("ring")
-    return at
+        cells = F.flatten(F.transform(cells, _below(F.sequence(F.floor(d / ring), F.floor((d + reach) / ring)))))
+    return at.select("fp", "id", "tree", "mask", F.explode(cells).alias("cell"))
+
+
+def _below(rings: Column):
+    """A node's children in some rings."""
+    return lambda node: F.transform(rings, lambda r: F.xxhash64(node, r))
 
 
 def _share(bits: int, reach: int, ring: int) -> float:
