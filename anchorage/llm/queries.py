@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, lines, mixing, paragraphs, pii, quality, simhash, suffix, topk
+from . import changes, chat, decontam, html, kmeans, lines, mixing, paragraphs, pii, quality, simhash, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_simhash, op2_line_dedup, op3_suffix_array, op4_quality, op5_mixing, op6_html_extraction, op7_paragraph_dedup, op8_decontamination, op9_top_k, op10_pii)
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.digest(kmeans.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.sales_changes(_table(spark, sf_dir, "sale_lines"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.formatted_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+OPERATORS = (
+    op1_simhash, op2_line_dedup, op3_suffix_array, op4_quality, op5_mixing, op6_html_extraction, op7_paragraph_dedup, op8_decontamination, op9_top_k, op10_pii,
+    op11_centroids, op12_change_points, op13_chat_format,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 #: Where SQL can state the whole operator; the others are tested against brute force.
-ORACLE = {"op2_line_dedup": lines.ORACLE, "op8_decontamination": decontam.ORACLE, "op9_top_k": topk.ORACLE}
+ORACLE = {"op2_line_dedup": lines.ORACLE, "op8_decontamination": decontam.ORACLE, "op9_top_k": topk.ORACLE, "op11_centroids": kmeans.ORACLE, "op13_chat_format": chat.ORACLE}
