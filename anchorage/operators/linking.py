@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import backoff_strings, confidence, without_parentheses, word_count
+from ..sources import store
 from . import nil
 
 THRESHOLD = 0.93
@@ -33,6 +34,11 @@ def backoff_best(mentions: DataFrame, scored: DataFrame) -> DataFrame:
     return top.select("query_id", F.col("b.surface").alias("b_surface"), F.col("b.kb_name").alias("b_link"), F.col("b.score").alias("b_score"))
 
 
+def titles_of(kb: DataFrame) -> DataFrame:
+    """(title, k struct<kb_id, wiki_type, structured_type>): of several entries with a title the last."""
+    return kb.groupBy("title").agg(F.max_by(F.struct("kb_id", "wiki_type", "structured_type"), "line_no").alias("k"))
+
+
 def link(mentions: DataFrame, scored: DataFrame, kb: DataFrame, threshold: float = THRESHOLD, nil_parity: bool = False) -> DataFrame:
     """mentions(pos, query_id, name, entity, sports, error_reason), scored(query_id, surface, kb_name, score, rank), kb(kb_id, title,
     wiki_type, structured_type, line_no) -> (pos, query_id, name, entity, kb_link, confidence, score, path).
@@ -40,8 +46,18 @@ def link(mentions: DataFrame, scored: DataFrame, kb: DataFrame, threshold: float
     In order: a candidate over the threshold; the exact title; the back-off strings; none. A team takes the place of a
     location where the mention has the sports sense. Mentions with an error_reason link to nothing at 0.1. nil_parity: a
     linked entity that the knowledge base lacks burns an identifier, which leaves gaps in their numbers.
+
+    Titles, which are met four times, and decisions, which are numbered in two passes, are written once each.
     """
-    titles = kb.groupBy("title").agg(F.max_by(F.struct("kb_id", "wiki_type", "structured_type"), "line_no").alias("k"))
+    root = store.folder(mentions.sparkSession)
+    titles = store.written(titles_of(kb), root, "titles")
+    decided = store.written(decisions(mentions, scored, titles, threshold, nil_parity), root, "decided")
+    out = nil.allocate(decided)
+    return out.select("pos", "query_id", "name", "entity", F.coalesce("kb_id", "nil_id").alias("kb_link"), F.col("conf").alias("confidence"), "score", "path")
+
+
+def decisions(mentions: DataFrame, scored: DataFrame, titles: DataFrame, threshold: float = THRESHOLD, nil_parity: bool = False) -> DataFrame:
+    """link() before the mentions that link to nothing get their numbers: (pos, query_id, name, entity, kb_id, conf, score, path, consumed)."""
     top = scored.where("rank = 1").select(F.col("query_id").alias("__q"), F.col("surface").alias("__s"), F.col("kb_name").alias("top"), F.col("score").alias("top_score"))
     m = mentions.join(top, (F.col("query_id") == F.col("__q")) & (F.col("entity") == F.col("__s")), "left").drop("__q", "__s")
     m = m.join(backoff_best(mentions, scored), "query_id", "left")
@@ -67,9 +83,8 @@ def link(mentions: DataFrame, scored: DataFrame, kb: DataFrame, threshold: float
     kb_id = F.when(moved, F.col("team")).otherwise(F.col("kb.kb_id"))
     burnt = F.lit(2) if nil_parity else F.lit(1)
     used = F.when(F.col("kb_id").isNotNull(), 0).when((F.col("path") == "candidate") & F.col("kb").isNull(), burnt).otherwise(1)
-    m = m.withColumns({"kb_id": kb_id, "conf": F.when(moved & F.col("team").isNotNull(), 0.7).when(moved, 0.5).otherwise(F.col("conf"))})
-    m = nil.allocate(m.withColumn("consumed", used))
-    return m.select("pos", "query_id", "name", "entity", F.coalesce("kb_id", "nil_id").alias("kb_link"), F.col("conf").alias("confidence"), "score", "path")
+    m = m.withColumns({"kb_id": kb_id, "conf": F.when(moved & F.col("team").isNotNull(), 0.7).when(moved, 0.5).otherwise(F.col("conf"))}).withColumn("consumed", used)
+    return m.select("pos", "query_id", "name", "entity", "kb_id", "conf", "score", "path", "consumed")
 
 
 def passage_links(docs: DataFrame, items: DataFrame) -> DataFrame:

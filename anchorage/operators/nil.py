@@ -24,7 +24,7 @@ def allocate(rows: DataFrame, consumed: str = "consumed", width: int = 1 << 20)
     base = sums.select("__stretch", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     own = Window.partitionBy("__stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     number = F.col("__base") + F.sum(consumed).over(own) - 1
-    out = r.join(F.broadcast(base), "__stretch")  # one row for each stretch of a million
+    out = r.join(base, "__stretch")  # with a row for each stretch of positions, which Spark broadcasts if they are few
     return out.withColumn("nil_id", F.when(F.col(consumed) > 0, F.format_string("NIL%04d", number.cast("long")))).drop("__stretch", "__base")
 
 

@@ -9,10 +9,10 @@ from ..sources import readers, store, writers
 from .registry import query, table
 
 
-def written(spark: SparkSession, lines: DataFrame, order: str | None = None) -> str:
-    """The path of a text file with lines(value), in an order if one is given."""
+def written(spark: SparkSession, lines: DataFrame, key: str | None = None, order: str | None = None) -> str:
+    """The path of text files with lines(value); the lines of a key, if one is given, stand in one file in that order."""
     path = store.folder(spark)
-    writers.write_lines(lines.orderBy(order).select("value").coalesce(1) if order else lines.select("value"), path)
+    writers.write_lines((lines.repartition(key).sortWithinPartitions(order) if key else lines).select("value"), path)
     return path
 
 
@@ -32,10 +32,11 @@ case when doc_id % 5 = 0 then -1 else (doc_id % 90 + 7)::int end as end from doc
 def query_file(spark, sf_dir):
     """Queries in XML; every fifth lacks an offset or has one that is no number."""
     d = table(spark, sf_dir, "documents")
-    beg = F.when(F.col("doc_id") % 10 == 0, F.lit("")).when(F.col("doc_id") % 5 == 0, F.lit("<beg>none</beg>")).otherwise(F.format_string("<beg>%d</beg>", F.col("doc_id") % 90))
-    text = F.concat(F.format_string('<query id="EL%d"><name>%s</name><docid>%s%d</docid>', "doc_id", "source", "lang", "doc_id"), beg, F.format_string("<end>%d</end></query>", F.col("doc_id") % 90 + 7))
-    ends = spark.createDataFrame([(-1, "<kbpentlink>"), (1 << 60, "</kbpentlink>")], "ord long, value string")
-    return readers.queries_xml(spark, written(spark, d.select(F.col("doc_id").alias("ord"), text.alias("value")).union(ends), "ord")).select("query_id", "name", "doc_id", "beg", "end")
+    beg = F.when(F.col("doc_id") % 10 == 0, F.lit("")).when(F.col("doc_id") % 5 == 0, F.lit("none")).otherwise((F.col("doc_id") % 90).cast("string"))
+    q = d.select(F.concat(F.lit("EL"), "doc_id").alias("query_id"), F.col("source").alias("name"), F.concat("lang", "doc_id").alias("doc_id"), beg.alias("beg"), (F.col("doc_id") % 90 + 7).alias("end"))
+    path = store.folder(spark)
+    writers.write_queries_xml(q, path)
+    return readers.queries_xml(spark, path).select("query_id", "name", "doc_id", "beg", "end")
 
 
 @query("""select doc_id::varchar as query_id, 'E' || source as kb_link, case when doc_id % 3 > 0 then lang end as entity_type,
@@ -72,8 +73,9 @@ def readable_file(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-def part_lines(spark, sf_dir, *parts):
-    return written(spark, table(spark, sf_dir, "part").select("p_partkey", line(*parts)), "p_partkey")
+def part_lines(spark, sf_dir, key, *parts):
+    """Lines of parts; those that name the same entity, by the key, in the order of their parts, as the last of them counts."""
+    return written(spark, table(spark, sf_dir, "part").select("p_partkey", F.expr(key).alias("key"), line(*parts)), "key", "p_partkey")
 
 
 KEY = "p_partkey % 50"
@@ -83,20 +85,20 @@ KEY = "p_partkey % 50"
 def kb_name_file(spark, sf_dir):
     """Names to entities; lines with more fields are cut, with fewer passed over, the last of a name counts."""
     rest = F.when(F.col("p_partkey") % 9 > 0, F.col("p_type"))
-    path = part_lines(spark, sf_dir, F.concat(F.lit("E"), "p_partkey"), "p_name", rest, F.when(F.col("p_partkey") % 4 == 0, F.when(rest.isNotNull(), F.lit("more"))))
+    path = part_lines(spark, sf_dir, "p_name", F.concat(F.lit("E"), "p_partkey"), "p_name", rest, F.when(F.col("p_partkey") % 4 == 0, F.when(rest.isNotNull(), F.lit("more"))))
     return readers.kb_map(spark, path, ("kb_id", "title", "entity_type"), "title", exact=False).select("title", "kb_id", "entity_type")
 
 
 @query(f"select 'E' || {KEY} as kb_id, max_by(p_name, p_partkey) as title from part where p_partkey % 8 > 0 group by 1")
 def kb_title_file(spark, sf_dir):
     """Entities to titles; lines of three fields are passed over."""
-    path = part_lines(spark, sf_dir, F.concat(F.lit("E"), F.expr(KEY)), "p_name", F.when(F.col("p_partkey") % 8 == 0, F.lit("x")))
+    path = part_lines(spark, sf_dir, KEY, F.concat(F.lit("E"), F.expr(KEY)), "p_name", F.when(F.col("p_partkey") % 8 == 0, F.lit("x")))
     return readers.kb_map(spark, path, ("kb_id", "title"), "kb_id").select("kb_id", "title")
 
 
 @query("select p_name as title, max_by('E' || p_partkey, p_partkey) as kb_id from part group by p_name")
 def kb_title_reversed_file(spark, sf_dir):
-    return readers.kb_map(spark, part_lines(spark, sf_dir, F.concat(F.lit("E"), "p_partkey"), "p_name"), ("kb_id", "title"), "title").select("title", "kb_id")
+    return readers.kb_map(spark, part_lines(spark, sf_dir, "p_name", F.concat(F.lit("E"), "p_partkey"), "p_name"), ("kb_id", "title"), "title").select("title", "kb_id")
 
 
 def kb_table(spark, sf_dir):
@@ -116,7 +118,7 @@ def kb_map_files(spark, sf_dir):
 
 @query("select 'E' || p_partkey as kb_id, case when p_partkey % 3 = 0 then '' else p_type end as context from part")
 def kb_context_file(spark, sf_dir):
-    return readers.kb_context(spark, part_lines(spark, sf_dir, F.concat(F.lit("E"), "p_partkey"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")))).select("kb_id", "context")
+    return readers.kb_context(spark, part_lines(spark, sf_dir, "p_partkey", F.concat(F.lit("E"), "p_partkey"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")))).select("kb_id", "context")
 
 
 SPANS = "list_transform(range(0, (doc_id % 4)::bigint), lambda x: x * 10 + doc_id % 7)"

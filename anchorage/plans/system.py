@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.stems import context_terms
 from ..operators import annotations, candidates, evaluate, linking, nil, surface
-from ..sources import readers, writers
+from ..sources import readers, store, writers
 from . import learning, models
 
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -67,39 +68,53 @@ def gazetteer_of(spark: SparkSession, base: str) -> tuple[surface.Gazetteer, Dat
     return surface.Gazetteer(frozenset(kinds.get("city", ())), frozenset(kinds.get("state", ())), frozenset(kinds.get("country", ())), held), places
 
 
-def with_sports_sense(spark: SparkSession, mentions: DataFrame, base: str, places: DataFrame | None) -> DataFrame:
-    """mentions with `sports`, by the model file of the base folder: null for what has no place's name or is a person."""
+def with_sports_sense(spark: SparkSession, mentions: DataFrame, base: str, places: DataFrame | None, entities: DataFrame) -> DataFrame:
+    """mentions with `sports`, by the model file of the base folder: null for what has no place's name or is a person. entities(query_id, orgs): what the mentions have their organizations from."""
     weights, intercept = readers.linear_model(spark, f"{base}/sports.model")
     names = (places if places is not None else spark.createDataFrame([], "name_lc string, kind string")).select("name_lc").distinct().withColumn("__place", F.lit(True))
     m = mentions.join(names, F.lower("name") == F.col("name_lc"), "left").withColumn("is_place", F.coalesce("__place", F.lit(False))).drop("name_lc", "__place")
-    ratio = annotations.organizations_with_locations(m, "query_id", "orgs", names.select("name_lc"))
-    m = m.join(ratio, "query_id")
+    ratio = annotations.organizations_with_locations(entities.select("query_id", "orgs"), "query_id", "orgs", names.select("name_lc"))
+    m = m.join(ratio, "query_id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(10.0)))
     full = annotations.fully_specified_location(F.col("context"), F.col("name"), F.col("locs")).cast("double")
     f = models.sports_features(F.col("context"), F.col("name"), F.col("ner_type"), F.lit(0.0), F.col("ratio"), full)
     p = candidates.logistic(models.by_column(weights), f, intercept)
     return m.withColumn("sports", models.sports_sense(learning.sports_candidate(F.col("is_place"), F.col("ner_type")), p)).drop("ratio", "is_place")
 
 
+def expanded_mentions(spark: SparkSession, base: str, year: str, sports: bool = False) -> DataFrame:
+    """(pos, query_id, name, entity, sports, error_reason): the year's queries under the names that their documents give them. The only stage of the linker that reads texts."""
+    entities = readers.named_entities(spark, f"{base}/entities_{year}")
+    m = annotations.with_entities(queries(spark, base, year), entities).withColumnRenamed("error_reason", "missing")
+    m = annotations.with_spans(m, readers.coref_spans(spark, f"{base}/spans_{year}")) if exists(spark, f"{base}/spans_{year}") else m.withColumn("spans", F.array().cast("array<struct<start:int,end:int>>"))
+    gaz, places = gazetteer_of(spark, base)
+    m = with_sports_sense(spark, m, base, places, entities) if sports else m.withColumn("sports", F.lit(None).cast("boolean"))
+    return surface.entity_strings(m, gaz).select("pos", "query_id", "name", "entity", "sports", F.coalesce("missing", "error_reason").alias("error_reason"))
+
+
+def scored_candidates(mentions: DataFrame, priors: DataFrame) -> DataFrame:
+    """(query_id, surface, kb_name, score, rank) of the names of mentions and of their back-off strings; priors(surface, kb_name, candidate_score)."""
+    tries = mentions.where(linking.backoff_eligible()).select("query_id", F.explode(tx.backoff_strings("name", "entity")).alias("entity"))
+    strings = mentions.select("query_id", "entity").union(tries).distinct()
+    scored = strings.join(priors, F.col("entity") == F.col("surface")).select("query_id", "surface", "kb_name", F.col("candidate_score").alias("score"))
+    return candidates.ranked(scored, ["query_id", "surface"], "score")
+
+
 def link(spark: SparkSession, base: str, year: str, sports: bool = False, from_scratch: bool = False) -> DataFrame:
     """(pos, query_id, name, entity, kb_link, confidence): the year's queries linked and their NILs clustered by string.
 
     A candidate's score is its share of the anchors of the string. Queries without annotations link to nothing at 0.1.
     from_scratch: annotation files that are missing are made from tokens first.
+
+    Each stage (names, candidates, links, numbers, clusters) is written once to the shared folder, as the next ones use it
+    several times: texts are read and expanded once whatever reads the answers how often.
     """
     if from_scratch:
         annotated_files(spark, base, year)
-    q = queries(spark, base, year)
-    m = annotations.with_entities(q, readers.named_entities(spark, f"{base}/entities_{year}")).withColumnRenamed("error_reason", "missing")
-    m = annotations.with_spans(m, readers.coref_spans(spark, f"{base}/spans_{year}")) if exists(spark, f"{base}/spans_{year}") else m.withColumn("spans", F.array().cast("array<struct<start:int,end:int>>"))
-    gaz, places = gazetteer_of(spark, base)
-    m = with_sports_sense(spark, m, base, places) if sports else m.withColumn("sports", F.lit(None).cast("boolean"))
-    m = surface.entity_strings(m, gaz)
-    strings = m.select("query_id", "entity").union(m.where(linking.backoff_eligible()).select("query_id", F.explode(tx.backoff_strings("name", "entity")))).distinct()
-    priors = candidates.anchor_priors(spark.read.parquet(f"{base}/anchors"))
-    scored = strings.join(priors, F.col("entity") == F.col("surface")).select("query_id", "surface", "kb_name", F.col("candidate_score").alias("score"))
-    scored = candidates.ranked(scored, ["query_id", "surface"], "score")
-    out = linking.link(m.select("pos", "query_id", "name", "entity", "sports", F.coalesce("missing", "error_reason").alias("error_reason")), scored, knowledge_base(spark, base))
-    return nil.cluster_exact(out.select("pos", "query_id", "name", "entity", "kb_link", "confidence"))
+    root = store.folder(spark)
+    m = store.written(expanded_mentions(spark, base, year, sports), root, "mentions")
+    scored = store.written(scored_candidates(m, candidates.anchor_priors(spark.read.parquet(f"{base}/anchors"))), root, "scored")
+    out = linking.link(m, scored, knowledge_base(spark, base)).select("pos", "query_id", "name", "entity", "kb_link", "confidence")
+    return store.written(nil.cluster_exact(store.written(out, root, "numbered")), root, "answers")
 
 
 def run_linker(spark: SparkSession, base: str, year: str, output: str, human_readable: bool = False, sports: bool = False, from_scratch: bool = False) -> None:

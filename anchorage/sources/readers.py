@@ -151,8 +151,9 @@ def kb_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """queries with the text of their document, read once; "" where the document is missing or there are several."""
-    one = documents.groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("__n"), F.first("text").alias("text")).where("__n = 1").drop("__n")
+    """queries with the text of their document, read once; "" where the document is missing or there are several. Texts that no query asks for are not shuffled."""
+    asked = documents.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    one = asked.groupBy(F.col("doc_id").alias("__d")).agg(F.count("*").alias("__n"), F.first("text").alias("text")).where("__n = 1").drop("__n")
     return queries.join(one, F.col("doc_id") == F.col("__d"), "left").drop("__d").withColumn("text", F.coalesce("text", F.lit("")))
 
 

@@ -25,6 +25,13 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_queries_xml(queries: DataFrame, path: str) -> None:
+    """queries(query_id, name, doc_id[, beg, end]) as <query id> elements, a root in each file."""
+    rest = [c for c in ("beg", "end") if c in queries.columns]
+    x = queries.select(F.col("query_id").alias("_id"), "name", F.col("doc_id").alias("docid"), *rest)
+    x.write.format("xml").option("rootTag", "kbpentlink").option("rowTag", "query").mode("overwrite").save(path)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value")).write.mode("overwrite").text(path)
 

@@ -56,6 +56,13 @@ def test_linker_and_benchmark(spark, base, capsys):
     assert dict(x.split("\t") for x in capsys.readouterr().out.strip().splitlines()) == shown
 
 
+def test_each_stage_is_made_once(spark, base):
+    relations = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert relations(system.link(spark, base, "2012")) == 1
+    names = system.expanded_mentions(spark, base, "2012", sports=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert names.count("Relation [doc_id") == 1
+
+
 def test_sports_sense_moves_a_place_to_its_team(spark, base):
     got = {r.query_id: r for r in system.link(spark, base, "2012", sports=True).collect()}
     assert (got["Q3"].kb_link[:3], got["Q3"].confidence) == ("NIL", 0.5)  # the team's share of the anchors is below the threshold
