@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import candidates, evaluate, gazetteer, linking, nil, surface
+from ..operators import candidates, evaluate, gazetteer, linkage, linking, nil, surface
 from . import models
 from .registry import query, rounded, table
 
@@ -363,17 +363,10 @@ def pair_score(spark, sf_dir):
 
 @query()
 def average_link_clusters(spark, sf_dir):
-    """Embeddings of a label as mentions, each a NIL of its own; pairs meet within a label only.
-
-    Every pair of a label is compared. Merges stay within components of pairs that reach the cutoff, so only pairs inside
-    one go on to the clustering, those under the cutoff among them.
-    """
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").cast("string").alias("id"), "label", "embedding")
-    of = nil.components(sim.vector_pairs(e, 0.5 - 1e-6)).toDF("id", "component")
-    own = e.join(of, "id").select("id", "component", "embedding")
-    pairs = own.toDF("a", "component", "va").join(own.toDF("b", "component", "vb"), "component").where("a < b").select("a", "b", sim.vector_cosine(F.col("va"), F.col("vb")).alias("sim"))
-    links = e.select(F.col("id").alias("query_id"), F.concat(F.lit("NIL"), F.lpad("id", 8, "0")).alias("kb_link"))
-    return nil.cluster_average_link(links, pairs, 0.5)
+    """Embeddings of a label as mentions, each a NIL of its own, down to a mean cosine of 0.5; clusters meet within a label only."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    id_ = F.col("vec_id").cast("string")
+    return linkage.average_link(e.select(id_.alias("query_id"), F.concat(F.lit("NIL"), F.lpad(id_, 8, "0")).alias("kb_link"), "label", "embedding"), 0.5, "label")
 
 
 @query("""with l as (select *, doc_id % 8 as fold from labels),

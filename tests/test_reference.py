@@ -224,8 +224,6 @@ def test_average_link_compares_every_pair_of_a_label(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
     norm = lambda v: sum(x * x for x in v) ** 0.5
     cos = {(a, b): sum(x * y for x, y in zip(u, v, strict=True)) / norm(u) / norm(v) for a, k, u in rows for b, m, v in rows if a < b and k == m}
-    found = sim.vector_pairs(df.withColumn("id", F.lpad(F.col("vec_id").cast("string"), 2, "0")), 0.5, 6).collect()
-    assert sorted((int(r.a), int(r.b)) for r in found) == sorted(k for k, s in cos.items() if s >= 0.5)
     name = lambda i: f"NIL{i:08d}"
     want = nil.agglomerate([name(i) for i, *_ in rows], {(name(a), name(b)): (s, 1) for (a, b), s in cos.items()}, 0.5)
     got = {name(int(r.query_id)): r.kb_link for r in QUERIES["average_link_clusters"](spark, str(tmp_path)).collect()}
