@@ -20,12 +20,17 @@ def splits(spark):
     for k, v in CONF.items():
         spark.conf.set(k, v)
     store = spark._jsparkSession.sharedState().statusStore()
-    seen = store.executionsList().size()
 
-    def count():
+    def executions():
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
         every = store.executionsList()
-        return sum("skew=true" in every.apply(i).physicalPlanDescription() for i in range(min(seen, every.size()), every.size()))
+        return [every.apply(i) for i in range(every.size())]
+
+    # The store keeps a bounded number of executions, so that their places change; their ids grow.
+    last = max((x.executionId() for x in executions()), default=-1)
+
+    def count():
+        return sum("skew=true" in x.physicalPlanDescription() for x in executions() if x.executionId() > last)
 
     yield count
     for k, v in before.items():
