@@ -102,8 +102,12 @@ def cluster_vectors(vectors: DataFrame, group: str | None = None) -> DataFrame:
             for _, frame in batch.groupby("group"):
                 yield added(frame)
 
-    schema = f"group string, id string, n long, total {_VECTOR}"
-    return v.mapInPandas(partly, schema).groupBy("group", "id").applyInPandas(added, schema)
+    parts = v.mapInPandas(partly, f"group string, id string, n long, total {_VECTOR}")
+    # A row for each batch that has mentions of a link.
+    each = parts.groupBy("group", "id").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("total")).alias("parts"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    rest = F.slice("parts", 2, F.size("parts"))
+    return each.select("group", "id", "n", F.aggregate(rest, F.get("parts", F.lit(0)), add).alias("total"))
 
 
 def _cells(asked: DataFrame, clusters: DataFrame, sides: DataFrame, cutoff: float) -> DataFrame:
