@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import similarity as sim
 from ..functions import stems
+from ..functions import text as tx
 from ..operators import annotations, candidates
+from ..operators.pairs import sample_pairs
 from ..sources import readers, store, writers
 from . import learning
 from .files import written
@@ -253,16 +256,34 @@ def sports_evaluation(spark, sf_dir):
     return learning.sports_evaluation(labelled_documents(spark, sf_dir), "doc_id", ["candidate_score", "docsim"])
 
 
+def counted(rows, name):
+    """rows(query_id, words) -> (query_id, name: map of each word to its count)."""
+    each = rows.select("query_id", F.explode("words").alias("w")).groupBy("query_id", "w").agg(F.count("*").alias("n"))
+    return each.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias(name))
+
+
 @query()
 def pair_model(spark, sf_dir):
-    """Weights of the pair classifier over names of parts, whose pairs count as one if they share a word."""
-    from ..functions import similarity as sim
-    from .queries import name_pairs
-
-    f = sim.name_features(F.col("a"), F.col("b")) | {"alternate_similarity": sim.jaro_winkler("a", "b")}
-    word = lambda c, i: F.get(F.split(c, " "), F.lit(i))
-    pairs = name_pairs(spark, sf_dir).withColumns(dict(f)).withColumns({"label": word("a", 1) == word("b", 1), "key": F.concat_ws("|", "a", "b")})
-    w, b = learning.train_pairs(pairs, "key", ["alternate_similarity", "contains", "prefix"])
+    """Weights of the pair classifier over all its features: a mention in each document with a name, whose link is the document's source."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("query_id"), F.col("source").alias("kb_link"), "text", F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Z][a-z]+", 0).alias("name"))
+    root = store.folder(spark)
+    names = store.written(d.where("name <> ''").drop("text"), root, "names")
+    drawn = store.written(sample_pairs(names), root, "drawn")
+    # Texts are read of drawn mentions only, of which there are no more than two for each pair of the sample.
+    ids = drawn.select(F.col("a").alias("query_id")).union(drawn.select("b")).distinct()
+    m = store.written(d.join(F.broadcast(ids), "query_id"), root, "mentions")
+    at = F.expr("0") + F.instr("text", F.col("name")) - 1
+    context = tx.char_context("text", at)
+    words = {
+        "context": F.split(F.lower(context), " "), "wide": sim.terms(F.col("text")), "links": F.regexp_extract_all("text", F.lit(r"([A-Z]\w+)"), F.lit(1)),
+        "coref": F.split(F.lower(F.array_join(F.filter(tx.sentences("text"), lambda s: F.contains(s, F.col("name"))), " ")), " "),
+        "args": F.regexp_extract_all(tx.clamp_slice("text", at - 500, at + 500), F.lit(r"([A-Z]\w+)"), F.lit(1)),
+    }
+    out = m.select("query_id", "kb_link", "name", F.regexp_extract("text", "[A-Z][a-z]+ [a-z]+", 0).alias("entity"))
+    for name, found in words.items():
+        out = out.join(counted(m.select("query_id", found.alias("words")), name), "query_id", "left").withColumn(name, F.coalesce(name, F.expr("cast(map() as map<string,bigint>)")))
+    surnames = [r[0] for r in names.groupBy(F.lower("name").alias("n")).count().orderBy(F.desc("count"), "n").limit(1000).collect()]
+    w, b = learning.train_pairs(out, drawn, surnames)
     return spark.createDataFrame([*w.items(), ("Intercept", b)], "feature string, weight double")
 
 

@@ -7,8 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.similarity import ACTIVE_PAIR_FEATURES, pair_features
 from ..functions.stems import context_terms
 from ..operators.candidates import ACTIVE_LINK_FEATURES, logistic
+from ..operators.pairs import sample_pairs
+from ..sources import store
 from . import models
 
 YEARS = ("2010", "2011", "2012", "2013")
@@ -75,12 +78,20 @@ def answered(queries: DataFrame, answers: DataFrame) -> DataFrame:
     return queries.join(answers.select("query_id", "kb_link"), "query_id")
 
 
+#: Tiles on a side of all pairs of a block, which are dealt over their square.
+TILES = 16
+
+
 def labelled_pairs(mentions: DataFrame, block: str | None = None) -> DataFrame:
-    """mentions(query_id, kb_link, ...) -> (a, b, label), a before b: whether both have the same link. With a block column, pairs of one block only: the number of pairs grows with the square of a block's size."""
-    side = F.struct(*mentions.columns)
-    left = mentions.select(side.alias("a"), *([F.col(block).alias("__b")] if block else [F.lit(1).alias("__b")]))
-    right = mentions.select(side.alias("b"), *([F.col(block).alias("__b")] if block else [F.lit(1).alias("__b")]))
-    return left.join(right, "__b").where("a.query_id < b.query_id").select("a", "b", (F.col("a.kb_link") == F.col("b.kb_link")).alias("label"))
+    """mentions(query_id, kb_link, ...) -> (a, b, label), a before b: whether both have the same link. Where all pairs are asked for, there
+    are as many as there are; with a block column, pairs of one block only. Rows go to tiles of a square, not all to one
+    key. A training sample is drawn without them: operators.pairs.sample_pairs()."""
+    own = F.pmod(F.xxhash64("query_id"), F.lit(TILES)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(TILES - 1)))
+    by = F.col(block) if block else F.lit(1)
+    left = mentions.select(F.struct(*mentions.columns).alias("a"), by.alias("__b"), own.alias("__i"), every.alias("__j"))
+    right = mentions.select(F.struct(*mentions.columns).alias("b"), by.alias("__b"), every.alias("__i"), own.alias("__j"))
+    return left.join(right, ["__b", "__i", "__j"]).where("a.query_id < b.query_id").select("a", "b", (F.col("a.kb_link") == F.col("b.kb_link")).alias("label"))
 
 
 def speaks_of(vocabulary: Column, *names: Column) -> Column:
@@ -94,9 +105,16 @@ def plausible_pair() -> Column:
     return speaks_of(F.col("a.vocabulary"), F.col("b.name"), F.col("b.entity")) | speaks_of(F.col("b.vocabulary"), F.col("a.name"), F.col("a.entity"))
 
 
-def train_pairs(pairs: DataFrame, key: str, features: Sequence[str]) -> tuple[dict[str, float], float]:
-    """(weights, intercept) of the pair classifier on the bounded sample of models.sampled_pairs()."""
-    return models.train_logistic(models.sampled_pairs(pairs, "label", key), features, "label")
+def train_pairs(mentions: DataFrame, drawn: DataFrame | None = None, surnames: Sequence[str] = (), features: Sequence[str] = ACTIVE_PAIR_FEATURES, seed: int = 0) -> tuple[dict[str, float], float]:
+    """(weights, intercept) of the pair classifier. mentions(query_id, kb_link, name, entity, and the term maps context, wide, coref, links,
+    args); drawn(a, b, label): the sample to train on, drawn from the mentions if it is not given."""
+    root = store.folder(mentions.sparkSession)
+    drawn = store.written(sample_pairs(mentions, seed) if drawn is None else drawn, root, "drawn")
+    ids = drawn.select(F.col("a").alias("query_id")).union(drawn.select("b")).distinct()
+    own = store.written(mentions.withColumn("query_id", F.col("query_id").cast("string")).join(F.broadcast(ids), "query_id"), root, "mentions")
+    side = lambda c: own.select(F.col("query_id").alias(f"__{c}"), F.struct(*own.columns).alias(f"m{c}"))
+    both = drawn.join(side("a"), F.col("a") == F.col("__a")).join(side("b"), F.col("b") == F.col("__b")).select(F.col("ma").alias("a"), F.col("mb").alias("b"), "label")
+    return models.train_logistic(store.written(pair_features(both, surnames).select(*features, "label"), root, "features"), features, "label")
 
 
 def entry_is_team(wiki_type: Column) -> Column:

@@ -129,14 +129,6 @@ def folds(rows: DataFrame, key: str, k: int = 8, seed: int = 0) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
 
 
-def sampled_pairs(pairs: DataFrame, label: str, key: str, negatives: int = 10, limit: int = 3000) -> DataFrame:
-    """All positives and `negatives` times as many others, in the order of a hash, at most `limit` rows: a bounded training sample."""
-    n = pairs.where(F.col(label)).count()
-    order = F.xxhash64(F.col(key), F.lit(0))
-    chosen = pairs.where(F.col(label)).union(pairs.where(~F.col(label)).orderBy(order, key).limit(negatives * n))
-    return chosen.orderBy(order, key).limit(limit)
-
-
 def cross_validate(rows: DataFrame, features: Sequence[str], label: str, key: str, k: int = 8) -> DataFrame:
     """(fold, n, accuracy) of logistic regressions that each leave one fold out."""
     from ..operators.candidates import logistic
@@ -152,9 +144,3 @@ def cross_validate(rows: DataFrame, features: Sequence[str], label: str, key: st
 
 def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("n"), F.avg((F.col(label) == F.col(predicted)).cast("int")).alias("accuracy"))
-
-
-def apply_linear(weights: Mapping[str, float], features: Mapping[str, Column], intercept: float) -> Column:
-    from ..operators.candidates import logistic
-
-    return logistic(weights, features, intercept)

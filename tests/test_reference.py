@@ -159,8 +159,6 @@ def test_models(spark):
     assert p > 0.9
     nb = models.train_text_bayes(train, "terms")(train)
     assert nb.where((F.col("text_score") > 0.5).cast("int") != F.col("label")).count() == 0
-    pairs = spark.range(500).select(F.col("id"), (F.col("id") < 20).alias("label"))
-    assert models.sampled_pairs(pairs, "label", "id").groupBy("label").count().where("label").first()["count"] == 20
 
 
 def test_files(spark, tmp_path):
