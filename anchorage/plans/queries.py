@@ -155,6 +155,7 @@ MENTION = "select doc_id, text, regexp_extract(text, '[A-Z][a-z]+ [a-z]+') as na
 
 
 def mentions(spark, sf_dir):
+    """The first name in each text, as a linker's queries name one mention each."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", "[A-Z][a-z]+ [a-z]+", 0).alias("name"))
     return d.where("name <> ''")
 
@@ -173,12 +174,11 @@ def char_context(spark, sf_dir):
     return mentions(spark, sf_dir).select("doc_id", tx.trimmed_context("text", "name").alias("context"))
 
 
-@query("""select doc_id, case when doc_id % 3 = 0 then '' else regexp_replace(trim(regexp_replace(substring(replace(replace(text, '<', ' '), '>', ' '), 1, 60), '\\s+', ' ', 'g')), '-', ' ', 'g') end as paragraph,
-source || ' ' || lang || ' news' as headline from documents""")
+@query("""with p as (select doc_id, source, lang, trim(regexp_replace(replace(replace(text, '<', ' '), '>', ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as t from documents)
+select doc_id, case when doc_id % 3 = 0 then '' else trim(regexp_replace(replace(t, '-', ' '), ' +', ' ', 'g')) end as paragraph, source || ' ' || lang || ' news' as headline from p""")
 def document_headline(spark, sf_dir):
-    """Headline and first paragraph of newswire text; a third of the documents have no paragraph."""
-    plain = F.substring(F.translate("text", "<>", "  "), 1, 60)
-    body = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<P>\n"), plain, F.lit("\n</P>\n<P>\nSecond.\n</P>")))
+    """Headline and first paragraph of newswire text, which is the whole of a document; a third of the documents have no paragraph."""
+    body = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<P>\n"), F.translate("text", "<>", "  "), F.lit("\n</P>\n<P>\nSecond.\n</P>")))
     d = table(spark, sf_dir, "documents").select("doc_id", tx.headline_contexts(F.concat(F.lit("<DOC>\n<HEADLINE>\n"), "source", F.lit("-"), "lang", F.lit("\n  news\n</HEADLINE>\n"), body, F.lit("</DOC>"))).alias("c"))
     return d.select("doc_id", F.when(F.size("c") > 1, F.get("c", F.lit(0))).otherwise("").alias("paragraph"), F.element_at("c", -1).alias("headline"))
 
@@ -188,6 +188,7 @@ s as (select item_id, w, unnest(range(1, len(w) + 1)) as i from w),
 p as (select item_id, w[2] as name, i, w[i:i + unnest(range(0, len(w) - i + 1))] as x from s) select item_id, array_to_string(x, ' ') as phrase from p
 where len(x) > 1 and contains(array_to_string(x, ' '), name)""")
 def backoff_strings(spark, sf_dir):
+    """Of an entity string, which is a phrase; here the first of each item."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^[^.\n]*", 0).alias("entity"))
     b = b.withColumn("name", F.get(F.split("entity", " "), F.lit(1)))
     return b.where("name is not null").select("item_id", F.explode(tx.backoff_strings("name", "entity")).alias("phrase"))
@@ -453,25 +454,27 @@ def link_cascade(spark, sf_dir):
 PLACES = """with n as (select n_nationkey, upper(n_name[1]) || lower(n_name[2:]) as city, array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as region from nation join region on r_regionkey = n_regionkey)"""
 
 
-@query(PLACES + """ select c_custkey, case c_custkey % 7 when 0 then 'UNB' when 1 then 'Ford' when 4 then 'Acme' when 5 then 'Acme' when 6 then 'Bank' else city end as name,
-case c_custkey % 7 when 0 then 'United Northern Bank' when 1 then 'Gerald Ford' when 2 then city || ', ' || region when 3 then case when contains(region, ' ') then city else city || ', ' || region end
-  when 4 then 'The Acme Group' when 5 then 'Acme' else 'Bankers' end as entity, case when c_custkey % 7 = 5 and c_custkey % 2 = 0 then 'no annotation' when c_custkey % 7 = 5 then 'unknown entity type' end as error_reason
+@query(PLACES + """ select c_custkey, case c_custkey % 10 when 0 then 'UNB' when 1 then 'Ford' when 4 then 'Acme' when 5 then 'Acme' when 6 then 'Bank' when 9 then 'NB' else city end as name,
+case c_custkey % 10 when 0 then 'United Northern Bank' when 1 then 'Gerald Ford' when 2 then city || ', ' || region when 3 then case when contains(region, ' ') then city else city || ', ' || region end
+  when 4 then 'The Acme Group' when 5 then 'Acme' when 6 then 'Bankers' when 7 then city || ', ' || region when 8 then 'Gerald ' || city else city || ' of Bank' end as entity, case when c_custkey % 20 = 5 then 'no annotation' when c_custkey % 10 = 5 then 'unknown entity type' end as error_reason
 from customer join n on n_nationkey = c_nationkey""")
 def surface_rules(spark, sf_dir):
-    """A mention for each rule: initials, a longer name, a container among the places and in the text, the chain, a longer word, and what no rule takes."""
+    """A mention for each rule: initials, a longer name, a container among the places and in the text, the chain, a longer word, what no rule
+    takes, a longer place with its container, a person who stands alone in the text, and an acronym behind its expansion."""
     cased = lambda c: tx.location_casing(c)
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", cased("n_name").alias("city"), cased("r_name").alias("region"))
     within = {r["region"]: frozenset(r["cities"]) for r in n.groupBy("region").agg(F.collect_set("city").alias("cities")).collect()}
     gaz = surface.Gazetteer(frozenset(x.lower() for c in within.values() for x in c), frozenset(), frozenset(x.lower() for x in within), within)
-    m = table(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).withColumn("kind", F.col("c_custkey") % 7)
+    m = table(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).withColumn("kind", F.col("c_custkey") % 10)
     by = lambda other, **cases: F.coalesce(*[F.when(F.col("kind") == int(k[1:]), v) for k, v in cases.items()], other)
     strings = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x]).cast("array<string>")
     city, region = F.col("city"), F.col("region")
     m = m.select(
-        "c_custkey", by(city, k0=F.lit("UNB"), k1=F.lit("Ford"), k4=F.lit("Acme"), k5=F.lit("Acme"), k6=F.lit("Bank")).alias("name"),
-        by(F.lit("The Acme Group grew. It is Acme."), k0=F.lit("The United Northern Bank (UNB) grew."), k1=F.lit("Gerald Ford spoke. Then Ford left."), k2=F.concat(F.lit("From "), region, F.lit(" he went to "), city), k3=F.concat(F.lit("He saw "), city, F.lit(", "), region, F.lit(".")), k6=F.lit("Bankers met at the Bank")).alias("text"),
-        F.when((F.col("kind") == 5) & (F.col("c_custkey") % 2 == 0), F.lit(None)).otherwise(by(F.lit("None"), k0=F.lit("ORGANIZATION"), k1=F.lit("PERSON"), k2=F.lit("LOCATION"), k3=F.lit("LOCATION"), k5=F.lit("DATE"), k6=F.lit("ORGANIZATION"))).alias("ner_type"),
-        by(strings(), k0=strings("Acme", "United Northern Bank"), k6=strings("Bankers")).alias("orgs"), by(strings(), k2=strings(region, city)).alias("locs"), by(strings(), k1=strings("Ann Lee", "Gerald Ford")).alias("people"),
+        "c_custkey", by(city, k0=F.lit("UNB"), k1=F.lit("Ford"), k4=F.lit("Acme"), k5=F.lit("Acme"), k6=F.lit("Bank"), k9=F.lit("NB")).alias("name"),
+        by(F.lit("The Acme Group grew. It is Acme."), k0=F.lit("The United Northern Bank (UNB) grew."), k1=F.lit("Gerald Ford spoke. Then Ford left."), k2=F.concat(F.lit("From "), region, F.lit(" he went to "), city), k3=F.concat(F.lit("He saw "), city, F.lit(", "), region, F.lit(".")), k6=F.lit("Bankers met at the Bank"),
+           k7=F.concat(F.lit("He lives in "), city), k8=F.concat(F.lit("He met Gerald "), city, F.lit(" in town.")), k9=F.concat(F.lit("The "), city, F.lit(" of Bank (NB) grew."))).alias("text"),
+        F.when(F.col("c_custkey") % 20 == 5, F.lit(None)).otherwise(by(F.lit("None"), k0=F.lit("ORGANIZATION"), k1=F.lit("PERSON"), k2=F.lit("LOCATION"), k3=F.lit("LOCATION"), k5=F.lit("DATE"), k6=F.lit("ORGANIZATION"), k7=F.lit("LOCATION"), k8=F.lit("PERSON"), k9=F.lit("ORGANIZATION"))).alias("ner_type"),
+        by(strings(), k0=strings("Acme", "United Northern Bank"), k6=strings("Bankers")).alias("orgs"), by(strings(), k2=strings(region, city), k7=strings(F.concat(city, F.lit(" in "), region))).alias("locs"), by(strings(), k1=strings("Ann Lee", "Gerald Ford")).alias("people"),
         by(strings(), k4=strings("The Acme Group", "The Acme Group of Companies")).alias("matching"),
         F.when(F.col("kind") == 4, F.array(F.struct(F.lit(0).alias("start"), F.lit(13).alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.lit(None).cast("boolean").alias("sports"),
     )
