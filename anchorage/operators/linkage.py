@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources import store
 
 #: Clusters of a group up to which a task merges it by itself; clusters on a side of a cell; rows of a product at a time.
-TASK, SIDE, STRIP = 4096, 4096, 512
+TASK, SIDE, STRIP = 16384, 8192, 512
 #: Means are compared to so many digits, so that equal ones tie whatever order they were added up in.
 DIGITS = 9
 _VECTOR = "array<double>"
@@ -135,8 +135,18 @@ def _cells(asked: DataFrame, clusters: DataFrame, sides: DataFrame, cutoff: floa
     return found.groupBy("group", "id").agg(F.min_by("near", F.struct((-F.col("s")).alias("s"), "near")).alias("near"))
 
 
+def _in_tasks(clusters: DataFrame, cutoff: float) -> DataFrame:
+    """clusters(group, id, n, total) -> (group, old, new): each group by merge_in_task()."""
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        out = merge_in_task(frame["id"].to_numpy(), np.stack(frame["total"].to_numpy()), frame["n"].to_numpy(), cutoff)
+        return pd.DataFrame({"group": frame["group"].iloc[0], "old": list(out), "new": list(out.values())})
+
+    return clusters.groupBy("group").applyInPandas(merge, "group string, old string, new string")
+
+
 def merge_in_rounds(clusters: DataFrame, cutoff: float) -> DataFrame:
-    """clusters(group, id, n, total) -> (group, old, new): merge_in_task() over a table, for groups too large for a task."""
+    """clusters(group, id, n, total) -> (group, old, new): merge_in_task() over a table, for groups too large for a task, until those are small enough."""
     root, step = store.folder(clusters.sparkSession), 0
     live = store.written(clusters, root, "live0")
     names = store.written(live.select("group", F.col("id").alias("old"), F.col("id").alias("new")), root, "names0")
@@ -159,6 +169,9 @@ def merge_in_rounds(clusters: DataFrame, cutoff: float) -> DataFrame:
         total = F.when(F.count("*") == 1, F.first("total")).otherwise(F.zip_with(F.min_by("total", "id"), F.max_by("total", "id"), lambda a, b: a + b))
         live = store.written(to.groupBy("group", "into").agg(F.sum("n").alias("n"), total.alias("total")).select("group", F.col("into").alias("id"), "n", "total"), root, f"live{step}")
         names = store.written(names.join(moved.select("group", F.col("lose").alias("new"), "keep"), ["group", "new"], "left").select("group", "old", F.coalesce("keep", "new").alias("new")), root, f"names{step}")
+        if live.groupBy("group").count().where(F.col("count") > TASK).isEmpty():
+            last = _in_tasks(live, cutoff).select("group", F.col("old").alias("new"), F.col("new").alias("keep"))
+            return names.join(last, ["group", "new"], "left").select("group", "old", F.coalesce("keep", "new").alias("new"))
         touched = store.written(moved.select("group", F.col("keep").alias("id")).union(moved.select("group", "lose")), root, f"touched{step}")
         free = near.join(touched, ["group", "id"], "left_anti")
         kept = free.join(touched.select("group", F.col("id").alias("near")), ["group", "near"], "left_anti").select("group", "id", "near")
@@ -179,12 +192,7 @@ def average_link(vectors: DataFrame, cutoff: float, group: str | None = None) ->
     clusters = store.written(cluster_vectors(vectors, group), root, "clusters")
     sizes = store.written(clusters.groupBy("group").agg(F.count("*").alias("clusters")), root, "sizes")
     large = sizes.where(F.col("clusters") > TASK).select("group")
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        out = merge_in_task(frame["id"].to_numpy(), np.stack(frame["total"].to_numpy()), frame["n"].to_numpy(), cutoff)
-        return pd.DataFrame({"group": frame["group"].iloc[0], "old": list(out), "new": list(out.values())})
-
-    names = clusters.join(large, "group", "left_anti").groupBy("group").applyInPandas(merge, "group string, old string, new string")
+    names = _in_tasks(clusters.join(large, "group", "left_anti"), cutoff)
     if not large.isEmpty():
         names = names.union(merge_in_rounds(clusters.join(large, "group", "left_semi"), cutoff))
     of = vectors.select("query_id", "kb_link", (F.col(group) if group else F.lit(0)).cast("string").alias("group"))

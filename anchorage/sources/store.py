@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Seconds between two clearings of shuffle files that nothing refers to any more.
+TIDY = 2.0
+_tidied = [time.monotonic()]
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, below the warehouse, or on one machine in a temporary place. It goes when the session ends."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
@@ -27,8 +34,20 @@ def folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, root: str, name: str) -> DataFrame:
     """df, written to a folder() and read again: its lineage is cut, a lost executor costs its running tasks, and a join with it can be split for skew."""
+    spark, schema = df.sparkSession, df.schema
     df.write.mode("overwrite").parquet(f"{root}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+    del df
+    if time.monotonic() - _tidied[0] > TIDY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+    return spark.read.schema(schema).parquet(f"{root}/{name}")
+
+
+def dropped(spark: SparkSession, root: str, *names: str) -> None:
+    """Deletes tables that written() made. No later plan may read them."""
+    for name in names:
+        _remove(spark, f"{root}/{name}")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
