@@ -40,6 +40,10 @@ def _link_model(spark, a):
     writers.write_lines(writers.linear_model_lines(spark, *system.link_model(spark, a.base_dir, a.year)), a.output)
 
 
+def _sports_text(spark, a):
+    system.train_sports_text(spark, a.base_dir, a.year)
+
+
 def _link_precision(spark, a):
     rows = system.link_rows(spark, a.base_dir, "2011").union(system.link_rows(spark, a.base_dir, "2012")).withColumn("key", F.concat_ws("|", "query_id", "kb_name"))
     writers.write_lines(learning.cross_year(rows, "2012", "2011", "key").orderBy("rank").select(F.col("line").alias("value")), a.output)
@@ -97,7 +101,7 @@ def _kb_maps(spark, a):
 TOOLS = {
     "link": (_link, "link a year's queries"), "benchmark": (_benchmark, "evaluate answers, of a file or of a run of the linker"), "readable": (_readable, "answers with contexts and titles"),
     "link-threshold": (_link_threshold, "mean of the best thresholds of ten deals"), "link-model": (_link_model, "train the link classifier for a year"), "link-precision": (_link_precision, "precision by rank, one year by the other"),
-    "augment-training": (_augment, "training lines with the ambiguity of their strings"), "nil-statistics": (_nil_statistics, "shares of entities by outcome, of a report"), "annotate": (_annotate, "make missing annotation files"),
+    "sports-text": (_sports_text, "train the text model of the sports sense and keep it in the base folder"), "augment-training": (_augment, "training lines with the ambiguity of their strings"), "nil-statistics": (_nil_statistics, "shares of entities by outcome, of a report"), "annotate": (_annotate, "make missing annotation files"),
     "mentions": (_mentions, "strings of each query's chain"), "representatives": (_representatives, "longest mention of each chain"), "types": (_types, "types and matching entities"),
     "alternates": (_alternates, "fullest names of mentions"), "gazetteer": (_gazetteer, "places and what lies in them"), "kb-maps": (_kb_maps, "maps of a knowledge base, from its XML files"),
 }

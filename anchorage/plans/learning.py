@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ACTIVE_PAIR_FEATURES, pair_features
 from ..functions.stems import context_terms
+from ..operators import bayes
 from ..operators.candidates import ACTIVE_LINK_FEATURES, logistic
 from ..operators.pairs import sample_pairs
 from ..sources import store
@@ -134,13 +135,16 @@ def sports_rows(mentions: DataFrame, kb: DataFrame) -> DataFrame:
 
 
 def sports_evaluation(rows: DataFrame, key: str, features: Sequence[str], seed: int = 0, ascending: bool = False) -> DataFrame:
-    """rows(label, text, features without text_score) -> (rank, line): a fifth of the rows, dealt by a seeded hash, by a model of the rest whose text score comes from naive Bayes on half of all rows.
+    """rows(label, text, features without text_score) -> (rank, line): a fifth of the rows, dealt by a seeded hash, by a model of the rest whose text score, the log of a team's sense and the text, comes from naive Bayes on half of all rows.
 
     Lines go from the highest score down, as precision is read; ascending: from the lowest up.
     """
     turn = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    at = rows.withColumns({"__turn": turn, "terms": context_terms(F.col("text")), "y": F.col("label").cast("int")})
-    at = models.train_text_bayes(at.where("__turn >= 50"), "terms", "y")(at)
+    root = store.folder(rows.sparkSession)
+    at = store.written(rows.withColumns({"__turn": turn, "terms": context_terms(F.col("text")), "y": F.col("label").cast("int")}).drop("text"), root, "terms")
+    bayes.save(bayes.train(at.where("__turn >= 50"), key, "terms", "y"), f"{root}/text_model")
+    at = bayes.scored(at, key, "terms", bayes.load(rows.sparkSession, f"{root}/text_model")).withColumn("text_score", F.col("text_log"))
+    at = store.written(at.drop("terms"), root, "scored")
     names = [*features, "text_score"]
     w, b = models.train_logistic(at.where("__turn >= 20"), names, "y")
     test = scored_by(at.where("__turn < 20"), w, b)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,15 +75,6 @@ def train_logistic(rows: DataFrame, features: Sequence[str], label: str = "label
     return dict(zip(names, m.coefficients.toArray().tolist(), strict=True)), float(m.intercept)
 
 
-def train_text_bayes(rows: DataFrame, terms: str, label: str = "label", smoothing: float = 0.05, vocabulary: int = 1 << 16):
-    """A function that adds text_score, the probability of label 1 by naive Bayes over relative term counts."""
-    vec = CountVectorizer(inputCol=terms, outputCol="__tf", vocabSize=vocabulary).fit(rows)
-    model = NaiveBayes(featuresCol="__tf", labelCol="__y", smoothing=smoothing, probabilityCol="__p").fit(vec.transform(rows.withColumn("__y", F.col(label).cast("double"))))
-    from pyspark.ml.functions import vector_to_array
-
-    return lambda df: model.transform(vec.transform(df)).withColumn("text_score", F.get(vector_to_array("__p"), F.lit(1))).drop("__tf", "__p", "rawPrediction", "prediction")
-
-
 def ranked_labels(rows: DataFrame, label: str, score: str, tie: str, bins: int = 1000) -> DataFrame:
     """(tie, score, label, rank, positives): running counts down the scores.
 

@@ -4,6 +4,10 @@ A base folder holds, for a year Y: queries_Y.xml, answers_Y.tab, documents_Y (Pa
 four lines), spans_Y (coreference spans), tokens_Y (Parquet: doc_id, sent, idx, token, type, begin, end, chain), training_Y.csv;
 and for all years kb/title, kb/intro, kb/wiki_type, kb/structured_type, anchors (Parquet: surface, kb_name, n),
 gazetteer.txt and sports.model. What only some tools need may be missing for the others.
+
+Models that are trained and kept here: link_Y.model (weights of the link classifier) and sports_text (Parquet: counts of the
+text model). The linker takes them where they are: without the first it links by the share of anchors, without the second
+texts say nothing of the sports sense.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stems import context_terms
-from ..operators import annotations, candidates, evaluate, linking, nil, surface
+from ..operators import aliases, annotations, bayes, candidates, evaluate, linking, nil, surface
 from ..sources import readers, store, writers
 from . import learning, models
 
@@ -68,6 +72,30 @@ def gazetteer_of(spark: SparkSession, base: str) -> tuple[surface.Gazetteer, Dat
     return surface.Gazetteer(frozenset(kinds.get("city", ())), frozenset(kinds.get("state", ())), frozenset(kinds.get("country", ())), held), places
 
 
+def with_text_log(spark: SparkSession, mentions: DataFrame, base: str) -> DataFrame:
+    """mentions with text_log of the text model in the base folder; 0 where there is none."""
+    if not exists(spark, f"{base}/sports_text"):
+        return mentions.withColumn("text_log", F.lit(0.0))
+    own = store.written(mentions.select("query_id", context_terms(F.col("text")).alias("terms")), store.folder(spark), "terms")
+    scored = bayes.scored(own, "query_id", "terms", bayes.load(spark, f"{base}/sports_text")).select("query_id", "text_log")
+    return mentions.join(scored, "query_id", "left").withColumn("text_log", F.coalesce("text_log", F.lit(0.0)))
+
+
+def train_sports_text(spark: SparkSession, base: str, year: str) -> DataFrame:
+    """The text model for a year, of the answered mentions of the years that may train it that have the name of a place: whether the entry is a team, by the stems of the whole document. Kept in the base folder and read again."""
+    places = gazetteer_of(spark, base)[1]
+    names = (places if places is not None else spark.createDataFrame([], "name_lc string, kind string")).select("name_lc").distinct()
+    rows = None
+    for y in learning.training_years(year):
+        q = queries(spark, base, y).join(readers.answers_tsv(spark, f"{base}/answers_{y}.tab").select("query_id", "kb_link"), "query_id")
+        q = annotations.with_entities(q, readers.named_entities(spark, f"{base}/entities_{y}"))
+        q = q.join(names.withColumn("is_place", F.lit(True)), F.lower("name") == F.col("name_lc")).drop("name_lc")
+        one = learning.sports_rows(q, knowledge_base(spark, base)).select("query_id", "label", context_terms(F.col("text")).alias("terms"))
+        rows = one if rows is None else rows.union(one)
+    bayes.save(bayes.train(store.written(rows, store.folder(spark), "rows"), "query_id", "terms", "label"), f"{base}/sports_text")
+    return bayes.load(spark, f"{base}/sports_text")
+
+
 def with_sports_sense(spark: SparkSession, mentions: DataFrame, base: str, places: DataFrame | None, entities: DataFrame) -> DataFrame:
     """mentions with `sports`, by the model file of the base folder: null for what has no place's name or is a person. entities(query_id, orgs): what the mentions have their organizations from."""
     weights, intercept = readers.linear_model(spark, f"{base}/sports.model")
@@ -76,25 +104,57 @@ def with_sports_sense(spark: SparkSession, mentions: DataFrame, base: str, place
     ratio = annotations.organizations_with_locations(entities.select("query_id", "orgs"), "query_id", "orgs", names.select("name_lc"))
     m = m.join(ratio, "query_id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(10.0)))
     full = annotations.fully_specified_location(F.col("context"), F.col("name"), F.col("locs")).cast("double")
-    f = models.sports_features(F.col("context"), F.col("name"), F.col("ner_type"), F.lit(0.0), F.col("ratio"), full)
+    m = with_text_log(spark, m, base)
+    f = models.sports_features(F.col("context"), F.col("name"), F.col("ner_type"), F.col("text_log"), F.col("ratio"), full)
     p = candidates.logistic(models.by_column(weights), f, intercept)
-    return m.withColumn("sports", models.sports_sense(learning.sports_candidate(F.col("is_place"), F.col("ner_type")), p)).drop("ratio", "is_place")
+    return m.withColumn("sports", models.sports_sense(learning.sports_candidate(F.col("is_place"), F.col("ner_type")), p)).drop("ratio", "is_place", "text_log")
 
 
 def expanded_mentions(spark: SparkSession, base: str, year: str, sports: bool = False) -> DataFrame:
-    """(pos, query_id, name, entity, sports, error_reason): the year's queries under the names that their documents give them. The only stage of the linker that reads texts."""
+    """(pos, query_id, name, entity, context, sports, error_reason): the year's queries under the names that their documents give them. The only stage of the linker that reads texts."""
     entities = readers.named_entities(spark, f"{base}/entities_{year}")
     m = annotations.with_entities(queries(spark, base, year), entities).withColumnRenamed("error_reason", "missing")
     m = annotations.with_spans(m, readers.coref_spans(spark, f"{base}/spans_{year}")) if exists(spark, f"{base}/spans_{year}") else m.withColumn("spans", F.array().cast("array<struct<start:int,end:int>>"))
     gaz, places = gazetteer_of(spark, base)
     m = with_sports_sense(spark, m, base, places, entities) if sports else m.withColumn("sports", F.lit(None).cast("boolean"))
-    return surface.entity_strings(m, gaz).select("pos", "query_id", "name", "entity", "sports", F.coalesce("missing", "error_reason").alias("error_reason"))
+    return surface.entity_strings(m, gaz).select("pos", "query_id", "name", "entity", "context", "sports", F.coalesce("missing", "error_reason").alias("error_reason"))
 
 
-def scored_candidates(mentions: DataFrame, priors: DataFrame) -> DataFrame:
-    """(query_id, surface, kb_name, score, rank) of the names of mentions and of their back-off strings; priors(surface, kb_name, candidate_score)."""
+def candidate_strings(mentions: DataFrame) -> DataFrame:
+    """(query_id, entity): the names of mentions and their back-off strings."""
     tries = mentions.where(linking.backoff_eligible()).select("query_id", F.explode(tx.backoff_strings("name", "entity")).alias("entity"))
-    strings = mentions.select("query_id", "entity").union(tries).distinct()
+    return mentions.select("query_id", "entity").union(tries).distinct()
+
+
+def with_docsim(rows: DataFrame) -> DataFrame:
+    """rows(own, theirs: term lists of a mention and of an entry) with docsim in their place: the share of all terms that both have."""
+    sim = F.try_divide(F.size(F.array_intersect("own", "theirs")), F.size(F.array_union("own", "theirs")))
+    return rows.withColumn("docsim", F.coalesce(sim, F.lit(0.0)).cast("double")).drop("own", "theirs")
+
+
+def model_candidates(mentions: DataFrame, priors: DataFrame, kb: DataFrame, weights: dict[str, float], intercept: float) -> DataFrame:
+    """scored_candidates() by a trained link classifier: candidates come from the aliases near a string, so a misspelt name has
+    some too, and their score is the probability that the link is right. mentions also have their context, kb its intro.
+
+    Each distinct string is looked up once; terms are made once for each mention and each entry that is a candidate.
+    """
+    spark = mentions.sparkSession
+    root = store.folder(spark)
+    strings = store.written(candidate_strings(mentions), root, "strings")
+    found = store.written(aliases.top_candidates(strings, "entity", priors), root, "found")
+    rows = strings.join(found, F.col("entity") == F.col("string")).select("query_id", F.col("string").alias("surface"), "kb_name", "candidate_score")
+    own = mentions.select("query_id", context_terms(F.coalesce("context", F.lit(""))).alias("own"))
+    entries = kb.select(F.col("title").alias("kb_name"), "intro", "line_no").join(found.select("kb_name").distinct(), "kb_name", "left_semi")
+    entries = entries.groupBy("kb_name").agg(F.max_by("intro", "line_no").alias("intro"))
+    theirs = store.written(entries.select("kb_name", context_terms(F.coalesce("intro", F.lit(""))).alias("theirs")), root, "theirs")
+    rows = with_docsim(rows.join(store.written(own, root, "own"), "query_id").join(theirs, "kb_name", "left"))
+    rows = learning.scored_by(rows, weights, intercept)
+    return candidates.ranked(rows.select("query_id", "surface", "kb_name", "score"), ["query_id", "surface"], "score")
+
+
+def scored_candidates(mentions: DataFrame, priors: DataFrame) -> DataFrame:
+    """(query_id, surface, kb_name, score, rank) of the strings of mentions; priors(surface, kb_name, candidate_score)."""
+    strings = candidate_strings(mentions)
     scored = strings.join(priors, F.col("entity") == F.col("surface")).select("query_id", "surface", "kb_name", F.col("candidate_score").alias("score"))
     return candidates.ranked(scored, ["query_id", "surface"], "score")
 
@@ -102,7 +162,8 @@ def scored_candidates(mentions: DataFrame, priors: DataFrame) -> DataFrame:
 def link(spark: SparkSession, base: str, year: str, sports: bool = False, from_scratch: bool = False) -> DataFrame:
     """(pos, query_id, name, entity, kb_link, confidence): the year's queries linked and their NILs clustered by string.
 
-    A candidate's score is its share of the anchors of the string. Queries without annotations link to nothing at 0.1.
+    A candidate's score is the link classifier's where the base folder has link_Y.model, and candidates are then looked up
+    with edits; else it is its share of the anchors of the string. Queries without annotations link to nothing at 0.1.
     from_scratch: annotation files that are missing are made from tokens first.
 
     Each stage (names, candidates, links, numbers, clusters) is written once to the shared folder, as the next ones use it
@@ -112,7 +173,13 @@ def link(spark: SparkSession, base: str, year: str, sports: bool = False, from_s
         annotated_files(spark, base, year)
     root = store.folder(spark)
     m = store.written(expanded_mentions(spark, base, year, sports), root, "mentions")
-    scored = store.written(scored_candidates(m, candidates.anchor_priors(spark.read.parquet(f"{base}/anchors"))), root, "scored")
+    priors = candidates.anchor_priors(spark.read.parquet(f"{base}/anchors"))
+    if exists(spark, f"{base}/link_{year}.model"):
+        weights, intercept = readers.linear_model(spark, f"{base}/link_{year}.model")
+        scored = model_candidates(m, store.written(priors, root, "priors"), knowledge_base(spark, base), weights, intercept)
+    else:
+        scored = scored_candidates(m, priors)
+    scored = store.written(scored, root, "scored")
     out = linking.link(m, scored, knowledge_base(spark, base)).select("pos", "query_id", "name", "entity", "kb_link", "confidence")
     return store.written(nil.cluster_exact(store.written(out, root, "numbered")), root, "answers")
 
@@ -143,8 +210,7 @@ def link_rows(spark: SparkSession, base: str, year: str) -> DataFrame:
     c = priors.join(kb, "kb_name", "left").withColumn("intro", F.coalesce("intro", F.lit("")))
     rows = learning.labelled_candidates(readers.link_training(spark, f"{base}/training_{year}.csv"), q, c)
     own, theirs = context_terms(F.col("context")), context_terms(F.col("intro"))
-    rows = rows.withColumns({"own": own, "theirs": theirs, "year": F.lit(year)})
-    return rows.withColumn("docsim", F.coalesce(F.try_divide(F.size(F.array_intersect("own", "theirs")), F.size(F.array_union("own", "theirs"))), F.lit(0.0)).cast("double")).drop("own", "theirs")
+    return with_docsim(rows.withColumns({"own": own, "theirs": theirs, "year": F.lit(year)}))
 
 
 def link_threshold(spark: SparkSession, base: str) -> float:
