@@ -152,13 +152,11 @@ def test_models(spark):
         assert got == pytest.approx([1, 2 / 3, 2 / 3, 0.5])
         assert [r.interpolated for r in models.interpolated_precision(rows, "y", "s", "id", True, bins).orderBy("rank").collect()] == pytest.approx([1, 2 / 3])
     assert models.best_threshold(rows, "y", "s", "id").first().threshold == 0.7
-    train = spark.createDataFrame([(i % 2, float(i % 2) + (i % 7) / 10, ["good"] if i % 2 else ["bad"]) for i in range(80)], "label int, x double, terms array<string>")
+    train = spark.createDataFrame([(i % 2, float(i % 2) + (i % 7) / 10) for i in range(80)], "label int, x double")
     w, b = models.train_logistic(train, ["x"])
     assert w["x"] > 0
     p = train.withColumn("p", candidates.logistic(w, {"x": F.col("x")}, b)).agg(F.avg(((F.col("p") > 0.5).cast("int") == F.col("label")).cast("int"))).first()[0]
     assert p > 0.9
-    nb = models.train_text_bayes(train, "terms")(train)
-    assert nb.where((F.col("text_score") > 0.5).cast("int") != F.col("label")).count() == 0
 
 
 def test_files(spark, tmp_path):
