@@ -1,6 +1,6 @@
 """An index of the strings that entities are called by, met by strings that may be misspelt.
 
-A string within d edits of an alias leaves one of any d + 1 parts of the alias whole, and moves it by no more than d places.
+A string within d edits of an alias leaves one of any d + 1 parts of the alias whole, and one with as many edits before it as parts at most, and so after it.
 So aliases are kept by their parts, strings ask for the parts that an alias of each length near theirs would have, and
 only pairs that share one are compared. Nothing here pairs all strings.
 """
@@ -41,13 +41,15 @@ def indexed(aliases: DataFrame, alias: str) -> DataFrame:
 
 
 def asked(strings: DataFrame, string: str) -> DataFrame:
-    """(string, edits, n, part, piece): what a string asks an index() for: parts of aliases of each length near its own, at each place near theirs."""
+    """(string, edits, n, part, piece): what a string asks an indexed() table for: parts of aliases of each length near its own, at the places where one of them must be."""
     s = strings.select(F.col(string).alias("string")).where(F.length(string) > 0).distinct().withColumn("edits", allowed_edits(F.col("string")))
     s = s.withColumn("n", F.explode(F.expr("sequence(greatest(length(string) - edits, 1), length(string) + edits)")))
     s = s.withColumn("part", F.explode(F.expr("sequence(0, edits)"))).withColumn("parts", F.col("edits") + 1)
     from_ = F.floor(F.col("n") * F.col("part") / F.col("parts")).cast("int")
     to = F.floor(F.col("n") * (F.col("part") + 1) / F.col("parts")).cast("int")
-    s = s.withColumns({"from": from_, "size": to - from_}).withColumn("at", F.explode(F.expr("sequence(-edits, edits)")))
+    s = s.withColumns({"from": from_, "size": to - from_, "more": F.expr("length(string) - n")})
+    # Of the parts that stay whole one has at most as many edits before it as parts, and at most as many after it as parts.
+    s = s.withColumn("at", F.explode(F.expr("filter(sequence(-part, part), x -> abs(x - more) <= edits - part)")))
     s = s.withColumn("at", F.col("from") + F.col("at")).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.length("string")))
     return s.select("string", "edits", "n", "part", F.substring("string", F.col("at") + 1, F.col("size")).alias("piece")).distinct()
 
