@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import STOP_WORDS
 from .gazetteer import STATES
+from .occurrences import Spans, found
 
 
 @dataclass
@@ -144,9 +145,9 @@ def person(m: Mention, likely: bool) -> str:
 def coreferent(m: Mention, longest_span: int = 50) -> str:
     """The shortest entity without a comma, longer than the name, that stands within a mention of the same chain."""
     pool = {"ORGANIZATION": m.orgs, "LOCATION": m.locs, "PERSON": m.people}.get(m.ner_type, [*m.orgs, *m.locs, *m.people])
-    spans = [(a, b) for a, b in m.spans if b - a + 1 < longest_span]
+    spans = Spans((a, b) for a, b in m.spans if b - a + 1 < longest_span)
     fits = [s for s in dict.fromkeys([*pool, *m.matching]) if len(s) > len(m.name) and "," not in s]
-    inside = [s for s in fits if any(a <= x.start() and x.start() + len(s) - 1 <= b for x in re.finditer(f"(?={re.escape(s)})", m.text) for a, b in spans)]
+    inside = {s for s, at in found(m.text, fits) if spans.hold(at, at + len(s) - 1)} if fits else ()
     return min(inside, key=lambda s: (len(s), s), default=m.name)
 
 
