@@ -64,8 +64,11 @@ from d left join l using (doc_id), p""")
 def text_model(spark, sf_dir):
     """A naive Bayes model of the labelled documents, kept as a table and read again, over all documents."""
     root = store.folder(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("terms"))
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(d, "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("terms")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = d.join(F.broadcast(labels) if store.small(labels) else labels, "doc_id").select("doc_id", "label", terms)
     bayes.save(bayes.train(rows, "doc_id", "terms", "label"), f"{root}/model")
+    d = d.select("doc_id", terms)
     out = bayes.scored(d, "doc_id", "terms", bayes.load(spark, f"{root}/model"))
     return rounded(out.select("doc_id", "text_log", "text_score"), "text_log", "text_score")

@@ -10,10 +10,13 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Seconds between two clearings of shuffle files that nothing refers to any more.
 TIDY = 2.0
+#: Tables of up to so many bytes are sent to every task where that saves a shuffle of the other side.
+BROADCAST_BYTES = 64 << 20
 _tidied = [time.monotonic()]
 
 
@@ -44,6 +47,14 @@ def written(df: DataFrame, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of a table take no more than so many bytes, so that a task may hold them. Counts the characters of strings and 24 bytes for each other column and row."""
+    size = F.lit(24)
+    for f in df.schema.fields:
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else 0) + 24
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
 def dropped(spark: SparkSession, root: str, *names: str) -> None:
     """Deletes tables that written() made. No later plan may read them."""
     for name in names:

@@ -56,6 +56,9 @@ def test_text_model(spark, tmp_path):
     no = math.log(0.5) + 0.25 * math.log(p(0)) + 0.5 * math.log(p(0.5))
     assert got[1].text_log == pytest.approx(log) and got[1].text_score == pytest.approx(math.exp(log) / (math.exp(log) + math.exp(no)))
     assert got[2].text_score == got[3].text_score == pytest.approx(0.5) and got[4].text_score < 0.5
+    for most in (0, 1, 2):  # some or all terms are shuffled to their odds
+        again = {r.id: r for r in bayes.scored(asked, "id", "terms", model, most=most).collect()}
+        assert all(again[i].text_log == pytest.approx(got[i].text_log) and again[i].text_score == pytest.approx(got[i].text_score) for i in got) and len(again) == 4
     empty = {r.id: r.text_score for r in bayes.scored(asked, "id", "terms", model.limit(0)).collect()}
     assert set(empty.values()) == {0.5} and len(empty) == 4
 
