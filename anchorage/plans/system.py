@@ -1,7 +1,7 @@
 """The linker and its evaluation from files, and the other tools that work on the files of a base folder.
 
 A base folder holds, for a year Y: queries_Y.xml, answers_Y.tab, documents_Y (Parquet: doc_id, text), entities_Y (records of
-four lines), spans_Y (coreference spans), tokens_Y (Parquet: doc_id, sent, idx, token, type, begin, end, chain), training_Y.csv;
+four lines), spans_Y (coreference spans), tokens_Y (Parquet: doc_id, sent, idx, token, type, begin, end, and chain, else chains are made of the entities' names), training_Y.csv;
 and for all years kb/title, kb/intro, kb/wiki_type, kb/structured_type, anchors (Parquet: surface, kb_name, n),
 gazetteer.txt and sports.model. What only some tools need may be missing for the others.
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.stems import context_terms
-from ..operators import aliases, annotations, bayes, candidates, evaluate, linking, nil, surface
+from ..operators import aliases, annotations, bayes, candidates, coref, evaluate, linking, nil, surface
 from ..sources import readers, store, writers
 from . import learning, models
 
@@ -56,7 +56,10 @@ def annotated_files(spark: SparkSession, base: str, year: str) -> None:
         writers.write_lines(writers.entity_lines(e), f"{base}/entities_{year}")
     if not exists(spark, f"{base}/spans_{year}"):
         t = spark.read.parquet(f"{base}/tokens_{year}")
-        m = t.where("chain is not null").groupBy("doc_id", "chain", "sent").agg(F.min("idx").alias("from_idx"), (F.max("idx") + 1).alias("to_idx"))
+        if "chain" in t.columns:
+            m = t.where("chain is not null").groupBy("doc_id", "chain", "sent").agg(F.min("idx").alias("from_idx"), (F.max("idx") + 1).alias("to_idx"))
+        else:
+            m = coref.chains(annotations.merged_entities(t)).select("doc_id", F.concat_ws("|", "type", "chain").alias("chain"), "sent", F.col("first").alias("from_idx"), (F.col("last") + 1).alias("to_idx"))
         writers.write_lines(writers.span_lines(annotations.chain_of(q.select("query_id", "doc_id", "beg", "end"), annotations.mention_spans(m, t))), f"{base}/spans_{year}")
 
 
