@@ -1,6 +1,8 @@
 """Chains by names against hand-made ones."""
 
 from anchorage.operators import coref
+from anchorage.plans import system
+from anchorage.sources import readers
 
 
 def test_chains(spark):
@@ -16,3 +18,19 @@ def test_chains(spark):
         ("d", 2, 4, "new york times"), ("d", 3, 0, "new york"), ("d", 3, 3, "new york times"), ("d", 3, 5, "new york times"), ("f", 0, 0, "smith"), ("f", 0, 0, "smith"), ("f", 1, 0, "smithson lee"),
     ]
     assert coref.chains(df.limit(0)).count() == 0
+
+
+def test_spans_from_tokens_without_chains(spark, tmp_path):
+    """The name at the query's place is a part of the longer one, so both are its spans."""
+    base, text = str(tmp_path), "John Smith came . Smith left ."
+    spark.createDataFrame([("d1", text)], "doc_id string, text string").write.parquet(f"{base}/documents_2013")
+    with open(f"{base}/queries_2013.xml", "w") as f:
+        f.write('<kbpentlink><query id="A"><name>Smith</name><docid>d1</docid><beg>18</beg><end>22</end></query></kbpentlink>')
+    begin, t = 0, []
+    for i, w in enumerate(text.split(" ")):
+        t.append(("d1", int(i > 3), i % 4, w, "PERSON" if w in ("John", "Smith") else None, begin, begin + len(w) - 1))
+        begin += len(w) + 1
+    spark.createDataFrame(t, "doc_id string, sent int, idx int, token string, type string, begin int, end int").write.parquet(f"{base}/tokens_2013")
+    system.annotated_files(spark, base, "2013")
+    got = readers.coref_spans(spark, f"{base}/spans_2013").first()
+    assert got["query_id"] == "A" and [tuple(x) for x in got["spans"]] == [(0, 9), (18, 22)]
