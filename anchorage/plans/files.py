@@ -50,7 +50,7 @@ def answer_file(spark, sf_dir):
 
 
 @query("""select doc_id::varchar as query_id, kb_link from (select doc_id,
-case when doc_id % 2 = 0 then 'E' || source else 'NIL' || lpad(doc_id::varchar, 4, '0') end as kb_link from documents)""")
+case when doc_id % 2 = 0 then 'E' || source else 'NIL' || lpad(doc_id::varchar, greatest(4, length(doc_id::varchar))::int, '0') end as kb_link from documents)""")
 def submission_file(spark, sf_dir):
     """Answers as they are submitted, in the order of their queries."""
     link = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("E"), "source")).otherwise(F.concat(F.lit("NIL"), F.expr("lpad(cast(doc_id as string), greatest(4, length(cast(doc_id as string))), '0')")))
