@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import word_count
+from ..sources import store
 
 
 def anchor_priors(anchors: DataFrame) -> DataFrame:
@@ -33,16 +34,30 @@ def exact_title(names: DataFrame, name: str, kb: DataFrame) -> DataFrame:
     return names.join(by_title, F.col(name) == F.col("__title"), "left").drop("__title")
 
 
+def titles_holding(names: DataFrame, titles: DataFrame) -> DataFrame:
+    """names(name, low), titles(title, low), each row once -> (name, title): the titles whose `low` holds the name's.
+
+    Both meet on the name's first three letters, which every title that holds it has somewhere, so no pair is formed that
+    shares none. The titles' letters are many rows for each title, which Spark's estimate does not know of: that side is never broadcast.
+    """
+    n = names.where(F.length("low") > 0).select("name", F.col("low").alias("__n"), F.left("low", F.lit(3)).alias("__g"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring("low", i, k)))))
+    t = titles.where(F.length("low") > 0).select("title", F.col("low").alias("__t"), F.explode(grams).alias("__g"))
+    return n.join(t.hint("shuffle_merge"), "__g").where(F.contains("__t", F.col("__n"))).select("name", "title")
+
+
 def ambiguity(names: DataFrame, name: str, kb: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """(name, n_titles): titles that hold the name. Names and titles meet on the name's first three letters, which every
-    title that holds it has somewhere, so no pair is formed that shares none."""
+    """(name, n_titles): titles that hold the name, by titles_holding(). Entries with the same titles are counted first and met as one."""
     low = F.lower if ignore_case else (lambda c: c)
-    n = names.select(F.col(name).alias("name")).where(F.length(name) > 0).distinct().withColumn("__n", low(F.col("name"))).withColumn("__g", F.left("__n", F.lit(3)))
-    t = kb.select("kb_id", low(F.col("title")).alias("__t")).where(F.length("__t") > 0)
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("__t")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring("__t", i, k)))))
-    met = n.join(t.select("kb_id", "__t", F.explode(grams).alias("__g")), "__g").where(F.contains("__t", F.col("__n")))
-    counts = met.groupBy("name").agg(F.countDistinct("kb_id").alias("n_titles"))
-    return n.select("name").join(counts, "name", "left").fillna(0, ["n_titles"])
+    root = store.folder(names.sparkSession)
+    n = store.written(names.select(F.col(name).alias("name")).where(F.length(name) > 0).distinct(), root, "names")
+    own = kb.where(F.length("title") > 0).groupBy("kb_id").agg(F.sort_array(F.collect_set(low(F.col("title")))).alias("own"))
+    own = store.written(own.where("kb_id is not null").groupBy("own").agg(F.count("*").alias("n")), root, "titles")
+    titles = own.select(F.explode("own").alias("title")).distinct().select("title", F.col("title").alias("low"))
+    met = titles_holding(n.select("name", low(F.col("name")).alias("low")), titles)
+    met = met.join(own.select("own", "n", F.explode("own").alias("title")), "title").groupBy("name", "own").agg(F.first("n").alias("n"))
+    counts = met.groupBy("name").agg(F.sum("n").alias("n_titles"))
+    return n.join(counts, "name", "left").fillna(0, ["n_titles"])
 
 
 #: Features of a query and its candidate; the classifier takes the first two.
