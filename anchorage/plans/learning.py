@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import ACTIVE_PAIR_FEATURES, pair_features
 from ..functions.stems import context_terms
 from ..operators import bayes
-from ..operators.candidates import ACTIVE_LINK_FEATURES, logistic
+from ..operators.candidates import ACTIVE_LINK_FEATURES, logistic, titles_holding
 from ..operators.pairs import sample_pairs
 from ..sources import store
 from . import models
@@ -155,13 +155,14 @@ def sports_evaluation(rows: DataFrame, key: str, features: Sequence[str], seed:
 
 
 def teams_named(names: DataFrame, name: str, kb: DataFrame) -> DataFrame:
-    """names(name) -> (name, kb_id): the first entry, by title, whose title holds the name and whose type names a team. Names and titles meet on three letters."""
-    low = F.lower
-    n = names.select(F.col(name).alias("name")).where(F.length(name) > 0).distinct().withColumn("__g", F.left(low(F.col("name")), F.lit(3)))
-    t = kb.where(entry_is_team(F.col("wiki_type"))).select("kb_id", "title")
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.substring(low(F.col("title")), i, k)))))
-    met = n.join(t.where(F.length("title") > 0).select("kb_id", "title", F.explode(grams).alias("__g")), "__g").where(F.contains("title", F.col("name")))
-    return met.groupBy("name").agg(F.min(F.struct("title", "kb_id")).alias("k")).select("name", F.col("k.kb_id").alias("kb_id"))
+    """names(name) -> (name, kb_id): the first entry, by title, whose title holds the name and whose type names a team. Of entries with one title only the first is met."""
+    root = store.folder(names.sparkSession)
+    n = store.written(names.select(F.col(name).alias("name")).where(F.length(name) > 0).distinct(), root, "names")
+    t = kb.where(entry_is_team(F.col("wiki_type")) & (F.length("title") > 0)).groupBy("title").agg(F.min("kb_id").alias("kb_id"))
+    t = store.written(t, root, "titles")
+    # By lower case they meet, by case they are compared.
+    met = titles_holding(n.withColumn("low", F.lower("name")), t.select("title", F.lower("title").alias("low"))).where(F.contains("title", F.col("name")))
+    return met.join(t, "title").groupBy("name").agg(F.min(F.struct("title", "kb_id")).alias("k")).select("name", F.col("k.kb_id").alias("kb_id"))
 
 
 def augmented_lines(training: DataFrame, ambiguity: DataFrame) -> DataFrame:
