@@ -6,14 +6,14 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Spans are held in bins of 2^4, 2^8, ... characters, the first that is as long as the span: a span is in two bins at most.
 LEVELS = (4, 8, 12, 16, 20, 24, 28, 32)
 #: Places that are sent on at once.
-BATCH = 50_000
+BATCH = 20_000
 
 
 def found(text: str, names: Iterable[str]) -> Iterator[tuple[str, int]]:
@@ -50,21 +50,25 @@ def occurrences(rows: DataFrame, key: str, text: str, names: str) -> DataFrame:
     """
     kind = rows.schema[key].dataType.simpleString()
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        flush = lambda: pd.DataFrame(held, columns=[key, "name", "start", "end"])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, ...] = ([], [], [], [])
         for batch in batches:
-            for k, t, own in zip(batch["k"], batch["t"], batch["n"], strict=True):
+            types = (batch.schema.types[0], pa.string(), pa.int64(), pa.int64())
+            flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(held, types, strict=True)], names=[key, "name", "start", "end"])  # noqa: B023, E731
+            for at in range(batch.num_rows):  # a text is a Python string only while it is searched
+                k, t, own = (batch.column(i)[at].as_py() for i in range(3))
                 for name, start in found(t, (x for x in own if x is not None)):
-                    held.append((k, name, start, start + len(name) - 1))
-                    if len(held) >= BATCH:
+                    for c, v in zip(held, (k, name, start, start + len(name) - 1), strict=True):
+                        c.append(v)
+                    if len(held[0]) >= BATCH:
                         yield flush()
-                        held = []
-        if held:
-            yield flush()
+                        held = ([], [], [], [])
+            if held[0]:
+                yield flush()
+                held = ([], [], [], [])
 
     asked = rows.where(F.col(text).isNotNull() & F.col(key).isNotNull() & (F.size(names) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(names).alias("n"))
-    return asked.mapInPandas(search, f"`{key}` {kind}, name string, start long, end long")
+    return asked.mapInArrow(search, f"`{key}` {kind}, name string, start long, end long")
 
 
 def within(places: DataFrame, spans: DataFrame, key: str, *carried: str) -> DataFrame:
