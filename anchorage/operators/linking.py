@@ -91,7 +91,7 @@ def passage_links(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that hold the whole text of an item, each once; empty and null items are in none.
 
     Both sides meet on the item's second to fourth word, which a document that holds it has in a row: an equi-join in place
-    of a test of all pairs. Only ids and keys are shuffled; texts are read again for the pairs that met, to be compared.
+    of a test of all pairs. Only ids and keys are shuffled, and the pairs that met are sent to their texts, unless they are many.
     """
     w = lambda c: F.regexp_extract_all(c, F.lit(r"[A-Za-z]+"), F.lit(0))
     items = items.where("text <> ''").select("item_id", F.col("text").alias("passage"))
@@ -101,7 +101,8 @@ def passage_links(docs: DataFrame, items: DataFrame) -> DataFrame:
     n = F.greatest(F.size("words") - 2, F.lit(0))
     grams = F.transform(F.arrays_zip(F.slice("words", 1, n), F.slice("words", 2, n), F.slice("words", 3, n)), lambda x: F.concat_ws(" ", x["0"], x["1"], x["2"]))
     pairs = worded.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keyed.where("n_own >= 5"), "key").select("doc_id", "item_id").distinct()
-    out = docs.select("doc_id", "text").join(pairs, "doc_id").join(items, "item_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    pairs = store.written(pairs, store.folder(docs.sparkSession), "pairs")
+    out = docs.select("doc_id", "text").join(F.broadcast(pairs) if store.small(pairs) else pairs, "doc_id").join(items, "item_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
     # An item of under five words may begin or end within the words of its key.
     loose = keyed.where("n_own < 5").join(items, "item_id").select("item_id", "passage")
     if not loose.isEmpty():

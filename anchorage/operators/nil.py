@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..sources import store
 
 
-def allocate(rows: DataFrame, consumed: str = "consumed", width: int = 1 << 20) -> DataFrame:
+def allocate(rows: DataFrame, consumed: str = "consumed", width: int = 1 << 16) -> DataFrame:
     """rows(pos, consumed, ...) -> with nil_id, NIL and a running number over pos; null where nothing is consumed.
 
     A row that consumes two (a linked entity that the knowledge base lacks burns one) gets the second. The running sum goes
