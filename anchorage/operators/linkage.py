@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources import store
 
-#: Clusters of a group up to which a task merges it by itself; clusters on a side of a cell; rows of a product at a time.
-TASK, SIDE, STRIP = 16384, 8192, 512
+#: Clusters of a group up to which a task merges it by itself; clusters on a side of a cell; similarities that a task holds at a time.
+TASK, SIDE, STRIP = 16384, 8192, 1 << 20
 #: Means are compared to so many digits, so that equal ones tie whatever order they were added up in.
 DIGITS = 9
 _VECTOR = "array<double>"
@@ -32,14 +32,16 @@ def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, c
     entry, entries = _is_entry(ids), _is_entry(other)
     itself = np.minimum(np.searchsorted(other, ids), len(other) - 1)
     itself = np.where(other[itself] == ids, itself, -1)
-    for lo in range(0, len(ids), STRIP):
-        s = np.round(x[lo : lo + STRIP] @ y.T, DIGITS)
-        own = itself[lo : lo + STRIP]
+    rows = max(1, STRIP // len(other))
+    for lo in range(0, len(ids), rows):
+        s = x[lo : lo + rows] @ y.T
+        np.round(s, DIGITS, out=s)
+        own = itself[lo : lo + rows]
         s[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
-        s[np.ix_(entry[lo : lo + STRIP], entries)] = -np.inf
+        s[np.ix_(entry[lo : lo + rows], entries)] = -np.inf
         at = s.argmax(axis=1)
         top = s[np.arange(len(at)), at]
-        near[lo : lo + STRIP], best[lo : lo + STRIP] = np.where(top >= cutoff, at, -1), top
+        near[lo : lo + rows], best[lo : lo + rows] = np.where(top >= cutoff, at, -1), top
     return near, best
 
 
